@@ -17,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_bundles, write_bundles
+
+    path = scratch_path(spark, "warc")
+    write_bundles(table(spark, sf_dir, "pages"), path)
+    return read_bundles(spark, path).drop("payload")
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contamination import contamination
 
@@ -44,6 +52,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_contamination": op3_contamination,
     "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
