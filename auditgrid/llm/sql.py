@@ -38,3 +38,29 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 1000 AND page_id <> top THEN top END AS refers_to
 FROM d"""
+
+
+def _secrets() -> str:
+    from .secrets import BASE, MORE
+
+    rules = [*BASE, *MORE]
+    parts = []
+    for i, r in enumerate(rules):
+        p = r.pattern.replace("'", "''")
+        parts.append(f"""
+  SELECT r, {i} AS kind, '{r.kind}' AS name, m, v,
+         list_sum(list_transform(gaps[1:j], lambda g: length(g))) + coalesce(list_sum(list_transform(found[1:j - 1], lambda g: length(g))), 0) AS start
+  FROM (SELECT r, found, gaps, unnest(found) AS m, unnest(vals) AS v, unnest(range(1, len(found) + 1)) AS j
+        FROM (SELECT r, regexp_extract_all(text, '{p}') AS found, regexp_extract_all(text, '{p}', {r.group}) AS vals, regexp_split_to_array(text, '{p}') AS gaps FROM d))
+  WHERE length(v) >= {r.least}""")
+    count = lambda i: f"coalesce(count(*) FILTER (WHERE kind = {i}), 0)"
+    listed = lambda where: f"string_agg(name || ':' || CAST(start AS BIGINT) || ':' || CAST(start + length(m) AS BIGINT), ',' ORDER BY start, kind) FILTER (WHERE {where})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(parts)})
+SELECT doc_id, {", ".join(f"{count(i)} AS n_{x.kind}" for i, x in enumerate(BASE))},
+       sha256(coalesce({listed(f"kind < {len(BASE)}")}, '')) AS base_sha256, coalesce({listed("true")}, '') AS spans
+FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
+
+
+op4_secrets = _secrets()
