@@ -37,6 +37,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_contamination": op3_contamination,
     "op4_secrets": op4_secrets,
+    "op5_language": op5_language,
     "op7_top_k": op7_top_k,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
