@@ -25,6 +25,12 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_bundles(spark, path).drop("payload")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op3_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contamination import contamination
 
@@ -71,6 +77,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_ngram_join": op2_ngram_join,
     "op3_contamination": op3_contamination,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,

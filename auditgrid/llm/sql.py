@@ -64,3 +64,23 @@ FROM d LEFT JOIN s USING (r) GROUP BY r, doc_id"""
 
 
 op4_secrets = _secrets()
+
+op2_ngram_join = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), runs AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS s
+  FROM d, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS t(i) WHERE len(w) > 0
+), sets AS (SELECT r, md5(string_agg(s, '|' ORDER BY s)) AS k, count(*) AS n FROM runs GROUP BY r),
+classes AS (SELECT k, min(r) AS r, any_value(n) AS n, count(*) AS copies, min(doc_id) AS copy_id FROM sets JOIN d USING (r) GROUP BY k),
+reps AS (SELECT k, n, s FROM classes JOIN runs USING (r)),
+links AS (
+  SELECT a.k AS a, b.k AS b FROM reps a JOIN reps b ON a.s = b.s AND a.k <> b.k
+  GROUP BY a.k, b.k, a.n, b.n HAVING count(*) >= 0.8 * (a.n + b.n - count(*))
+), reach(k, l) AS (
+  SELECT k, k FROM classes UNION SELECT reach.k, links.b FROM reach JOIN links ON reach.l = links.a
+), grouped AS (SELECT reach.k, min(copy_id) AS class_id FROM reach JOIN classes ON classes.k = reach.l GROUP BY reach.k),
+others AS (SELECT a AS k, sum(copies) AS n FROM links JOIN classes ON classes.k = links.b GROUP BY a)
+SELECT d.doc_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(class_id, d.doc_id) AS class_id,
+       CAST(coalesce(copies - 1, 0) + coalesce(others.n, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN sets USING (r) LEFT JOIN classes ON classes.k = sets.k LEFT JOIN grouped ON grouped.k = sets.k LEFT JOIN others ON others.k = sets.k"""
