@@ -49,6 +49,12 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_contamination": op3_contamination,
     "op4_secrets": op4_secrets,
     "op5_language": op5_language,
+    "op6_line_dedup": op6_line_dedup,
     "op7_top_k": op7_top_k,
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,

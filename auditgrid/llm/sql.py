@@ -84,3 +84,25 @@ others AS (SELECT a AS k, sum(copies) AS n FROM links JOIN classes ON classes.k
 SELECT d.doc_id, coalesce(copy_id, d.doc_id) AS copy_id, coalesce(class_id, d.doc_id) AS class_id,
        CAST(coalesce(copies - 1, 0) + coalesce(others.n, 0) AS BIGINT) AS n_links
 FROM d LEFT JOIN sets USING (r) LEFT JOIN classes ON classes.k = sets.k LEFT JOIN grouped ON grouped.k = sets.k LEFT JOIN others ON others.k = sets.k"""
+
+op6_line_dedup = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, doc_id, line, list_sort(list_distinct(regexp_extract_all(lower(body), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS w
+  FROM (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS body, unnest(range(0, len(string_split(text, chr(10))))) AS line FROM d WHERE text IS NOT NULL)
+), c AS (SELECT w, len(w) AS n, row_number() OVER () AS id, min((doc_id, line)) AS place FROM l WHERE len(w) > 0 GROUP BY w),
+tokens AS (SELECT id, n, unnest(w) AS t FROM c),
+often AS (SELECT t, count(*) AS df FROM tokens GROUP BY t),
+ordered AS (SELECT id, n, t, row_number() OVER (PARTITION BY id ORDER BY df, t) AS nth FROM tokens JOIN often USING (t)),
+prefix AS (SELECT id, n, t FROM ordered WHERE nth <= n - CAST(ceil(n * 4 / 5.0) AS BIGINT) + 1),
+near AS (SELECT DISTINCT a.id AS a, b.id AS b FROM prefix a JOIN prefix b ON a.t = b.t AND a.id < b.id AND least(a.n, b.n) * 5 >= greatest(a.n, b.n) * 4),
+links AS (
+  SELECT x.id AS a, y.id AS b, x.place AS pa, y.place AS pb FROM near JOIN c x ON x.id = near.a JOIN c y ON y.id = near.b
+  WHERE len(list_intersect(x.w, y.w)) * 5 >= 4 * (x.n + y.n - len(list_intersect(x.w, y.w)))
+), late AS (SELECT CASE WHEN pa > pb THEN a ELSE b END AS id FROM links),
+gone AS (
+  SELECT l.r, l.line FROM l JOIN c ON c.w = l.w
+  WHERE (l.doc_id, l.line) > c.place OR c.id IN (SELECT id FROM late)
+), listed AS (SELECT r, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM gone GROUP BY r)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(lines, '') AS removed_lines
+FROM d LEFT JOIN listed USING (r)"""
