@@ -80,10 +80,10 @@ def _merged_spans(text: str, hits: np.ndarray) -> str:
     return ",".join(f"{at[a][0]}:{at[b][1]}" for a, b in zip(first, last, strict=True))
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans - and ``carry``.
+def scan(docs: DataFrame, benchmark: DataFrame, carry: list[str], window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+    """c_0, c_1, ... (the columns of ``docs`` to carry), and each text's n_words, hits, items, spans.
 
-    ``benchmark``: item_id, text.  ``carry``: further columns of ``docs`` to pass on.
+    ``docs``: text and the carried columns; ``benchmark``: item_id, text.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -91,25 +91,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_patter
     # a window is written up to `window` times the item's length
     size = items.agg((F.sum(F.octet_length("text")) * window).alias("n")).first()["n"] or 0
     shards = max(1, -(-size // max_pattern_bytes))
-    carry = ["doc_id", "text", *(carry or [])]
-    now = docs.select(*[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items"))
+    empty = [F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.array().cast("array<string>").alias("items")]
+    now = docs.select(F.col("text").cast("string").alias("t"), *[F.col(f"`{c}`").alias(f"c_{i}") for i, c in enumerate(carry) if c != "text"], *empty)
     for k in range(shards):
         part = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == k)
         found = windows_of([(r["item"], bytes(r["text"]) if r["text"] is not None else None) for r in part.toLocalIterator()], window)
-        now = _scan_one(now, spark.sparkContext.broadcast(found), 1)
+        now = _scan_one(now, spark.sparkContext.broadcast(found), 0)
         if k + 1 < shards:
             now = written(now, "contamination")
-    names = F.array_sort(F.array_distinct("items"))
-    return now.select(
-        *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry) if c != "text"],
-        "n_words",
-        (F.octet_length("hits") / 8).cast("long").alias("n_hit"),
-        F.size(names).cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
-        (F.octet_length("hits") > 0).alias("contaminated"),
-        "spans",
-        F.col("c_1").alias("_text"),
-    )
+    return now.select(*[F.col("t" if c == "text" else f"c_{i}").alias(f"c_{i}") for i, c in enumerate(carry)], "n_words", "hits", "items", "spans")
 
 
 def _scan_one(docs: DataFrame, windows, text_at: int) -> DataFrame:
@@ -154,11 +144,21 @@ def _scan_one(docs: DataFrame, windows, text_at: int) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """One row for each document: how many of its words lie in benchmark windows."""
-    return scan(docs, benchmark, window, max_pattern_bytes).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans of every row."""
+    found = scan(docs, benchmark, ["doc_id"], window, max_pattern_bytes)
+    names = F.array_sort(F.array_distinct("items"))
+    return found.select(
+        F.col("c_0").alias("doc_id"),
+        "n_words",
+        (F.octet_length("hits") / 8).cast("long").alias("n_hit"),
+        F.size(names).cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.octet_length("hits") > 0).alias("contaminated"),
+        "spans",
+    )
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """The documents without a hit word, with all their columns."""
-    kept = scan(docs, benchmark, window, max_pattern_bytes, carry=[c for c in docs.columns if c not in ("doc_id", "text")]).filter(~F.col("contaminated"))
-    return kept.select(*[F.col("_text").alias(c) if c == "text" else F.col(c) for c in docs.columns])
+    kept = scan(docs, benchmark, docs.columns, window, max_pattern_bytes).filter(F.octet_length("hits") == 0)
+    return kept.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])

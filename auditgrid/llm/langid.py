@@ -146,13 +146,17 @@ def prototypes(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int =
     return names, out.astype(np.float32)
 
 
-def predict(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[str] | None = None) -> DataFrame:
-    """``carry`` columns, lang_pred and score (half of 1 + cosine) for every row."""
+def _predicted(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[str]) -> DataFrame:
+    """c_0, c_1, ... (the columns to carry), lang_pred and score of every row."""
     spark = docs.sparkSession
     small_batches(spark)
-    carry = carry or ["doc_id"]
-    rows = docs.select("text", *[F.col(c).alias(f"c_{i}") for i, c in enumerate(carry)])
-    schema = rows.drop("text").schema.add("lang_pred", "string").add("score", "double")
+    others = [i for i, c in enumerate(carry) if c != "text"]
+    rows = docs.select(F.col("text").cast("string").alias("t"), *[F.col(f"`{carry[i]}`").alias(f"c_{i}") for i in others])
+    back = [f"c_{i}" for i, c in enumerate(carry) if c == "text"]
+    schema = rows.drop("t").schema
+    for c in back:
+        schema = schema.add(c, "string")
+    schema = schema.add("lang_pred", "string").add("score", "double")
     mean = protos.mean(axis=0) if len(names) > 1 else np.zeros(protos.shape[1], np.float32)
     centred = protos - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
@@ -169,12 +173,23 @@ def predict(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[s
             best = cosine.argmax(axis=1)
             langs = [known[b] if s else "und" for b, s in zip(best, some, strict=True)]
             score = np.where(some, (1 + cosine[np.arange(len(best)), best].astype(np.float64)) / 2, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[batch.column(0)] * len(back), pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
 
-    out = rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def predict(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[str]) -> DataFrame:
+    """``carry`` columns, lang_pred and score (half of 1 + cosine) of every row."""
+    out = _predicted(docs, names, protos, carry)
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
 
 
+def accepted(docs: DataFrame, names: list[str], protos: np.ndarray, min_score: float) -> DataFrame:
+    """The rows, with all their columns, that have a language with ``min_score`` or more."""
+    out = _predicted(docs, names, protos, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     """Whether crc32 of the id as text, modulo ``folds``, is ``fold``; a null id is not."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -333,11 +333,10 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0)
     one = found.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("n_lines"))).filter("turn = 1")
-    one = written(one.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), "n_lines", F.col("removed").alias("_removed")), "removed")
-    side = F.broadcast(one) if one.count() <= BROADCAST_ROWS // 16 else one
-    same = (F.xxhash64(docs["text"]) == F.col("_hash")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_doc"))
-    rows = docs.join(side, same, "left")
-    kept = F.array_join(F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    text = F.when(F.col("_removed").isNull(), docs["text"]).otherwise(kept)
-    left = F.col("_removed").isNull() | (F.size("_removed") < F.col("n_lines"))
-    return rows.filter(left).select(*[text.alias(c) if c == "text" else docs[c] for c in docs.columns])
+    one = written(one.select("doc_id", "text_hash", "n_lines", "removed"), "removed")
+    side = (F.broadcast(one) if one.count() <= BROADCAST_ROWS // 16 else one).alias("r")
+    rows = docs.alias("d").join(side, (F.xxhash64("d.text") == F.col("r.text_hash")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left")
+    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains(F.col("r.removed"), i)), "\n")
+    text = F.when(F.col("r.removed").isNull(), F.col("d.text")).otherwise(kept)
+    left = F.col("r.removed").isNull() | (F.size("r.removed") < F.col("r.n_lines"))
+    return rows.filter(left).select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

@@ -212,12 +212,10 @@ def class_links(groups: DataFrame, sets: DataFrame, threshold: float, tolerance:
     return ordered.mapInArrow(run, "a long, b long").distinct()
 
 
-def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, copy_id, class_id, n_links for every row of ``docs(doc_id, text)``.
+def joined_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, text_hash, key, label, copy_id, class_id, n_links of every row.
 
-    ``copy_id``: the least id of documents with the same set; ``class_id``: of documents
-    that links connect; ``n_links``: how many other rows have a Jaccard similarity of the
-    threshold or more with this one.
+    ``key`` and ``label`` (of the copy class and of the component) are null without words.
     """
     small_batches(docs.sparkSession)
     profile = written(profiles(docs), "profiles")
@@ -230,5 +228,40 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance:
     counts = both.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
     labelled = classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = labelled.groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    about = labelled.join(least, "label").join(counts, "key", "left").select("key", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return profile.select("doc_id", "key").join(written(about, "about"), "key", "left").select("doc_id", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    about = labelled.join(least, "label").join(counts, "key", "left").select("key", "label", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    rows = profile.select("doc_id", "text_hash", "key").join(written(about, "about"), "key", "left")
+    return rows.select("doc_id", "text_hash", "key", "label", F.coalesce("copy_id", "doc_id").alias("copy_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
+def ngram_jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """doc_id, copy_id, class_id, n_links for every row of ``docs(doc_id, text)``.
+
+    ``copy_id``: the least id of documents with the same set; ``class_id``: of documents
+    that links connect; ``n_links``: how many other rows have a Jaccard similarity of the
+    threshold or more with this one.
+    """
+    return joined_rows(docs, threshold, tolerance).select("doc_id", "copy_id", "class_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
+    """One document of every linked group - the least id, then text hash - with all its columns.
+
+    Null ids come last.  Documents without words all stay, repeated rows of them too.
+    """
+    found = written(joined_rows(docs, threshold, tolerance), "joined")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    groups = found.filter("label IS NOT NULL").groupBy("label").agg(F.min(place).alias("p")).select("p._doc", "p._hash")
+    one = written(groups, "kept")
+    gone = written(found.filter("label IS NOT NULL").join(one, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_anti").select("doc_id", "text_hash").distinct(), "gone")
+    again = written(found.filter("label IS NOT NULL").groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash"), "again")
+
+    def side(rows: DataFrame) -> DataFrame:
+        return (F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows).alias("r")
+
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (F.xxhash64("d.text") == F.col("r.text_hash"))
+    left = docs.alias("d").join(side(gone), same, "left_anti")
+    if again.isEmpty():
+        return left
+    repeated = side(again)
+    few = left.alias("d").join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.alias("d").join(repeated, same, "left_anti").unionByName(few)
