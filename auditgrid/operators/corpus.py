@@ -103,7 +103,7 @@ def target_element(finding: Column, b: Column, confidence: Column, evidence: Col
     """One JSON object of a target: box_2d is always there, the optional members only if set."""
     quoted = lambda c: F.substring(F.to_json(F.array(c)), 2, 1 << 30)  # noqa: E731  the array's end bracket is cut below
     text = lambda c: F.expr("''") if c is None else F.left(quoted(c), F.length(quoted(c)) - 1)
-    parts = [F.concat(F.lit('"label": '), text(finding)), F.concat(F.lit('"box_2d": '), F.coalesce(F.to_json(as_list(b)), F.lit("null"))), F.concat(F.lit('"confidence": '), confidence.cast("string")), F.concat(F.lit('"evidence": '), text(evidence))]
+    parts = [F.concat(F.lit('"label": '), text(finding)), F.concat(F.lit('"box_2d": '), F.coalesce(F.when(b.isNotNull(), F.concat(F.lit("["), F.array_join(as_list(b).cast("array<string>"), ", "), F.lit("]"))), F.lit("null"))), F.concat(F.lit('"confidence": '), confidence.cast("string")), F.concat(F.lit('"evidence": '), text(evidence))]
     parts[3] = F.when(evidence.isNotNull(), parts[3])
     return F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}"))
 

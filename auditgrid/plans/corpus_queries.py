@@ -286,7 +286,8 @@ def expected_audit_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def synthetic_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sets(spark, sf_dir).select("image_id", joined("labels").alias("labels"), corpus.draft_text(F.col("labels"), F.col("image_id")).alias("draft"))
+    drafted = _sets(spark, sf_dir).withColumn("draft", corpus.draft_text(F.col("labels"), F.col("image_id")))
+    return drafted.select("image_id", joined("labels").alias("labels"), "draft")
 
 
 @query()
