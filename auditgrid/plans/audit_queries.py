@@ -153,28 +153,36 @@ def image_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.evidence(boxes(spark, sf_dir)).select("image_id", "ord", "finding", "category")
 
 
-# An item opens a region unless a leader before it overlaps it: leaders are found from the first item on.
-_REGIONS_SQL = f"""{_EVIDENCE_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY ord) AS n FROM ev WHERE y0 IS NOT NULL),
-lead(image_id, n, leads) AS (
-  SELECT image_id, 0::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT image_id FROM e)
-  UNION ALL
-  SELECT l.image_id, l.n + 1, CASE WHEN (SELECT count(*) FROM e x JOIN e y ON x.image_id = y.image_id WHERE y.image_id = l.image_id AND y.n = l.n + 1 AND list_contains(l.leads, x.n) AND {iou_sql("x", "y")} >= 0.9) > 0 THEN l.leads ELSE list_append(l.leads, l.n + 1) END
-  FROM lead l JOIN e ON e.image_id = l.image_id AND e.n = l.n + 1
-)"""
+# Leaders come from a fold over an image's items; each item belongs to the first leader that it overlaps.
+_REGIONS_SQL = f"""{_EVIDENCE_SQL}, e AS (SELECT *, {{{{'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}}}} AS bx FROM ev WHERE y0 IS NOT NULL),
+leaders AS (SELECT image_id, list_reduce(list([bx] ORDER BY ord), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: {iou_sql("a", "x[1]")} >= 0.9)) > 0 THEN acc ELSE list_concat(acc, x) END) AS ls FROM e GROUP BY image_id),
+assigned AS (SELECT e.*, ls, list_filter(range(1, len(ls) + 1), lambda k: {iou_sql("ls[k]", "bx")} >= 0.9)[1] AS region FROM e JOIN leaders USING (image_id))""".replace("{{", "{").replace("}}", "}")
+_NAMES_SQL = "map {" + ", ".join(f"'{x}': '{n}'" for x, n in vocab.DISPLAY_NAMES.items()) + "}"
 
 
-@query()
+@query(f"""WITH {BOXES_SQL}, {_REGIONS_SQL}, named AS (SELECT image_id, region, finding, min(ord) AS first FROM assigned GROUP BY ALL),
+texts AS (SELECT image_id, region, string_agg(finding, ',' ORDER BY first) AS labels, string_agg({_NAMES_SQL}[finding], ' / ' ORDER BY first) AS names FROM named GROUP BY image_id, region),
+r AS (SELECT image_id, region, any_value(ls[region]) AS bx, max(sev) AS sev, bool_or(finding IN ('pneumothorax', 'nodule_mass')) AS urgent FROM assigned GROUP BY image_id, region)
+SELECT image_id, region, bx.y0 AS y0, bx.x0 AS x0, bx.y1 AS y1, bx.x1 AS x1, ['supported', 'missing', 'unsupported', 'urgent'][sev + 1] AS category, labels, urgent, names || CASE WHEN urgent THEN ' (URGENT)' ELSE '' END AS label FROM r JOIN texts USING (image_id, region)""")
 def overlay_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = audit.overlay_regions(audit.evidence(boxes(spark, sf_dir)))
     return out.select("image_id", "region", *[F.col(f"box.{a}") for a in AXES], "category", joined("labels").alias("labels"), "urgent", "label")
 
 
-@query()
+@query(f"WITH {BOXES_SQL}, {_REGIONS_SQL} SELECT image_id, finding, count(DISTINCT region) AS foci FROM assigned GROUP BY image_id, finding")
 def foci_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.foci_counts(audit.overlay_regions(audit.evidence(boxes(spark, sf_dir))))
 
 
-@query()
+@query(f"""WITH {BOXES_SQL}, {_REGIONS_SQL}, foci AS (SELECT image_id, finding, count(DISTINCT region) AS n FROM assigned GROUP BY ALL),
+one AS (SELECT image_id, finding, min(ord) AS ord, max(sev) AS sev FROM ev GROUP BY image_id, finding),
+img AS (SELECT one.image_id, 0 AS part, ord, {_NAMES_SQL}[one.finding] || CASE WHEN n > 1 THEN ' (' || n || ' foci)' ELSE '' END AS finding, 'Image' AS source, 'Present' AS status, ['Supported by image', 'Missing from draft', '', 'Urgent - review'][sev + 1] AS audit_flag
+  FROM one LEFT JOIN foci ON foci.image_id = one.image_id AND foci.finding = one.finding),
+seen AS (SELECT DISTINCT image_id, finding FROM b WHERE side = 'image' AND status = 'present'),
+dr AS (SELECT b.image_id, 1 AS part, b.ord, {_NAMES_SQL}[b.finding] AS finding, 'Draft' AS source, CASE status WHEN 'present' THEN 'Present' ELSE 'Absent' END AS status, CASE WHEN status = 'present' AND s.image_id IS NULL THEN 'Unsupported claim' ELSE '' END AS audit_flag
+  FROM b LEFT JOIN seen s ON s.image_id = b.image_id AND s.finding = b.finding WHERE side = 'draft' AND b.finding <> 'no_finding'),
+listed AS (SELECT * FROM img UNION ALL SELECT * FROM dr)
+SELECT * FROM listed UNION ALL SELECT DISTINCT o_orderkey, 0, 0, 'No finding', 'Image', 'Present', '' FROM orders WHERE o_orderkey NOT IN (SELECT image_id FROM listed)""")
 def findings_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.findings_table(boxes(spark, sf_dir), images(spark, sf_dir))
 
@@ -190,7 +198,11 @@ def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(flagged, ["image_id", "ord"])
 
 
-@query()
+_PANEL_SQL = f"""concat_ws(chr(10) || chr(10), CASE WHEN len(urgent_review_flags) > 0 THEN '### URGENT - needs radiologist review' || chr(10) || array_to_string(list_transform(urgent_review_flags, lambda x: '- **' || {_NAMES_SQL}[x] || '** is visible on the image and is a can''t-miss finding - have a radiologist review it.'), chr(10)) END, CASE WHEN len(missing_findings) > 0 THEN '### Missing from the draft' || chr(10) || array_to_string(list_transform(missing_findings, lambda x: '- **' || {_NAMES_SQL}[x] || '** appears on the image but the draft does not report it.'), chr(10)) END, CASE WHEN len(unsupported_claims) > 0 THEN '### Unsupported claims in the draft' || chr(10) || array_to_string(list_transform(unsupported_claims, lambda x: '- **' || {_NAMES_SQL}[x] || '** is stated in the draft but the image does not support it.'), chr(10)) END)"""
+
+
+@query(f"""WITH {_AUDIT_SQL}, t AS (SELECT image_id, {_PANEL_SQL} AS p FROM audits)
+SELECT image_id, CASE WHEN p = '' THEN '### No discrepancies found' || chr(10) || 'The draft and the image findings agree across the finding set the tool checks.' ELSE p END AS panel FROM t""")
 def verdict_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.verdict_markdown(audit.audit(boxes(spark, sf_dir), images(spark, sf_dir))).select("image_id", "panel")
 

@@ -284,7 +284,11 @@ def expected_audit_agrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.alias("c").join(audits.alias("a"), "case_id").agg(F.count(F.lit(1)).alias("cases"), F.count_if(~same).alias("differ"))
 
 
-@query()
+_SENTENCES_SQL = "map {" + ", ".join(f"'{k}': [" + ", ".join(f"'{x}'" for x in v) + "]" for k, v in corpus.PRESENT.items()) + "}"
+
+
+@query(f"""WITH {BOXES_SQL}, {_HELD}, l AS (SELECT image_id, labels, unnest(CASE WHEN len(labels) = 0 THEN ['no_finding'] ELSE labels END) AS x, unnest(range(greatest(1, len(labels)))) AS i FROM sets)
+SELECT image_id, array_to_string(labels, ',') AS labels, string_agg({_SENTENCES_SQL}[x][CAST('0x' || md5('0|' || image_id || '|' || x || '|text')[1:4] AS INTEGER) % 3 + 1], ' ' ORDER BY i) AS draft FROM l GROUP BY image_id, labels""")
 def synthetic_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafted = _sets(spark, sf_dir).withColumn("draft", corpus.draft_text(F.col("labels"), F.col("image_id")))
     return drafted.select("image_id", joined("labels").alias("labels"), "draft")
