@@ -142,11 +142,12 @@ def kth_scores(rows: DataFrame, block, n: int, reach: np.ndarray, k: int, bins:
         all_in |= ~here.any(axis=1)
         at = np.where(all_in, 0, here.argmax(axis=1))
         above = np.where(all_in, 0, higher[np.arange(n), at])
-        lo = lo + at * width
+        end, lo = lo + span, lo + at * width
         if (width == 1).all() or all_in.all():
             least = np.where(all_in, np.iinfo(np.int64).min, lo)
             return least, np.where(all_in, 0, k - above)
-        span, width = width, -(-width // bins)
+        span = np.minimum(width, end - lo)  # the last bin may reach beyond the range
+        width = -(-span // bins)
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, bins: int = BINS) -> DataFrame:
