@@ -12,9 +12,10 @@ run).  Documents of equal sets form a copy class and are joined once, as one.
 3. In a task, pairs are compared by fresh min-hashes, a few at a time.  With a uniform
    prior, after m agreements of n the posterior chance of reaching the threshold is
    P(Binomial(n + 1, threshold) <= m); below ``tolerance`` the pair is dropped.  Pairs that
-   stay are verified exactly on their sets.  Only true links leave a task.
-4. Links between classes make components; a document's links are counted through its
-   links' copies, so copies are never expanded into pairs.
+   stay are verified exactly on their sets.
+4. Links never leave a task as pairs: a task sends, for each linked class, how many
+   documents its links reach and one class that it is connected with.  The sums are the
+   documents' links, the connections make the components.
 
 Sets are taken anew, for candidates only, from the texts; nothing that grows with the
 corpus reaches the driver.  Keys are 64-bit hashes: two different sets share one with a
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, small_batches, text_bytes, word_hashes, written
+from .common import distinct, mixed, small_batches, text_bytes, word_hashes, written
 from .graph import components
 
 SIZE = 5
@@ -65,7 +66,7 @@ def shingle_sets(texts: pa.Array, size: int = SIZE) -> Iterator[np.ndarray]:
         runs = mixed(runs)
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a >= size:
-                yield np.unique(runs[a : b - size + 1])
+                yield distinct(runs[a : b - size + 1])
             else:
                 yield mixed((words[a:b] * _PLACE[: b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)) if b > a else words[:0]
 
@@ -127,7 +128,8 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
         i, j, agree = i[keep], j[keep], agree[keep]
     out = []
     for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        both = np.sort(np.concatenate([sets[a], sets[b]]))
+        common = int((both[1:] == both[:-1]).sum())
         if common >= threshold * (len(sets[a]) + len(sets[b]) - common):
             out.append((a, b))
     return out
@@ -175,41 +177,65 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
     return rows.select("text").mapInArrow(run, "key long, runs binary")
 
 
-def class_links(groups: DataFrame, sets: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(a, b): linked classes, a < b, each pair once."""
-    sized = written(groups.join(sets.select("key", F.octet_length("runs").alias("bytes")), "key"), "groups")
+def class_links(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(key, root, others): for each class with links, rows of one component's tree and link counts.
+
+    A pair belongs to the least leader that its classes share, so it is met once.  A task
+    sends one row for each linked class, never the pairs: how many documents its links
+    reach, and a class that it is connected with.
+    """
+    about = groups.groupBy("key").agg(F.array_sort(F.collect_set("leader")).alias("leaders"))
+    held = written(sets.join(classes.select("key", "copies"), "key").join(about, "key"), "held")
+    sized = groups.join(held.select("key", F.octet_length("runs").alias("bytes")), "key")
     blocks = sized.groupBy("leader").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("n"))
+    many = written(blocks.filter("n > 1"), "blocks")
+    side = F.broadcast(many) if many.count() <= BROADCAST_ROWS else many
     own = F.pmod(F.xxhash64("key", F.lit(7)), F.col("n")).cast("int")
-    dealt = sized.join(blocks, "leader").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key").join(sets, "key")
+    dealt = groups.join(side, "leader", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key").join(held, "key")
     least = least_agreements(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, keys, sides, held = None, [], [], []
+        at, members = None, []
 
         def done() -> pa.RecordBatch:
-            sets = [np.frombuffer(h, np.uint64) for h in held]
-            side = np.asarray(sides)
+            leader, i, j = at
+            side = np.asarray([m[0] for m in members])
             left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-            pairs = linked_pairs(sets, left, left if at[1] == at[2] else right, threshold, least)
-            both = [(keys[a], keys[b]) if keys[a] < keys[b] else (keys[b], keys[a]) for a, b in pairs]
-            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in both], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            pairs = linked_pairs([np.frombuffer(m[2], np.uint64) for m in members], left, left if i == j else right, threshold, least)
+            root, others = list(range(len(members))), [0] * len(members)
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a, b in pairs:
+                first = leader if len(members[a][4]) == 1 else min(set(members[a][4]) & set(members[b][4]))
+                if first != leader:
+                    continue
+                others[a] += members[b][3]
+                others[b] += members[a][3]
+                a, b = find(a), find(b)
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+            linked = [x for x in range(len(members)) if others[x]]
+            return pa.RecordBatch.from_arrays([pa.array([members[x][1] for x in linked], pa.int64()), pa.array([members[find(x)][1] for x in linked], pa.int64()), pa.array([others[x] for x in linked], pa.int64())], names=["key", "root", "others"])
 
         for batch in batches:
-            for leader, i, j, side, key, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (leader, i, j) != at:
-                    if len(keys) > 1:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[:3] != at:
+                    if len(members) > 1:
                         yield done()
-                    at, keys, sides, held = (leader, i, j), [], [], []
-                keys.append(key)
-                sides.append(side)
-                held.append(runs)
-        if len(keys) > 1:
+                    at, members = row[:3], []
+                members.append(row[3:])
+        if len(members) > 1:
             yield done()
 
     tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.select("leader", "i", "j", "side", "key", "runs").repartition(tasks, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "key")
-    return ordered.mapInArrow(run, "a long, b long").distinct()
+    ordered = dealt.select("leader", "i", "j", "side", "key", "runs", "copies", "leaders").repartition(tasks, "leader", "i", "j").sortWithinPartitions("leader", "i", "j", "side", "key")
+    return ordered.mapInArrow(run, "key long, root long, others long")
 
 
 def joined_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
@@ -222,10 +248,9 @@ def joined_rows(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     classes = written(profile.filter("key IS NOT NULL").groupBy("key").agg(F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("copy_id"), F.count(F.lit(1)).alias("copies")), "classes")
     groups = written(leader_groups(profile), "groups")
     sets = written(candidate_sets(docs, classes, groups), "sets")
-    links = written(class_links(groups, sets, threshold, tolerance), "links")
-    label = components(links)
-    both = links.union(links.select("b", "a"))
-    counts = both.join(classes.select(F.col("key").alias("b"), "copies"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("others"))
+    links = written(class_links(groups, sets, classes, threshold, tolerance), "links")
+    label = components(links.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    counts = links.groupBy("key").agg(F.sum("others").alias("others"))
     labelled = classes.join(label.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least = labelled.groupBy("label").agg(F.min("copy_id").alias("class_id"))
     about = labelled.join(least, "label").join(counts, "key", "left").select("key", "label", "copy_id", "class_id", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
