@@ -1,0 +1,29 @@
+"""Audit of structured findings, and training-data operators, on Spark."""
+
+from __future__ import annotations
+
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark) -> None:
+    """Let the executors import this package, once for each Spark application.
+
+    Python workers find code by their own path, which need not hold the driver's.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    folder = tempfile.mkdtemp(prefix="auditgrid-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    home = Path(__file__).resolve().parent
+    with zipfile.ZipFile(f"{folder}/auditgrid.zip", "w") as z:
+        for p in sorted(home.rglob("*.py")):
+            z.write(p, p.relative_to(home.parent))
+    spark.sparkContext.addPyFile(f"{folder}/auditgrid.zip")
+    _SHIPPED.add(app)

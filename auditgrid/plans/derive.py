@@ -27,7 +27,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         F.col("l_orderkey").alias("image_id"),
         F.when(F.col("l_suppkey") % 2 == 0, "image").otherwise("draft").alias("side"),
-        order.alias("ord"),
+        order.cast("long").alias("ord"),
         _label(F.col("l_partkey")).alias("finding"),
         F.when(F.col("l_returnflag") == "A", "absent").otherwise("present").alias("status"),
         F.when(~none, whole).alias("box"),
