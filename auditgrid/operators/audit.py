@@ -95,7 +95,7 @@ def overlay_regions(items: DataFrame, threshold: float = 0.9, id_col: str = "ima
 
     regions = lists.select(id_col, F.posexplode(F.aggregate("items", empty, step)).alias("at", "r"))
     names = F.array(*map(F.lit, CATEGORIES))
-    return regions.select(id_col, (F.col("at") + 1).alias("region"), "r.box", F.element_at(names, F.col("r.severity")).alias("category"), "r.labels", "r.urgent", combined_label(F.col("r.labels"), F.col("r.urgent")).alias("label"))
+    return regions.select(id_col, (F.col("at") + 1).cast("long").alias("region"), "r.box", F.element_at(names, F.col("r.severity")).alias("category"), "r.labels", "r.urgent", combined_label(F.col("r.labels"), F.col("r.urgent")).alias("label"))
 
 
 def foci_counts(regions: DataFrame, id_col: str = "image_id") -> DataFrame:
