@@ -13,6 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import ship
+
 #: Rows of text in one Arrow batch: bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 
@@ -24,7 +26,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Python workers get few rows at a time; a text may be very long."""
+    """Let Python workers find this package, and get few rows at a time; a text may be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 BLOCK = 4096
 BINS = 256
@@ -156,6 +156,7 @@ def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_co
     ``is_query``: a Column over the id that tells which rows are queries.
     """
     spark = rows.sparkSession
+    small_batches(spark, 4096)
     table = written(quantised(rows, id_col, vec_col), "vectors")
     queries = table.filter(is_query(F.col("vec_id")))
     seen = table.agg(F.max("top").alias("top"), F.max("dim").alias("dim")).first()
