@@ -37,13 +37,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, small_batches, text_bytes, word_hashes, written
+from .common import distinct, mixed, small_batches, text_bytes, word_hashes, written
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 _BLOCKS = 64  # a task's table of counters is sent as so many rows
 _TOKEN_BITS = 38
-HANDED_ON = 4
+HANDED_ON = 6
 BROADCAST_ROWS = 1_000_000
 _PAIRS = 1 << 20  # pairs filtered at once
 POSTING = np.dtype([("tok", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("b0", "<u8"), ("b1", "<u8")])
@@ -67,7 +67,7 @@ def line_tokens(texts: pa.Array, rarity: np.ndarray | None = None) -> Iterator[t
     limit = 1 << (64 - 8 - _TOKEN_BITS)
     for lo in range(0, max(1, int(per_text.sum())), limit):
         a, b = np.searchsorted(line, [lo, lo + limit])
-        packed = np.unique((line[a:b] - lo).astype(np.uint64) << np.uint64(8 + _TOKEN_BITS) | rare[a:b] << np.uint64(_TOKEN_BITS) | tokens[a:b])
+        packed = distinct((line[a:b] - lo).astype(np.uint64) << np.uint64(8 + _TOKEN_BITS) | rare[a:b] << np.uint64(_TOKEN_BITS) | tokens[a:b])
         yield per_text, (packed >> np.uint64(8 + _TOKEN_BITS)).astype(np.int64) + lo, packed & np.uint64((1 << _TOKEN_BITS) - 1), packed >> np.uint64(_TOKEN_BITS) & np.uint64(255)
 
 
@@ -167,7 +167,7 @@ def postings(docs: DataFrame, rarity, threshold: float, parts: int) -> DataFrame
                 mine = np.where((token >> np.uint64(6) & np.uint64(1)) == half, bits, np.uint64(0))
                 mask = np.zeros(len(keys), np.uint64)
                 if len(some):
-                    mask[some] = np.bitwise_or.reduceat(mine, begin[some])
+                    mask[some] = np.bitwise_xor.reduceat(mine, begin[some])
                 masks.append(mask)
             of = line[used]
             out = np.empty(len(of), POSTING)
@@ -184,28 +184,39 @@ def postings(docs: DataFrame, rarity, threshold: float, parts: int) -> DataFrame
     return _rows(docs).mapInArrow(run, "part int, packed binary")
 
 
-def _passing(p: np.ndarray, i: np.ndarray, j: np.ndarray, t: Fraction) -> np.ndarray:
-    """Which pairs of postings pass the length, positional and bitmap filters."""
-    x, y = p[i], p[j]
-    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
-    need = -(-(nx + ny) * t.numerator // (t.numerator + t.denominator))
-    ok = (x["key"] != y["key"]) & (np.minimum(nx, ny) * t.denominator >= np.maximum(nx, ny) * t.numerator)
-    ok &= 1 + np.minimum(nx - x["at"], ny - y["at"]) - 1 >= need
-    differ = np.bitwise_count(x["b0"] ^ y["b0"]).astype(np.int64) + np.bitwise_count(x["b1"] ^ y["b1"])
-    return ok & (differ <= nx + ny - 2 * need)
+def _passing(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of postings, of near sizes, that pass the positional and bitmap filters.
+
+    With them comes how many parities differ.
+    """
+    both = p["n"][i] + p["n"][j]
+    need = -(-both * t.numerator // (t.numerator + t.denominator))
+    ok = np.minimum(p["left"][i], p["left"][j]) >= need
+    i, j, spare = i[ok], j[ok], both[ok] - 2 * need[ok]
+    differ = np.bitwise_count(p["b0"][i] ^ p["b0"][j]).astype(np.int64) + np.bitwise_count(p["b1"][i] ^ p["b1"][j])
+    ok = differ <= spare
+    return i[ok], j[ok], differ[ok]
 
 
-def _pairs(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs i < j within runs of the given sizes, about _PAIRS at a time."""
-    begin = np.cumsum(sizes) - sizes
-    later = np.arange(int(sizes.sum())) - np.repeat(begin, sizes)  # how many stand before each in its run
-    upto = np.cumsum(later)
+def _pairs(lists: np.ndarray, n: np.ndarray, t: Fraction) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs i < j of one list whose sizes are within the threshold, about _PAIRS at a time.
+
+    ``lists`` ascends, and the sizes ``n`` ascend within a list.
+    """
+    if not len(n):
+        return
+    wide, n = np.int64(1) << 33, n.astype(np.int64)
+    lists = np.cumsum(np.concatenate([[0], lists[1:] != lists[:-1]]))  # small numbers, so that nothing overflows
+    least = -(-n * t.numerator // t.denominator)
+    begin = np.searchsorted(lists * wide + n, lists * wide + least)
+    many = np.arange(len(n)) - begin
+    upto = np.cumsum(many)
     lo = 0
-    while lo < len(later):
+    while lo < len(n):
         hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _PAIRS, "right")))
-        n = later[lo:hi]
-        j = np.repeat(np.arange(lo, hi), n)
-        i = np.arange(len(j)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(np.arange(lo, hi) - n, n)
+        m = many[lo:hi]
+        j = np.repeat(np.arange(lo, hi), m)
+        i = np.arange(len(j)) - np.repeat(np.cumsum(m) - m, m) + np.repeat(begin[lo:hi], m)
         yield i, j
         lo = hi
 
@@ -222,44 +233,46 @@ def candidate_pairs(blocks: DataFrame, threshold: float, parts: int, only=None)
         raw = [x for batch in batches for x in batch.column(1).to_pylist()]
         p = np.frombuffer(b"".join(raw), POSTING)
         del raw
-        tokens, count = np.unique(p["tok"], return_counts=True)
-        p = p[np.isin(p["tok"], tokens[count > 1])]
-        p = p[np.lexsort((p["line"], p["doc"], p["key"], p["tok"]))]
+        order = np.argsort(p["tok"])
+        tok = p["tok"][order]
+        same = np.concatenate([[False], tok[1:] == tok[:-1], [False]])
+        p = p[order[same[1:] | same[:-1]]] if len(p) else p
+        p = p[np.lexsort((p["line"], p["doc"], p["key"], p["n"], p["tok"]))]
         if len(p):
             first = np.ones(len(p), bool)
             first[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["key"][1:] != p["key"][:-1])
             p = p[first]
-        _, count = np.unique(p["tok"], return_counts=True)
-        found = np.empty((0, 2), np.int64)
-        for i, j in _pairs(count):
-            ok = _passing(p, i, j, t)
-            i, j = i[ok], j[ok]
+        columns = {"n": p["n"].astype(np.int64), "left": p["n"].astype(np.int64) - p["at"], "b0": p["b0"].copy(), "b1": p["b1"].copy()}
+        found = np.empty((0, 3), np.int64)
+        for i, j in _pairs(p["tok"], p["n"], t):
+            i, j, differ = _passing(columns, i, j, t)
             x, y = p[i], p[j]
             swap = (x["doc"] > y["doc"]) | (x["doc"] == y["doc"]) & ((x["line"] > y["line"]) | (x["line"] == y["line"]) & (x["key"] > y["key"]))
             late, early = np.where(swap, i, j), np.where(swap, j, i)
             if only is not None:
                 mine = np.isin(p["key"][late], only.value)
-                late, early = late[mine], early[mine]
-            found = np.concatenate([found, np.column_stack([late, early])])
+                late, early, differ = late[mine], early[mine], differ[mine]
+            found = np.concatenate([found, np.column_stack([late, early, differ])])
             if len(found) > 4 * _PAIRS:
-                found, _ = _handed_on(p, found, only is None)
-        found, more = _handed_on(p, found, only is None)
+                found, _ = _handed_on(p["key"], found, only is None)
+        found, more = _handed_on(p["key"], found, only is None)
         yield pa.RecordBatch.from_arrays([pa.array(p["key"][found[:, 0]]), pa.array(p["key"][found[:, 1]]), pa.array(more)], names=["a", "b", "more"])
 
     return blocks.repartition(parts, "part").mapInArrow(run, "a long, b long, more boolean")
 
 
-def _handed_on(p: np.ndarray, found: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct class pairs, the earliest of each later class first; all of them, or a few and one more."""
-    late, early = p[found[:, 0]], p[found[:, 1]]
-    found = found[np.lexsort((early["key"], early["line"], early["doc"], late["key"]))]
-    a, b = p["key"][found[:, 0]], p["key"][found[:, 1]]
+def _handed_on(keys: np.ndarray, found: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct class pairs, the most alike of each later class first; all, or a few and one more."""
     if not len(found):
         return found, np.empty(0, bool)
+    a, b = keys[found[:, 0]], keys[found[:, 1]]
+    order = np.lexsort((b, found[:, 2], a))
+    found, a, b = found[order], a[order], b[order]
     new = np.ones(len(found), bool)
     new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     found, a = found[new], a[new]
-    _, begin, size = np.unique(a, return_index=True, return_counts=True)
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(a)]]))
     rank = np.arange(len(a)) - np.repeat(begin, size)
     more = np.repeat(size > HANDED_ON, size)
     if few:
