@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .vocab import CANONICAL, NO_FINDING, display_name, stripped
+from .vocab import display_name, stripped
 
 
 def coerced_status(c: Column) -> Column:
@@ -136,7 +136,3 @@ def error_message(class_name: Column, title: Column, body: Column) -> Column:
     own = F.when((class_name == "Error") & (title == WORKER_TITLE) & (F.coalesce(body, F.lit("")) != ""), body).otherwise(class_name)
     put = lambda m, name: F.concat(F.lit(m[0]), name, F.lit(m[1]))
     return F.when(kind == "quota", QUOTA_MESSAGE).when(kind == "interrupted", INTERRUPTED_MESSAGE).when(kind == "parse", put(PARSE_MESSAGE, own)).otherwise(put(GENERIC_MESSAGE, own))
-
-
-LABEL_LIST = ", ".join(CANONICAL)
-SENTINEL = NO_FINDING

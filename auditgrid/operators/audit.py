@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import combined_label
 from ..functions.geometry import iou
-from ..functions.vocab import NO_FINDING, POSITIVE, URGENT, canonical_ord, canonical_sorted, display_name
+from ..functions.scalars import combined_label
+from ..functions.vocab import DISPLAY_NAMES, NO_FINDING, POSITIVE, URGENT, canonical_ord, canonical_sorted, display_name
 
 SIDES = ("image", "draft")
 FLAGS = ("missing_findings", "unsupported_claims", "urgent_review_flags")
@@ -123,16 +123,10 @@ def findings_table(rows: DataFrame, ids: DataFrame, id_col: str = "image_id") ->
     wrong = (F.col("status") == "present") & (F.col("seen") == 0)
     draft = drafts.select(id_col, F.lit(1).alias("part"), "ord", display_name(F.col("finding")).alias("finding"), F.lit("Draft").alias("source"), F.initcap("status").alias("status"), F.when(wrong, PHRASES["unsupported"]).otherwise("").alias("audit_flag"))
     listed = image.unionByName(draft)
-    none = ids.select(id_col).distinct().join(listed.select(id_col), id_col, "left_anti").select(id_col, F.lit(0).alias("part"), F.lit(0).alias("ord"), F.lit(display_text(NO_FINDING)).alias("finding"), F.lit("Image").alias("source"), F.lit("Present").alias("status"), F.lit("").alias("audit_flag"))
+    none = ids.select(id_col).distinct().join(listed.select(id_col), id_col, "left_anti").select(id_col, F.lit(0).alias("part"), F.lit(0).alias("ord"), F.lit(DISPLAY_NAMES[NO_FINDING]).alias("finding"), F.lit("Image").alias("source"), F.lit("Present").alias("status"), F.lit("").alias("audit_flag"))
     return listed.unionByName(none)
 
 
-def display_text(label: str) -> str:
-    from ..functions.vocab import DISPLAY_NAMES
-
-    return DISPLAY_NAMES[label]
-
-
 def verdict_markdown(audits: DataFrame) -> DataFrame:
     """Add ``panel``: the flags of an audit as a short Markdown text, urgent ones first."""
     part = lambda head, flag, tail: F.when(F.size(flag) > 0, F.concat(F.lit(f"### {head}\n"), F.array_join(F.transform(flag, lambda x: F.concat(F.lit("- **"), display_name(x), F.lit(f"** {tail}"))), "\n")))

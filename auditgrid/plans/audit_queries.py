@@ -154,9 +154,9 @@ def image_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Leaders come from a fold over an image's items; each item belongs to the first leader that it overlaps.
-_REGIONS_SQL = f"""{_EVIDENCE_SQL}, e AS (SELECT *, {{{{'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}}}} AS bx FROM ev WHERE y0 IS NOT NULL),
+_REGIONS_SQL = f"""{_EVIDENCE_SQL}, e AS (SELECT *, {{'y0': y0, 'x0': x0, 'y1': y1, 'x1': x1}} AS bx FROM ev WHERE y0 IS NOT NULL),
 leaders AS (SELECT image_id, list_reduce(list([bx] ORDER BY ord), lambda acc, x: CASE WHEN len(list_filter(acc, lambda a: {iou_sql("a", "x[1]")} >= 0.9)) > 0 THEN acc ELSE list_concat(acc, x) END) AS ls FROM e GROUP BY image_id),
-assigned AS (SELECT e.*, ls, list_filter(range(1, len(ls) + 1), lambda k: {iou_sql("ls[k]", "bx")} >= 0.9)[1] AS region FROM e JOIN leaders USING (image_id))""".replace("{{", "{").replace("}}", "}")
+assigned AS (SELECT e.*, ls, list_filter(range(1, len(ls) + 1), lambda k: {iou_sql("ls[k]", "bx")} >= 0.9)[1] AS region FROM e JOIN leaders USING (image_id))"""
 _NAMES_SQL = "map {" + ", ".join(f"'{x}': '{n}'" for x, n in vocab.DISPLAY_NAMES.items()) + "}"
 
 
