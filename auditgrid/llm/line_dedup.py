@@ -45,6 +45,7 @@ _BLOCKS = 64  # a task's table of counters is sent as so many rows
 _TOKEN_BITS = 38
 HANDED_ON = 6
 BROADCAST_ROWS = 1_000_000
+OPEN_CLASSES = 20_000  # classes of a second round at once
 _PAIRS = 1 << 20  # pairs filtered at once
 POSTING = np.dtype([("tok", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("b0", "<u8"), ("b1", "<u8")])
 
@@ -140,8 +141,18 @@ def rarity_table(found: DataFrame) -> np.ndarray:
     return np.minimum(255, np.log2(total.ravel() + 1.0) * 8).astype(np.uint8)
 
 
-def postings(docs: DataFrame, rarity, threshold: float, parts: int) -> DataFrame:
-    """part, packed: blocks of POSTING records, dealt by token."""
+def prefix_tokens(sets: list[list[int]], rarity: np.ndarray, threshold: float) -> np.ndarray:
+    """The distinct tokens of the prefixes of token sets."""
+    out = [np.empty(0, np.uint64)]
+    for tokens in sets:
+        x = np.asarray(tokens, np.uint64)
+        rare = rarity[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]
+        out.append(x[np.lexsort((x, rare))][: prefix_sizes(np.asarray([len(x)]), threshold)[0]])
+    return distinct(np.concatenate(out))
+
+
+def postings(docs: DataFrame, rarity, threshold: float, parts: int, only=None) -> DataFrame:
+    """part, packed: blocks of POSTING records, dealt by token; of the tokens in ``only``, if given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, tuple[int, int]] = {}
@@ -160,6 +171,8 @@ def postings(docs: DataFrame, rarity, threshold: float, parts: int) -> DataFrame
             begin = np.cumsum(sizes) - sizes
             at = np.arange(len(token)) - begin[line]
             used = fresh[line] & (at < prefix_sizes(sizes, threshold)[line])
+            if only is not None:
+                used[used] = np.isin(token[used], only.value)
             bits = np.uint64(1) << (token & np.uint64(63))
             some = np.flatnonzero(sizes > 0)
             masks = []
@@ -281,8 +294,8 @@ def _handed_on(keys: np.ndarray, found: np.ndarray, few: bool) -> tuple[np.ndarr
     return found, np.zeros(len(found), bool)
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, tokens of every class in the pairs, taken from its text."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
     needed = written(keys.join(classes, "key").groupBy("text_hash").agg(F.collect_list("key").alias("keys")), "needed")
     side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS // 16 else needed
@@ -297,7 +310,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, threshold: f
                 out.setdefault(int(keys[i]), token[begin[i] : begin[i] + sizes[i]].astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["key", "tokens"])
 
-    sets = written(rows.select("text", "keys").mapInArrow(run, "key long, tokens array<long>"), "sets").dropDuplicates(["key"])
+    return written(rows.select("text", "keys").mapInArrow(run, "key long, tokens array<long>"), "sets").dropDuplicates(["key"])
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the threshold."""
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.filter(shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -315,16 +332,17 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").rdd.getNumPartitions())
     blocks = postings(docs, rarity, threshold, parts)
     handed = written(candidate_pairs(blocks, threshold, parts).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-    sure = written(verified(docs, classes, handed.select("a", "b"), threshold).select("a").distinct(), "verified")
-    open_ = handed.filter("more").select("a").distinct().join(sure, "a", "left_anti")
-    late = sure
-    todo = written(open_, "open")
-    n = todo.count()
-    slices = -(-n // BROADCAST_ROWS)
-    for k in range(slices):
-        mine = np.sort(todo.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).toPandas()["a"].to_numpy(np.int64))
-        rest = written(candidate_pairs(blocks, threshold, parts, spark.sparkContext.broadcast(mine)).select("a", "b").distinct(), "candidates")
-        late = late.union(verified(docs, classes, rest, threshold).select("a").distinct())
+    pairs = handed.select("a", "b")
+    sets = whole_sets(docs, classes, pairs)
+    late = written(verified(pairs, sets, threshold).select("a").distinct(), "verified")
+    todo = written(handed.filter("more").select("a").distinct().join(late, "a", "left_anti"), "open")
+    slices = -(-todo.count() // OPEN_CLASSES)
+    for k in range(slices):  # only the postings of these classes' own prefixes travel again
+        mine = todo.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).join(sets, F.col("a") == F.col("key")).select("a", "tokens").toPandas()
+        tokens = spark.sparkContext.broadcast(prefix_tokens(mine["tokens"].tolist(), rarity.value, threshold))
+        keys = spark.sparkContext.broadcast(np.sort(mine["a"].to_numpy(np.int64)))
+        rest = written(candidate_pairs(postings(docs, rarity, threshold, parts, tokens), threshold, parts, keys).select("a", "b").distinct(), "candidates")
+        late = late.union(verified(rest, whole_sets(docs, classes, rest), threshold).select("a").distinct())
     gone = classes.join(late.select(F.col("a").alias("key"), F.lit(True).alias("late")), "key", "left").select("key", F.when(F.col("late").isNull(), F.col("first")).alias("kept"))
     off = lines.join(written(gone, "kept"), "key").filter(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
     removed = off.select("doc_id", "text_hash", "line").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("removed"))
@@ -347,7 +365,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0)
     one = found.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("n_lines"))).filter("turn = 1")
     one = written(one.select("doc_id", "text_hash", "n_lines", "removed"), "removed")
-    side = (F.broadcast(one) if one.count() <= BROADCAST_ROWS // 16 else one).alias("r")
+    side = (F.broadcast(one) if one.count() <= BROADCAST_ROWS // 4 else one).alias("r")
     rows = docs.alias("d").join(side, (F.xxhash64("d.text") == F.col("r.text_hash")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left")
     kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains(F.col("r.removed"), i)), "\n")
     text = F.when(F.col("r.removed").isNull(), F.col("d.text")).otherwise(kept)
