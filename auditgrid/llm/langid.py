@@ -18,18 +18,26 @@ adds them up, so nothing larger than (languages x dimensions) reaches the driver
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows
 every text is.  Ties go to the language that comes first by name.  Repeated rows each get
 their result.  Other columns are ignored.
+
+The score compares languages with each other and says nothing about a text that is in none
+of them: centred prototypes sum to zero, so the best is never below 0.5 where two or more
+are learnt.  ``accepted`` therefore looks at the cosine with the uncentred prototype of the
+text's language, against bounds that each language's training rows set (``Bounds``).  Texts
+of a few distinct n-grams (a word or two, or one word over and over) cannot be told from
+chance in ``DIM`` dimensions and stay.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, written
 
 DIM = 512
 GRAM = 3
@@ -39,6 +47,7 @@ _SYMBOLS = 64
 _SEED = 20240229
 _PIECE = 1 << 20  # characters of a text that are counted at once
 _BATCH = 64  # texts whose n-gram counts are held at once
+_TAIL = 0.001  # share of a language's training rows that its bounds may leave out
 
 
 def letter_vectors(dim: int = DIM) -> np.ndarray:
@@ -95,8 +104,10 @@ def has_letter(codes: np.ndarray) -> bool:
     return bool((codes > 0).any())
 
 
-def text_vectors(texts: list[str | None], letters: np.ndarray) -> np.ndarray:
-    """Unit vectors of texts; zero where a text is null or has no letter."""
+def text_vectors(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of texts, and the root of how many distinct n-grams they amount to (n-grams
+    over the length of their sum); zero where a text is null or has no letter."""
+    n = np.zeros((len(texts), 1))
     out = np.zeros((len(texts), letters.shape[1]), np.float32)
     slot = np.zeros(1 << 6 * GRAM, np.int32)
     for at in range(0, len(texts), _BATCH):
@@ -108,24 +119,31 @@ def text_vectors(texts: list[str | None], letters: np.ndarray) -> np.ndarray:
         place = slot[flat] + np.repeat(np.arange(len(codes)) * len(grams), [len(c) for c in codes])
         counts = np.bincount(place, minlength=len(codes) * len(grams)).reshape(len(codes), len(grams)).astype(np.float32)
         counts[:, grams == 0] = 0
+        n[at : at + len(codes)] = counts.sum(axis=1, dtype=np.float64, keepdims=True)
         slot[grams] = 0
         out[at : at + len(codes)] = counts @ gram_vectors(grams, letters)
     size = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, size, out=out, where=size > 0)
+    spread = np.divide(n * letters.shape[1] ** 0.5, size, out=np.zeros(size.shape), where=size > 0)
+    return np.divide(out, size, out=out, where=size > 0), spread[:, 0]
 
 
-def prototypes(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototype vectors, from the training rows of ``docs(text, lang)``."""
+def _training(docs: DataFrame, train: Column, train_rows: int) -> DataFrame:
+    """text and lang of the training rows of ``docs``."""
     small_batches(docs.sparkSession)
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
     n = rows.count()
     if n > train_rows:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
+    return rows.select("text", F.col("lang").cast("string").alias("lang"))
+
+
+def _sums(rows: DataFrame, dim: int) -> tuple[list[str], np.ndarray]:
+    """Languages and the sums of their rows' unit vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = letter_vectors(dim), {}
         for batch in batches:
-            vectors = text_vectors(batch.column(0).to_pylist(), letters)
+            vectors, _ = text_vectors(batch.column(0).to_pylist(), letters)
             langs = np.asarray(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
@@ -133,7 +151,7 @@ def prototypes(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int =
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dim, pa.string()), pa.array(np.arange(dim, dtype=np.int32)), pa.array(np.rint(v * (1 << 20)).astype(np.int64))], names=["lang", "at", "x"])
 
     # whole numbers, so that sums do not depend on the order of tasks
-    summed = rows.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, "lang string, at int, x long").groupBy("lang", "at").agg(F.sum("x").alias("x"))
+    summed = rows.mapInArrow(run, "lang string, at int, x long").groupBy("lang", "at").agg(F.sum("x").alias("x"))
     got = summed.limit(MAX_LANGUAGES * dim + 1).toPandas()
     if len(got) > MAX_LANGUAGES * dim:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -141,13 +159,92 @@ def prototypes(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int =
     names = sorted(got["lang"].unique()) if len(got) else []
     out = np.zeros((len(names), dim), np.float64)
     if names:
-        out[got["lang"].map({x: i for i, x in enumerate(names)}), got["at"]] = got["x"]
-        out /= np.linalg.norm(out, axis=1, keepdims=True)
-    return names, out.astype(np.float32)
+        out[got["lang"].map({x: i for i, x in enumerate(names)}), got["at"]] = got["x"] / (1 << 20)
+    return names, out
+
+
+def _unit(sums: np.ndarray) -> np.ndarray:
+    return (sums / np.linalg.norm(sums, axis=1, keepdims=True)).astype(np.float32)
+
+
+def prototypes(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototype vectors, from the training rows of ``docs(text, lang)``."""
+    names, sums = _sums(_training(docs, train, train_rows), dim)
+    return names, _unit(sums)
+
+
+def _centred(protos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The prototypes' mean, and their unit vectors as seen from it."""
+    mean = protos.mean(axis=0) if len(protos) > 1 else np.zeros(protos.shape[1], np.float32)
+    centred = protos - mean
+    return mean, centred / np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
+
+
+def _cosines(vectors: np.ndarray, mean: np.ndarray, centred: np.ndarray) -> np.ndarray:
+    off = vectors - mean
+    return np.clip((off @ centred.T) / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12), -1, 1)
+
+
+class Bounds(NamedTuple):
+    """What a text of each language must reach; by language.
+
+    A text of s*s distinct n-grams has a cosine of about ``mean * s`` with its language's
+    prototype.  It is in the language if it falls short of that by ``short`` at most and, where
+    that is three times ``least`` or more, its cosine is ``least`` at least.
+    """
+
+    mean: np.ndarray
+    short: np.ndarray
+    least: np.ndarray
 
+    def hold(self, best: np.ndarray, cosine: np.ndarray, spread: np.ndarray) -> np.ndarray:
+        hoped = self.mean[best] * spread
+        return (hoped - cosine <= self.short[best]) & ((cosine >= self.least[best]) | (hoped < 3 * self.least[best]))
 
-def _predicted(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[str]) -> DataFrame:
-    """c_0, c_1, ... (the columns to carry), lang_pred and score of every row."""
+
+def learnt(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, Bounds]:
+    """``prototypes`` and the bounds that the same training rows set.
+
+    Each row that gets its own language is held against the prototype of its language's other
+    rows.  All but ``_TAIL`` of these keep to some shortfall and some cosine: the bounds are
+    half as much again (and three standard deviations of chance) and half of it.  A language
+    without two such rows has none.
+    """
+    rows = _training(docs, train, train_rows)
+    names, sums = _sums(rows, dim)
+    bounds = Bounds(np.zeros(len(names)), np.full(len(names), np.inf), np.full(len(names), -np.inf))
+    if not names:
+        return names, _unit(sums), bounds
+    given = docs.sparkSession.sparkContext.broadcast((names, sums, *_centred(_unit(sums))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, total, mid, profiles = given.value
+        letters, place, size = letter_vectors(dim), {x: i for i, x in enumerate(known)}, (total**2).sum(axis=1)
+        for batch in batches:
+            vectors, spread = text_vectors(batch.column(0).to_pylist(), letters)
+            at = np.asarray([place.get(x, 0) for x in batch.column(1).to_pylist()], np.int64)
+            along = (vectors * total[at]).sum(axis=1)
+            others = size[at] - 2 * along + 1  # squared length of the sum without the row
+            some = (spread > 0) & (others > 1e-3) & (_cosines(vectors, mid, profiles).argmax(axis=1) == at)
+            cosine = (along[some] - 1) / np.sqrt(others[some])
+            yield pa.RecordBatch.from_arrays([pa.array(at[some]), pa.array(cosine), pa.array(spread[some])], names=["at", "cosine", "spread"])
+
+    fits = written(rows.mapInArrow(run, "at long, cosine double, spread double"), "language-fits")
+    means = fits.groupBy("at").agg(F.avg(F.col("cosine") / F.col("spread")).alias("mean")).toPandas()
+    bounds.mean[means["at"]] = means["mean"]
+    if means.empty:
+        return names, _unit(sums), bounds
+    fits = fits.join(F.broadcast(docs.sparkSession.createDataFrame(means, "at long, mean double")), "at")
+    short = F.col("mean") * F.col("spread") - F.col("cosine")
+    slack = 3 / dim**0.5
+    for r in fits.groupBy("at").agg(F.percentile(short, 1 - _TAIL).alias("short"), F.percentile("cosine", _TAIL).alias("least")).collect():
+        bounds.short[r["at"]] = 1.5 * max(r["short"], 0.0) + slack
+        bounds.least[r["at"]] = r["least"] / 2
+    return names, _unit(sums), bounds
+
+
+def _predicted(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[str], bounds: Bounds | None = None) -> DataFrame:
+    """c_0, c_1, ... (the columns to carry), lang_pred, score and whether the bounds hold, of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     others = [i for i, c in enumerate(carry) if c != "text"]
@@ -156,24 +253,21 @@ def _predicted(docs: DataFrame, names: list[str], protos: np.ndarray, carry: lis
     schema = rows.drop("t").schema
     for c in back:
         schema = schema.add(c, "string")
-    schema = schema.add("lang_pred", "string").add("score", "double")
-    mean = protos.mean(axis=0) if len(names) > 1 else np.zeros(protos.shape[1], np.float32)
-    centred = protos - mean
-    centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-12)
-    given = spark.sparkContext.broadcast((names, mean, centred))
+    schema = schema.add("lang_pred", "string").add("score", "double").add("holds", "boolean")
+    given = spark.sparkContext.broadcast((names, *_centred(protos), protos, bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, mid, profiles = given.value
+        known, mid, profiles, whole, limits = given.value
         letters = letter_vectors(profiles.shape[1])
         for batch in batches:
-            vectors = text_vectors(batch.column(0).to_pylist(), letters)
+            vectors, spread = text_vectors(batch.column(0).to_pylist(), letters)
             some = (vectors != 0).any(axis=1) if known else np.zeros(len(vectors), bool)
-            off = vectors - mid
-            cosine = np.clip((off @ profiles.T) / np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12), -1, 1) if known else np.zeros((len(vectors), 1))
+            cosine = _cosines(vectors, mid, profiles) if known else np.zeros((len(vectors), 1))
             best = cosine.argmax(axis=1)
             langs = [known[b] if s else "und" for b, s in zip(best, some, strict=True)]
             score = np.where(some, (1 + cosine[np.arange(len(best)), best].astype(np.float64)) / 2, 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[batch.column(0)] * len(back), pa.array(langs, pa.string()), pa.array(score)], names=schema.names)
+            holds = some if limits is None or not known else some & limits.hold(best, (vectors * whole[best]).sum(axis=1, dtype=np.float64), spread)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[batch.column(0)] * len(back), pa.array(langs, pa.string()), pa.array(score), pa.array(holds)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
@@ -184,9 +278,9 @@ def predict(docs: DataFrame, names: list[str], protos: np.ndarray, carry: list[s
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], "lang_pred", "score")
 
 
-def accepted(docs: DataFrame, names: list[str], protos: np.ndarray, min_score: float) -> DataFrame:
-    """The rows, with all their columns, that have a language with ``min_score`` or more."""
-    out = _predicted(docs, names, protos, docs.columns).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+def accepted(docs: DataFrame, names: list[str], protos: np.ndarray, bounds: Bounds) -> DataFrame:
+    """The rows, with all their columns, that have a language and keep to its bounds."""
+    out = _predicted(docs, names, protos, docs.columns, bounds).filter("holds")
     return out.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
