@@ -11,7 +11,7 @@ keeps the scores above it and, of those equal to it, the smallest ids that are n
 
 Vectors that are null or hold a null or a non-finite component take no part; rows with a
 null id neither.  Vectors of unequal lengths meet as if padded with zeros.  A query's own
-row is every row with its id.  Scores beyond 64 bits are set to the nearest 64-bit value.
+row is every row with its id.  Scores beyond +-(2**63 - 1) are set to the nearer of the two.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from .common import small_batches, written
 BLOCK = 4096
 BINS = 256
 _SCORES = 1 << 20  # scores held at once in a task
+_MOST = (1 << 63) - 1  # largest magnitude of a score
+_ZERO = np.uint64(1 << 63)  # where scores as unsigned numbers have their zero
 
 
 def quantised(rows: DataFrame, id_col: str, vec_col: str, scale: float = 64.0) -> DataFrame:
@@ -68,7 +70,7 @@ class Scorer:
 
     def reach(self, top: float) -> np.ndarray:
         """No query's score is larger in magnitude."""
-        return np.asarray([min(sum(abs(int(x)) for x in r) * int(top), (1 << 62) - 1) for r in self.matrix], np.int64)
+        return np.asarray([min(sum(abs(int(x)) for x in r) * int(top), _MOST) for r in self.matrix], np.int64)
 
     def of(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(candidate ids, scores by query and candidate); own rows get the lowest score."""
@@ -78,7 +80,7 @@ class Scorer:
                 part = batch.slice(at, step)
                 ids = part.column(0).to_numpy()
                 scores = self.matrix @ self.rows(part.column(1).to_pylist()).T
-                scores = np.clip(scores, -(1 << 62), 1 << 62).astype(np.int64) if self.kind is object else scores.astype(np.int64)
+                scores = np.clip(scores, -_MOST, _MOST).astype(np.int64) if self.kind is object else scores.astype(np.int64)
                 order = np.argsort(self.ids, kind="stable")
                 left, right = (np.searchsorted(self.ids[order], ids, side) for side in ("left", "right"))
                 for c in np.flatnonzero(right > left):
@@ -86,8 +88,13 @@ class Scorer:
                 yield ids, scores
 
 
+def _unsigned(scores: np.ndarray) -> np.ndarray:
+    """The scores in the same order, from 1 on; own rows are 0.  Ranges of these fit 64 bits."""
+    return scores.view(np.uint64) ^ _ZERO
+
+
 def _counted(rows: DataFrame, block, lo: np.ndarray, span: np.ndarray, width: np.ndarray, bins: int, k: int) -> DataFrame:
-    """q, bin, n: scores in each bin of [lo, lo + span), from the highest down."""
+    """q, bin, n: unsigned scores in each bin of [lo, lo + span), from the highest down."""
     given = rows.sparkSession.sparkContext.broadcast((lo, span, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +102,11 @@ def _counted(rows: DataFrame, block, lo: np.ndarray, span: np.ndarray, width: np
         n = len(low)
         counts = np.zeros((n, bins), np.int64)
         for _, scores in scorer.of(batches):
+            scores = _unsigned(scores)
             at = scores - low[:, None]
-            inside = (at >= 0) & (at < long[:, None]) & (scores > np.iinfo(np.int64).min)
+            inside = (scores >= low[:, None]) & (at < long[:, None])
             q, _ = np.nonzero(inside)
-            counts += np.bincount(q * bins + at[inside] // wide[q], minlength=n * bins).reshape(n, bins)
+            counts += np.bincount(q * bins + (at[inside] // wide[q]).astype(np.int64), minlength=n * bins).reshape(n, bins)
         above = counts[:, ::-1].cumsum(axis=1)[:, ::-1] - counts
         q, b = np.nonzero((counts > 0) & (above < k))
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(counts[q, b])], names=["q", "bin", "n"])
@@ -130,8 +138,8 @@ def _found(q: np.ndarray, c: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
 
 def kth_scores(rows: DataFrame, block, n: int, reach: np.ndarray, k: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """For each query the k-th best score and how many equal to it belong to the best k."""
-    lo, span, above = -reach, 2 * reach + 1, np.zeros(n, np.int64)
-    width = -(-span // bins)
+    lo, span, above = _unsigned(-reach), 2 * reach.astype(np.uint64) + 1, np.zeros(n, np.int64)
+    width = (span - 1) // bins + 1
     all_in = np.zeros(n, bool)  # fewer than k candidates in all
     while True:
         counts = np.zeros((n, bins), np.int64)
@@ -142,12 +150,12 @@ def kth_scores(rows: DataFrame, block, n: int, reach: np.ndarray, k: int, bins:
         all_in |= ~here.any(axis=1)
         at = np.where(all_in, 0, here.argmax(axis=1))
         above = np.where(all_in, 0, higher[np.arange(n), at])
-        end, lo = lo + span, lo + at * width
+        last, lo = lo + (span - 1), lo + at.astype(np.uint64) * width
         if (width == 1).all() or all_in.all():
-            least = np.where(all_in, np.iinfo(np.int64).min, lo)
+            least = np.where(all_in, np.iinfo(np.int64).min, (lo ^ _ZERO).view(np.int64))
             return least, np.where(all_in, 0, k - above)
-        span = np.minimum(width, end - lo)  # the last bin may reach beyond the range
-        width = -(-span // bins)
+        span = np.minimum(width, last - lo + 1)  # the last bin may reach beyond the range
+        width = (span - 1) // bins + 1
 
 
 def top_k(rows: DataFrame, is_query, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, bins: int = BINS) -> DataFrame:

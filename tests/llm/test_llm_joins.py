@@ -211,6 +211,20 @@ def test_top_k_equals_brute_force(spark, scale, block, bins):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+@pytest.mark.parametrize("bins", [2, 256])
+def test_top_k_ranks_scores_up_to_64_bits(spark, bins):
+    most = 2**63 - 1
+    q = {0: [2**31, 0], 5: [-(2**31), 0], **{i: [2**31 + (i - 10) * 2**27, 7] for i in range(10, 26)}, 30: [2**33, 1], 31: [2**34, 0], 32: [-(2**33), 0]}
+    rows = spark.createDataFrame([(i, [x / 64 for x in v]) for i, v in q.items()], "vec_id long, embedding array<double>").repartition(3)
+    for k in (1, 9, 30):
+        got = topk.top_k(rows, lambda i: i.isin(0, 5, 12), k=k, bins=bins)
+        want = []
+        for i in (0, 5, 12):
+            scored = sorted((-max(-most, min(most, sum(a * b for a, b in zip(q[i], q[j], strict=True)))), j) for j in q if j != i)
+            want += [(i, r, j, -s) for r, (s, j) in enumerate(scored[:k], 1)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_top_k_of_few_or_no_rows(spark):
     rows = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert sorted(map(tuple, topk.top_k(rows, lambda i: i >= 0).collect())) == [(0, 1, 1, 64 * 128), (1, 1, 0, 64 * 128)]
