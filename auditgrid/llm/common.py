@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import ship
 
-#: Rows of text in one Arrow batch: bounds a worker's memory when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes that the JVM puts into one Arrow batch at most (one row may be larger).
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
+#: Bytes of texts that a worker looks at together; one longer text is looked at alone.
+SLICE_BYTES = 1 << 20
+#: Row groups of scratch tables: what a writer holds in the JVM's heap.
+ROW_GROUP_BYTES = 16 << 20
 
+Batches = Iterator[pa.RecordBatch]
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -25,19 +33,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Let Python workers find this package, and get few rows at a time; a text may be very long."""
+def _bytes(setting: str) -> int:
+    number, unit = setting.rstrip("bB"), 1
+    for i, u in enumerate("kmgt"):
+        if number[-1:].lower() == u:
+            number, unit = number[:-1], 1 << 10 * (i + 1)
+    return int(number) * unit
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers find this package, and keep Arrow batches small.
+
+    The session's limits on rows and bytes of a batch are lowered, never raised, so that it
+    does not matter which query is planned when.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if not 0 < _bytes(spark.conf.get(size)) <= BATCH_BYTES:
+        spark.conf.set(size, str(BATCH_BYTES))
+
+
+def _sliced(batch: pa.RecordBatch, most: int) -> Batches:
+    """The batch in runs of rows whose strings and binaries have about ``most`` bytes."""
+    if batch.nbytes <= most:
+        yield batch
+        return
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+            sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    turn = (np.cumsum(sizes) - sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(turn)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """Give memory that is not in use back to the machine: workers are used again by later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # glibc alone has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """A function for ``mapInArrow`` that gets slices of bounded size and leaves a small worker."""
+
+    @functools.wraps(run)
+    def bounded(batches: Batches) -> Batches:
+        try:
+            yield from run(part for batch in batches for part in _sliced(batch, SLICE_BYTES))
+        finally:
+            release()
+
+    return bounded
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where it is unset (a single machine, as in tests) a local folder is made.
+    Where it is unset a folder is made on a single machine, as in tests; on a cluster that
+    is an error, as executors would write to folders of their own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="auditgrid-")
         spark.sparkContext.setCheckpointDir(found)
     elif spark.sparkContext.getCheckpointDir() is None:
@@ -55,8 +117,17 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
 def written(df: DataFrame, tag: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe from lost executors."""
     path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP_BYTES)).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for t in tables:
+        delete_path(t.sparkSession, t.scratch_path)
+        _SCRATCH[:] = [x for x in _SCRATCH if x[1] != t.scratch_path]
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -72,6 +143,45 @@ def _clean() -> None:
             delete_path(spark, path)
 
 
+class Bloom:
+    """A Bloom filter over 64-bit hashes: two bits a key, in 2**16 to ``most`` bits.
+
+    It may let strangers pass but never stops a member, so it serves where an exact join or
+    check follows; with more keys than it has room for, more strangers pass.
+    """
+
+    MOST = 1 << 26
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, np.uint64(len(bits) * 8 - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        keys = keys.astype(np.int64, copy=False).view(np.uint64)
+        out = np.ones(len(keys), bool)
+        for x in (keys & self.mask, keys >> np.uint64(32) & self.mask):
+            out &= (self.bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        return out
+
+
+def bloom(keys: DataFrame, most: int = Bloom.MOST):
+    """A broadcast ``Bloom`` of a table's only column of longs; ``most`` / 8 bytes at most.
+
+    Spark makes the bitmaps and adds them up; the driver gets 4 KB for each 2**15 bits.
+    """
+    name = keys.columns[0]
+    size = 1 << 16
+    n = keys.count()
+    while size < most and size < 16 * n:
+        size *= 2
+    places = [F.col(name).bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(name, 32).bitwiseAND(F.lit(size - 1))]
+    at = keys.select(F.explode(F.array(*places)).alias("x")).select((F.col("x") + 1).alias("x"))
+    rows = at.groupBy(F.bitmap_bucket_number("x").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    bits = np.zeros((size >> 15, 4096), np.uint8)
+    for r in rows.toLocalIterator():
+        bits[r["block"] - 1] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    return keys.sparkSession.sparkContext.broadcast(Bloom(bits.ravel()))
+
+
 # ---------------------------------------------------------------- words of text batches
 
 #: Bytes of a text that are looked at together; keeps the arrays below in the CPU's caches.

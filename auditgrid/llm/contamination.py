@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, worker, written
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 16 << 20
@@ -107,6 +107,7 @@ def _scan_one(docs: DataFrame, windows, text_at: int) -> DataFrame:
     schema = docs.select(*[c for c in docs.columns if c != "spans"]).schema.add("spans", "string")
     key = uuid.uuid4().hex
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _automaton_of(windows, key)
         some = len(scanner) > 0

@@ -1,14 +1,15 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter symbol has a random vector of +1 and -1.  An n-gram is the elementwise
-product (binding) of its letters' vectors, each rotated by its place; a text is the sum
-(bundle) of the vectors of its n-grams; a language's prototype is the sum of its training
-texts' unit vectors.  A text gets the language whose prototype has the largest cosine with
-the text's vector, both taken from the mean of all prototypes.
+Every letter of every script has its own random vector of +1 and -1, drawn from its code
+point.  An n-gram is the elementwise product (binding) of its letters' vectors, each rotated
+by its place; a text is the sum (bundle) of the vectors of its n-grams; a language's
+prototype is the sum of its training texts' unit vectors.  A text gets the language whose
+prototype has the largest cosine with the text's vector, both taken from the mean of all
+prototypes.  Vectors are held as bits (1 for -1), so that binding is an exclusive or.
 
 Text is lower-cased; each run of characters that are no letters counts as one boundary
-symbol.  Latin a-z have symbols of their own, the other letters share 37 by their code.
-The whole text is used, in pieces of bounded size, as counts add up.
+symbol.  The whole text is used, in pieces of bounded size, as counts add up; sums are
+whole numbers, so they depend neither on the pieces nor on the batches.
 
 Training: rows whose language is not null and for which ``train`` holds, with a text that
 has a letter.  At most about ``train_rows`` of them are used: where there are more, rows
@@ -17,7 +18,8 @@ adds them up, so nothing larger than (languages x dimensions) reaches the driver
 
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows
 every text is.  Ties go to the language that comes first by name.  Repeated rows each get
-their result.  Other columns are ignored.
+their result.  An empty table gives no rows.  Columns that are not asked for are ignored,
+whatever their names; ``accepted`` passes all columns through, whatever their names.
 
 The score compares languages with each other and says nothing about a text that is in none
 of them: centred prototypes sum to zero, so the best is never below 0.5 where two or more
@@ -37,94 +39,139 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import mixed, small_batches, worker, written
 
-DIM = 512
+DIM = 2048
 GRAM = 3
 TRAIN_ROWS = 60_000
 MAX_LANGUAGES = 4096
-_SYMBOLS = 64
 _SEED = 20240229
-_PIECE = 1 << 20  # characters of a text that are counted at once
-_BATCH = 64  # texts whose n-gram counts are held at once
+_PIECE = 1 << 18  # characters of a text that are counted at once
+_GRAMS = 2048  # n-grams whose vectors are held at once
+_COUNTS = 1 << 22  # counts (texts x n-grams) that are held at once
+_DIRECT = 1 << 21  # n-gram codes that are found by a table; more are sorted
 _TAIL = 0.001  # share of a language's training rows that its bounds may leave out
 
 
-def letter_vectors(dim: int = DIM) -> np.ndarray:
-    """A random +-1 vector for every symbol (0: the boundary)."""
-    return np.random.Generator(np.random.PCG64(_SEED)).choice(np.float32([-1, 1]), (_SYMBOLS, dim))
+def letter_bits(points: np.ndarray, dim: int = DIM) -> np.ndarray:
+    """The random vector of each code point (0: the boundary) as ``dim`` bits, 1 for -1."""
+    words = np.arange(dim // 64, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        return mixed(mixed(points.astype(np.uint64) + np.uint64(_SEED))[:, None] + words * np.uint64(0x9E3779B97F4A7C15))
 
 
-def gram_vectors(codes: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """Bound vectors of packed n-grams: the i-th letter from the end is rotated by i."""
-    out = np.ones((len(codes), letters.shape[1]), np.float32)
-    for i in range(GRAM):
-        out *= np.roll(letters, i, axis=1)[codes >> 6 * i & 63]
-    return out
+def rotated(bits: np.ndarray, by: int) -> np.ndarray:
+    """Vectors rotated by ``by`` places, less than 64."""
+    if not by:
+        return bits
+    return bits << np.uint64(by) | np.roll(bits, 1, axis=1) >> np.uint64(64 - by)
 
 
-class _Symbols:
-    """Symbol of every code point, filled as code points are met (255: not yet known)."""
+class _Letters:
+    """The lower-case letter of every code point (0: no letter), filled as code points are met."""
 
     def __init__(self) -> None:
-        self.table = np.full(0x110000, 255, np.uint8)
+        self.table = np.full(0x110000, -1, np.int32)
 
     def of(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         out = self.table[points]
-        if (out == 255).any():
-            for c in np.unique(points[out == 255]).tolist():
-                low = chr(c).lower()
-                self.table[c] = 0 if not chr(c).isalpha() else ord(low) - 96 if "a" <= low <= "z" else 27 + (ord(low[0]) * 40503 >> 4) % 37
+        if (out < 0).any():
+            for c in np.unique(points[out < 0]).tolist():
+                self.table[c] = ord(chr(c).lower()[0]) if chr(c).isalpha() else 0
             out = self.table[points]
         return out
 
 
-_SYMBOL_TABLE = _Symbols()
+_LETTERS = _Letters()
+_NUMBER = np.zeros(0x110000, np.int32)  # of the letters at hand; all 0 between uses
 
 
-def gram_codes(text: str) -> np.ndarray:
-    """Packed n-grams of a text with a boundary before and after it; none if no letter."""
-    found = []
-    tail = np.zeros(1, np.uint8)
+def pieces(text: str) -> Iterator[np.ndarray]:
+    """Letters of a text, 0 for a boundary: each window of GRAM is in one piece and once."""
+    tail = np.zeros(1, np.int32)
     for at in range(0, len(text), _PIECE):
-        s = _SYMBOL_TABLE.of(text[at : at + _PIECE])
-        s = np.concatenate([tail, s, np.zeros(int(at + _PIECE >= len(text)), np.uint8)])
+        s = _LETTERS.of(text[at : at + _PIECE])
+        s = np.concatenate([tail, s, np.zeros(int(at + _PIECE >= len(text)), np.int32)])
         s = s[(s > 0) | (np.concatenate([[1], s[:-1]]) > 0)]  # one boundary for a run
-        codes = np.zeros(max(0, len(s) - GRAM + 1), np.int32)
-        for i in range(GRAM):
-            codes = codes << 6 | s[i : len(s) - GRAM + 1 + i]
-        found.append(codes)
+        yield s
         tail = s[-(GRAM - 1) :]
-    out = np.concatenate(found) if found else np.empty(0, np.int32)
-    return out
-
 
-def has_letter(codes: np.ndarray) -> bool:
-    return bool((codes > 0).any())
 
-
-def text_vectors(texts: list[str | None], letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+class Bundler:
+    """Sums of the n-gram vectors of texts."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def add(self, units: list[tuple[int, np.ndarray]], out: np.ndarray, n: np.ndarray) -> None:
+        """Add the windows of (text, letters) to ``out`` (texts x dim) and their number to ``n``."""
+        units = [u for u in units if len(u[1]) >= GRAM]
+        if not units:
+            return
+        flat = np.concatenate([s for _, s in units])
+        seen = np.unique(flat)
+        letters = np.concatenate([[0], seen[seen > 0]])
+        _NUMBER[letters] = np.arange(len(letters))
+        number, base = _NUMBER[flat].astype(np.int64), len(letters)
+        _NUMBER[letters] = 0
+        code = np.zeros(len(flat) - GRAM + 1, np.int64)
+        for i in range(GRAM):
+            code = code * base + number[i : len(flat) - GRAM + 1 + i]
+        texts, row = np.unique([i for i, _ in units], return_inverse=True)
+        sizes = np.asarray([len(s) for _, s in units])
+        inside = np.ones(len(flat), bool)
+        for k in range(1, GRAM):
+            inside[np.cumsum(sizes) - k] = False  # windows that begin here leave their piece
+        inside = inside[: len(code)]
+        code, of = code[inside], np.repeat(row, sizes - GRAM + 1)
+        if base**GRAM <= _DIRECT:
+            place = np.zeros(base**GRAM, np.int64)
+            place[code] = 1
+            grams = np.flatnonzero(place)
+            place[grams] = np.arange(len(grams))
+            place = place[code]
+        else:
+            grams, place = np.unique(code, return_inverse=True)
+        if len(units) > 1 and len(texts) * len(grams) > _COUNTS:
+            self.add(units[: len(units) // 2], out, n)
+            self.add(units[len(units) // 2 :], out, n)
+            return
+        counts = np.bincount(of * len(grams) + place, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
+        n[texts] += counts.sum(axis=1, dtype=np.float64)
+        bits = [rotated(letter_bits(letters, self.dim), i) for i in range(GRAM)]
+        for at in range(0, len(grams), _GRAMS):
+            bound, rest = 0, grams[at : at + _GRAMS]
+            for i in range(GRAM):
+                bound = bound ^ bits[i][rest % base]
+                rest = rest // base
+            some = counts[:, at : at + _GRAMS]
+            minus = np.unpackbits(bound.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+            out[texts] += some.sum(axis=1, dtype=np.float64, keepdims=True) - 2.0 * (some @ minus)
+
+
+def text_sums(texts: list[str | None], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of each text's n-gram vectors, and how many n-grams there are."""
+    out, n, bundler = np.zeros((len(texts), dim)), np.zeros(len(texts)), Bundler(dim)
+    held, size = [], 0
+    for i, text in enumerate(texts):
+        for s in pieces(text or ""):
+            held.append((i, s))
+            size += len(s)
+            if size > _PIECE:
+                bundler.add(held, out, n)
+                held, size = [], 0
+    bundler.add(held, out, n)
+    return out, n
+
+
+def text_vectors(texts: list[str | None], dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors of texts, and the root of how many distinct n-grams they amount to (n-grams
     over the length of their sum); zero where a text is null or has no letter."""
-    n = np.zeros((len(texts), 1))
-    out = np.zeros((len(texts), letters.shape[1]), np.float32)
-    slot = np.zeros(1 << 6 * GRAM, np.int32)
-    for at in range(0, len(texts), _BATCH):
-        codes = [gram_codes(t or "") for t in texts[at : at + _BATCH]]
-        flat = np.concatenate(codes)
-        slot[flat] = 1
-        grams = np.flatnonzero(slot)
-        slot[grams] = np.arange(len(grams))
-        place = slot[flat] + np.repeat(np.arange(len(codes)) * len(grams), [len(c) for c in codes])
-        counts = np.bincount(place, minlength=len(codes) * len(grams)).reshape(len(codes), len(grams)).astype(np.float32)
-        counts[:, grams == 0] = 0
-        n[at : at + len(codes)] = counts.sum(axis=1, dtype=np.float64, keepdims=True)
-        slot[grams] = 0
-        out[at : at + len(codes)] = counts @ gram_vectors(grams, letters)
-    size = np.linalg.norm(out, axis=1, keepdims=True)
-    spread = np.divide(n * letters.shape[1] ** 0.5, size, out=np.zeros(size.shape), where=size > 0)
-    return np.divide(out, size, out=out, where=size > 0), spread[:, 0]
+    out, n = text_sums(texts, dim)
+    size = np.linalg.norm(out, axis=1)
+    spread = np.divide(n * dim**0.5, size, out=np.zeros(len(n)), where=size > 0)
+    return np.divide(out, size[:, None], out=out, where=size[:, None] > 0).astype(np.float32), spread
 
 
 def _training(docs: DataFrame, train: Column, train_rows: int) -> DataFrame:
@@ -140,10 +187,11 @@ def _training(docs: DataFrame, train: Column, train_rows: int) -> DataFrame:
 def _sums(rows: DataFrame, dim: int) -> tuple[list[str], np.ndarray]:
     """Languages and the sums of their rows' unit vectors."""
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, sums = letter_vectors(dim), {}
+        sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            vectors, _ = text_vectors(batch.column(0).to_pylist(), letters)
+            vectors, _ = text_vectors(batch.column(0).to_pylist(), dim)
             langs = np.asarray(batch.column(1).to_pylist(), object)
             for lang in sorted(set(langs)):
                 sums[lang] = sums.get(lang, 0) + vectors[langs == lang].sum(axis=0, dtype=np.float64)
@@ -217,11 +265,12 @@ def learnt(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRA
         return names, _unit(sums), bounds
     given = docs.sparkSession.sparkContext.broadcast((names, sums, *_centred(_unit(sums))))
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, total, mid, profiles = given.value
-        letters, place, size = letter_vectors(dim), {x: i for i, x in enumerate(known)}, (total**2).sum(axis=1)
+        place, size = {x: i for i, x in enumerate(known)}, (total**2).sum(axis=1)
         for batch in batches:
-            vectors, spread = text_vectors(batch.column(0).to_pylist(), letters)
+            vectors, spread = text_vectors(batch.column(0).to_pylist(), dim)
             at = np.asarray([place.get(x, 0) for x in batch.column(1).to_pylist()], np.int64)
             along = (vectors * total[at]).sum(axis=1)
             others = size[at] - 2 * along + 1  # squared length of the sum without the row
@@ -256,11 +305,11 @@ def _predicted(docs: DataFrame, names: list[str], protos: np.ndarray, carry: lis
     schema = schema.add("lang_pred", "string").add("score", "double").add("holds", "boolean")
     given = spark.sparkContext.broadcast((names, *_centred(protos), protos, bounds))
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, mid, profiles, whole, limits = given.value
-        letters = letter_vectors(profiles.shape[1])
         for batch in batches:
-            vectors, spread = text_vectors(batch.column(0).to_pylist(), letters)
+            vectors, spread = text_vectors(batch.column(0).to_pylist(), profiles.shape[1])
             some = (vectors != 0).any(axis=1) if known else np.zeros(len(vectors), bool)
             cosine = _cosines(vectors, mid, profiles) if known else np.zeros((len(vectors), 1))
             best = cosine.argmax(axis=1)

@@ -6,24 +6,32 @@ line number); a line is removed when an earlier line has a Jaccard similarity of
 
 1. One pass takes every line's 64-bit set key, and counts in how many lines each token
    is, in a table of fixed size (2**20 counters by the token's hash; the sum of all tasks'
-   tables is the only thing broadcast).  Lines of one key are one class with one first
-   place; all its other lines are removed.
+   tables is broadcast, a byte each).  Lines of one key are one class with one first place;
+   all its other lines are removed.
 2. The tokens of a line are put in order of rarity (counter, then hash: one order for all
    lines).  Two lines that reach the threshold share a token among their first
-   n - ceil(threshold * n) + 1: these prefixes are the postings.  Postings travel as
-   packed blocks, by token, and a task sorts what it gets by token.
+   n - ceil(threshold * n) + 1: these prefixes are the postings.  Lines so short that only
+   an equal set can reach the threshold have none.  Postings travel as packed blocks, by
+   token, to so many tasks that each gets about ``TASK_BYTES``.
 3. Within a token's list, pairs must pass the length filter, the positional filter (what
    can still be shared after this place) and a bitmap filter (128 bits of the sets: the
    difference is at least the number of bits that differ).  For every later class a task
-   hands on its few earliest candidates, so rows grow with the classes, not with pairs.
-4. Candidates are verified on whole sets, taken anew from the texts.  Classes whose
-   handed-on candidates all fail, and that had more, get all of them in a second round:
-   nothing is left out.
-
-Token ids are 38 bits of a hash and class keys 64 bits; both are treated as the token or
-set itself.  A null text has no lines; a null id comes before all others; rows equal in id
-and text count as one place and get the same result.  Other columns are passed through by
-``deduplicated`` and ignored otherwise.
+   hands on its few most alike candidates, so rows grow with the classes, not with pairs.
+   A task whose lists outgrow ``HELD_BYTES`` passes its postings on, in groups by token;
+   large groups are dealt to blocks of ``BLOCK`` postings, and each two blocks of a group
+   meet in a task: a hot token's work is split over tasks, each of bounded memory.
+4. Candidates are verified on whole sets, taken anew from the texts that hold them (found
+   by Bloom filters of bounded size; texts are not shuffled).  Classes whose handed-on
+   candidates all fail, and that had more, get all of them in one second round: up to
+   ``OPEN`` of them are held against the sizes and bitmaps of all earlier classes, more take
+   their prefixes' postings again.  Nothing is left out.
+
+Words and sets are told apart by 64-bit hashes: two of n different ones are taken for one
+with a chance of n*n / 2**65.  A null text has no lines; a null id comes before all others;
+rows equal in id and text count as one place and get the same result.  Without documents
+there are no rows.  A text of any length is taken whole: its words are in a worker's memory
+together, at some 80 bytes each.  Other columns, whatever their names, are passed through
+by ``deduplicated`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -37,50 +45,59 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import distinct, mixed, small_batches, text_bytes, word_hashes, written
+from .common import bloom, dropped, mixed, small_batches, text_bytes, word_hashes, worker, written
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
 _BLOCKS = 64  # a task's table of counters is sent as so many rows
-_TOKEN_BITS = 38
-HANDED_ON = 6
-BROADCAST_ROWS = 1_000_000
-OPEN_CLASSES = 20_000  # classes of a second round at once
-_PAIRS = 1 << 20  # pairs filtered at once
+HANDED_ON = 6  # candidates of a class that a task hands on at first; few classes need more
+OPEN = 2048  # classes of the second round that are held against all others directly
+TASK_BYTES, HELD_BYTES = 8 << 20, 32 << 20  # postings that a task should get, and that it may hold
+BLOCK = 1 << 16  # postings of a hot token in a block
+GROUPS = 64  # groups by token that a part is passed on in
+REMOVED_BYTES = 32 << 20  # numbers of removed lines that are broadcast at most
+_LINE = 2654435761  # odd, so that lines of a text differ
+_PAIRS = 1 << 18  # pairs filtered at once
+_SEND = 4 << 20  # bytes of postings that are packed at once
 POSTING = np.dtype([("tok", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("b0", "<u8"), ("b1", "<u8")])
+PACKED = "a long, b long, more boolean, grp long, packed binary"
 
 
-def line_tokens(texts: pa.Array, rarity: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For runs of texts: (lines of each text, line of each token, token, rarity).
+def ordered_tokens(line: np.ndarray, rare: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (line, token), by line, rarity and token."""
+    lead = line.astype(np.uint64) << np.uint64(46) | rare.astype(np.uint64) << np.uint64(38) | token >> np.uint64(26)
+    order = np.argsort(lead)
+    lead, line, token = lead[order], line[order], token[order]
+    same = lead[1:] == lead[:-1]
+    if (same & (token[1:] != token[:-1])).any():  # tokens of one line that differ in their last bits alone
+        order = np.lexsort((token, lead))
+        line, token = line[order], token[order]
+    fresh = np.ones(len(line), bool)
+    fresh[1:] = (line[1:] != line[:-1]) | (token[1:] != token[:-1])
+    return line[fresh], token[fresh]
 
-    Tokens are distinct within a line and sorted by (line, rarity, token).
+
+def line_sets(texts: pa.Array, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lines of each text, key of each line, size of each line, line of each token, token).
+
+    Tokens are distinct within a line and in order of rarity; a line without words has size 0.
     """
     raw, offsets = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
-    hashes, starts, _ = word_hashes(raw, offsets)
-    tokens = hashes >> np.uint64(64 - _TOKEN_BITS)
+    tokens, starts, _ = word_hashes(raw, offsets)
     breaks = np.flatnonzero(raw == 10) + 1
     # `breaks` is the place after a line feed: at a text's end it opens an empty last line
     upto = np.searchsorted(breaks, offsets, "right")
     per_text = np.diff(upto) + 1
     text_of = np.searchsorted(offsets, starts, "right") - 1
     line = np.searchsorted(breaks, starts, "right") - upto[text_of] + (np.cumsum(per_text) - per_text)[text_of]
-    rare = rarity[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) if rarity is not None else np.zeros(len(tokens), np.uint64)
-    limit = 1 << (64 - 8 - _TOKEN_BITS)
-    for lo in range(0, max(1, int(per_text.sum())), limit):
+    rare = rarity[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(tokens), np.uint8)
+    n, limit = int(per_text.sum()), 1 << 18
+    parts = []
+    for lo in range(0, max(1, n), limit):
         a, b = np.searchsorted(line, [lo, lo + limit])
-        packed = distinct((line[a:b] - lo).astype(np.uint64) << np.uint64(8 + _TOKEN_BITS) | rare[a:b] << np.uint64(_TOKEN_BITS) | tokens[a:b])
-        yield per_text, (packed >> np.uint64(8 + _TOKEN_BITS)).astype(np.int64) + lo, packed & np.uint64((1 << _TOKEN_BITS) - 1), packed >> np.uint64(_TOKEN_BITS) & np.uint64(255)
-
-
-def line_sets(texts: pa.Array, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(lines of each text, key of each line, size of each line, line of each token, token).
-
-    A line without words has size 0.
-    """
-    parts = list(line_tokens(texts, rarity))
-    per_text = parts[0][0]
-    line, token = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
-    n = int(per_text.sum())
+        got, token = ordered_tokens(line[a:b] - lo, rare[a:b], tokens[a:b])
+        parts.append((got + lo, token))
+    line, token = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     sizes = np.bincount(line, minlength=n).astype(np.int64)
     sums = np.zeros(len(token) + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -91,17 +108,47 @@ def line_sets(texts: pa.Array, rarity: np.ndarray | None = None) -> tuple[np.nda
 
 
 def prefix_sizes(sizes: np.ndarray, threshold: float) -> np.ndarray:
-    """n - ceil(threshold * n) + 1, in whole numbers."""
+    """n - ceil(threshold * n) + 1, in whole numbers; 0 if only an equal set can be near."""
     t = Fraction(str(threshold))
-    return sizes - -(-sizes * t.numerator // t.denominator) + 1
+    prefix = sizes - -(-sizes * t.numerator // t.denominator) + 1
+    return np.where(sizes * t.denominator >= (sizes + 1) * t.numerator, prefix, 0)
+
+
+class FirstSeen:
+    """Whether a key comes at an earlier place than before, in fixed memory.
+
+    A slot holds the latest key that fell into it, so a key may be taken for new again.
+    """
+
+    def __init__(self, slots: int = 1 << 17):
+        self.mask = np.uint64(slots - 1)
+        self.key, self.doc, self.line = np.zeros(slots, np.int64), np.full(slots, np.iinfo(np.int64).max), np.zeros(slots, np.int64)
+
+    def fresh(self, key: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """The first row of each key among the given ones that is new or earlier."""
+        order = np.lexsort((line, doc, key))
+        first = np.ones(len(key), bool)
+        first[1:] = key[order][1:] != key[order][:-1]
+        rows = order[first]
+        at = (key[rows].view(np.uint64) & self.mask).astype(np.int64)
+        known = (self.key[at] == key[rows]) & ((self.doc[at] < doc[rows]) | (self.doc[at] == doc[rows]) & (self.line[at] <= line[rows]))
+        rows, at = rows[~known], at[~known]
+        self.key[at], self.doc[at], self.line[at] = key[rows], doc[rows], line[rows]
+        return np.sort(rows)
 
 
 # ------------------------------------------------------------------------------ passes
 
 
-def line_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, keys (of each line, null without words) - and blocks of counters."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+
+def line_keys(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_hash, keys, sizes and bitmaps of each line (key null without words), n (postings) - and blocks of counters."""
+    names = ["doc_id", "text_hash", "keys", "sizes", "b0", "b1", "n", "block", "counts"]
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(COUNTERS, np.int64)
         for batch in batches:
@@ -109,19 +156,20 @@ def line_keys(docs: DataFrame) -> DataFrame:
             per_text = np.where(batch.column(2).is_null().to_numpy(zero_copy_only=False), 0, per_text)
             real = np.repeat(per_text > 0, np.maximum(per_text, 1))
             counts += np.bincount((token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            flat = pa.array(keys[real], mask=sizes[real] == 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], per_text.cumsum()]).astype(np.int32)), flat)
+            each = [pa.array(keys[real], mask=sizes[real] == 0), pa.array(sizes[real].astype(np.int32)), *(pa.array(b[real].view(np.int64)) for b in _bitmaps(token, sizes))]
+            at = pa.array(np.concatenate([[0], per_text.cumsum()]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, flat) for flat in each]
+            upto = np.concatenate([[0], np.cumsum(prefix_sizes(sizes, threshold))])[np.concatenate([[0], np.cumsum(np.maximum(per_text, 1))])]
             none = pa.nulls(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists, none.cast(pa.int32()), none.cast(pa.binary())], names=["doc_id", "text_hash", "keys", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists, pa.array(np.diff(upto)), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         size = COUNTERS // _BLOCKS
-        none = pa.nulls(_BLOCKS)
-        yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.list_(pa.int64())), pa.array(np.arange(_BLOCKS, dtype=np.int32)), pa.array([counts[i * size : (i + 1) * size].tobytes() for i in range(_BLOCKS)], pa.binary())], names=["doc_id", "text_hash", "keys", "block", "counts"])
+        blocks = [(i, counts[i * size : (i + 1) * size].tobytes()) for i in range(_BLOCKS) if counts[i * size : (i + 1) * size].any()]
+        none = pa.nulls(len(blocks))
+        columns = [none.cast(kind) for kind in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())]
+        columns += [pa.array([i for i, _ in blocks], pa.int32()), pa.array([raw for _, raw in blocks], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, keys array<long>, block int, counts binary")
-
-
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return _rows(docs).mapInArrow(run, "doc_id long, text_hash long, keys array<long>, sizes array<int>, b0 array<long>, b1 array<long>, n long, block int, counts binary")
 
 
 def rarity_table(found: DataFrame) -> np.ndarray:
@@ -141,62 +189,69 @@ def rarity_table(found: DataFrame) -> np.ndarray:
     return np.minimum(255, np.log2(total.ravel() + 1.0) * 8).astype(np.uint8)
 
 
-def prefix_tokens(sets: list[list[int]], rarity: np.ndarray, threshold: float) -> np.ndarray:
-    """The distinct tokens of the prefixes of token sets."""
-    out = [np.empty(0, np.uint64)]
-    for tokens in sets:
-        x = np.asarray(tokens, np.uint64)
-        rare = rarity[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]
-        out.append(x[np.lexsort((x, rare))][: prefix_sizes(np.asarray([len(x)]), threshold)[0]])
-    return distinct(np.concatenate(out))
+def _bitmaps(token: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """128 bits for each line, as two halves: the parity of its tokens on each bit."""
+    bits = np.uint64(1) << (token & np.uint64(63))
+    some, masks = np.flatnonzero(sizes > 0), []
+    begin = (np.cumsum(sizes) - sizes)[some]
+    for half in (0, 1):
+        mine = np.where((token >> np.uint64(6) & np.uint64(1)) == half, bits, np.uint64(0))
+        mask = np.zeros(len(sizes), np.uint64)
+        if len(some):
+            mask[some] = np.bitwise_xor.reduceat(mine, begin)
+        masks.append(mask)
+    return masks
 
 
 def postings(docs: DataFrame, rarity, threshold: float, parts: int, only=None) -> DataFrame:
-    """part, packed: blocks of POSTING records, dealt by token; of the tokens in ``only``, if given."""
-
+    """part, packed: blocks of POSTING records, dealt by token; of the tokens in the ``Bloom`` ``only``, if given."""
+
+    def found(batch: pa.RecordBatch, seen: FirstSeen) -> tuple[np.ndarray, np.ndarray]:
+        per_text, keys, sizes, line, token = line_sets(batch.column(2), rarity.value)
+        doc_of = np.repeat(pc.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy(), per_text)
+        number = np.arange(len(keys)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        prefix = prefix_sizes(sizes, threshold)
+        some = np.flatnonzero(prefix > 0)
+        wanted = np.zeros(len(keys), bool)
+        wanted[some[seen.fresh(keys[some], doc_of[some], number[some])]] = True
+        begin = np.cumsum(sizes) - sizes
+        at = np.arange(len(token)) - begin[line]
+        used = wanted[line] & (at < prefix[line])
+        if only is not None:
+            used[used] = only.value.has(token[used].view(np.int64))
+        of = line[used]
+        out = np.empty(len(of), POSTING)
+        out["tok"] = token[used] & np.uint64(0xFFFFFFFF)
+        out["n"], out["at"], out["line"], out["doc"], out["key"] = sizes[of], at[used], number[of], doc_of[of], keys[of]
+        out["b0"], out["b1"] = (mask[of] for mask in _bitmaps(token, sizes))
+        return out, (mixed(token[used]) % np.uint64(parts)).astype(np.int32)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        out, part = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+        order = np.argsort(part, kind="stable")
+        out, part = out[order], part[order]
+        which, begins = np.unique(part, return_index=True)
+        cuts = [*begins.tolist(), len(part)]
+        return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["part", "packed"])
+
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple[int, int]] = {}
+        seen, held, size = FirstSeen(), [], 0
         for batch in batches:
-            per_text, keys, sizes, line, token = line_sets(batch.column(2), rarity.value)
-            doc = pc.fill_null(batch.column(0), np.iinfo(np.int64).min).to_numpy()
-            doc_of = np.repeat(doc, per_text)
-            number = np.arange(len(keys)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-            fresh = np.zeros(len(keys), bool)
-            for i in np.flatnonzero(sizes > 0).tolist():  # a class seen before at an earlier place adds nothing
-                k, place = int(keys[i]), (int(doc_of[i]), int(number[i]))
-                if k not in seen or place < seen[k]:
-                    seen[k], fresh[i] = place, True
-            if len(seen) > 300_000:
-                seen.clear()
-            begin = np.cumsum(sizes) - sizes
-            at = np.arange(len(token)) - begin[line]
-            used = fresh[line] & (at < prefix_sizes(sizes, threshold)[line])
-            if only is not None:
-                used[used] = np.isin(token[used], only.value)
-            bits = np.uint64(1) << (token & np.uint64(63))
-            some = np.flatnonzero(sizes > 0)
-            masks = []
-            for half in (0, 1):
-                mine = np.where((token >> np.uint64(6) & np.uint64(1)) == half, bits, np.uint64(0))
-                mask = np.zeros(len(keys), np.uint64)
-                if len(some):
-                    mask[some] = np.bitwise_xor.reduceat(mine, begin[some])
-                masks.append(mask)
-            of = line[used]
-            out = np.empty(len(of), POSTING)
-            out["tok"] = token[used] & np.uint64(0xFFFFFFFF)
-            out["n"], out["at"], out["line"], out["doc"], out["key"] = sizes[of], at[used], number[of], doc_of[of], keys[of]
-            out["b0"], out["b1"] = masks[0][of], masks[1][of]
-            part = (mixed(token[used]) % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            out, part = out[order], part[order]
-            which, begins = np.unique(part, return_index=True)
-            cuts = [*begins.tolist(), len(part)]
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], names=["part", "packed"])
+            held.append(found(batch, seen))
+            size += held[-1][0].nbytes
+            if size > _SEND:
+                yield packed(held)
+                held, size = [], 0
+        if size:
+            yield packed(held)
 
     return _rows(docs).mapInArrow(run, "part int, packed binary")
 
 
+# -------------------------------------------------------------------------- candidates
+
+
 def _passing(p: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, t: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs of postings, of near sizes, that pass the positional and bitmap filters.
 
@@ -234,117 +289,317 @@ def _pairs(lists: np.ndarray, n: np.ndarray, t: Fraction) -> Iterator[tuple[np.n
         lo = hi
 
 
+def first_places(p: np.ndarray) -> np.ndarray:
+    """Postings of lists with two classes or more, by token and size, each class at its first place."""
+    order = np.argsort(p["tok"])
+    tok = p["tok"][order]
+    same = np.concatenate([[False], tok[1:] == tok[:-1], [False]])
+    p = p[order[same[1:] | same[:-1]]] if len(p) else p
+    p = p[np.lexsort((p["line"], p["doc"], p["key"], p["n"], p["tok"]))]
+    if len(p):
+        first = np.ones(len(p), bool)
+        first[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["key"][1:] != p["key"][:-1])
+        p = p[first]
+    return p
+
+
+def _handed_on(found: np.ndarray, few: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows (a, b, difference), the most alike of each class a first; all, or ``few`` and one more."""
+    found = found[np.lexsort((found[:, 1], found[:, 2], found[:, 0]))]
+    a = found[:, 0]
+    new = np.ones(len(found), bool)
+    new[1:] = (a[1:] != a[:-1]) | (found[1:, 1] != found[:-1, 1])
+    found = found[new]
+    if few is None or not len(found):
+        return found, np.zeros(len(found), bool)
+    a = found[:, 0]
+    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+    size = np.diff(np.concatenate([begin, [len(a)]]))
+    keep = np.arange(len(a)) - np.repeat(begin, size) <= few  # the one above tells that there are more
+    return found[keep], np.repeat(size > few, size)[keep]
+
+
+def likely(p: np.ndarray, t: Fraction, few: int, only=None, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Candidates among postings in the order of ``first_places``: a is the later class, b the earlier.
+
+    A class gets its ``few`` most alike.  ``only``: a ``Bloom`` of the later classes that are
+    wanted, which then get all candidates.
+    ``side``: pairs of one side are left out.
+    """
+    columns = {"n": p["n"].astype(np.int64), "left": p["n"].astype(np.int64) - p["at"], "b0": p["b0"].copy(), "b1": p["b1"].copy()}
+    held, size, limit = [np.empty((0, 3), np.int64)], 0, 2 * _PAIRS
+    for i, j in _pairs(p["tok"], p["n"], t):
+        if side is not None:
+            across = side[i] != side[j]
+            i, j = i[across], j[across]
+        i, j, differ = _passing(columns, i, j, t)
+        x, y = p[i], p[j]
+        swap = (x["doc"] > y["doc"]) | (x["doc"] == y["doc"]) & ((x["line"] > y["line"]) | (x["line"] == y["line"]) & (x["key"] > y["key"]))
+        rows = np.column_stack([np.where(swap, x["key"], y["key"]), np.where(swap, y["key"], x["key"]), differ])
+        if only is not None:
+            rows = rows[only.value.has(rows[:, 0])]
+            if len(rows):
+                yield _candidates(*_handed_on(rows, None))
+            continue
+        held.append(rows)
+        size += len(rows)
+        if size > limit:  # what is cut off is told by the one above the few, which stays
+            held = [_handed_on(np.concatenate(held), few)[0]]
+            size = len(held[0])
+            limit = max(2 * _PAIRS, 2 * size)
+    if only is None:
+        yield _candidates(*_handed_on(np.concatenate(held), few))
+
+
+def _candidates(found: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    n = len(found)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(more), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["a", "b", "more", "grp", "packed"])
+
+
+def _passed_on(part: int, p: np.ndarray) -> pa.RecordBatch:
+    """Postings of a part in groups by token, one row for each group."""
+    group = (mixed(p["tok"].astype(np.uint64)) % np.uint64(GROUPS)).astype(np.int64)
+    order = np.argsort(group, kind="stable")
+    which, begin = np.unique(group[order], return_index=True)
+    cuts = [*begin.tolist(), len(p)]
+    raw = pa.array([p[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+    none = pa.nulls(len(which), pa.int64())
+    return pa.RecordBatch.from_arrays([none, none, pa.nulls(len(which), pa.bool_()), pa.array(part * GROUPS + which), raw], names=["a", "b", "more", "grp", "packed"])
+
+
 def candidate_pairs(blocks: DataFrame, threshold: float, parts: int, only=None) -> DataFrame:
-    """(a, b, more): class a may be like the earlier class b.
+    """(a, b, more): class a may be like the earlier class b; a written table.
 
     A task hands on HANDED_ON candidates of a class at most and tells if there are more;
-    for the classes in ``only`` (a broadcast sorted array) it hands on all.
+    for the classes in ``only`` it hands on all.
     """
-    t = Fraction(str(threshold))
+    t, few = Fraction(str(threshold)), HANDED_ON
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw = [x for batch in batches for x in batch.column(1).to_pylist()]
-        p = np.frombuffer(b"".join(raw), POSTING)
-        del raw
-        order = np.argsort(p["tok"])
-        tok = p["tok"][order]
-        same = np.concatenate([[False], tok[1:] == tok[:-1], [False]])
-        p = p[order[same[1:] | same[:-1]]] if len(p) else p
-        p = p[np.lexsort((p["line"], p["doc"], p["key"], p["n"], p["tok"]))]
-        if len(p):
-            first = np.ones(len(p), bool)
-            first[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["key"][1:] != p["key"][:-1])
-            p = p[first]
-        columns = {"n": p["n"].astype(np.int64), "left": p["n"].astype(np.int64) - p["at"], "b0": p["b0"].copy(), "b1": p["b1"].copy()}
-        found = np.empty((0, 3), np.int64)
-        for i, j in _pairs(p["tok"], p["n"], t):
-            i, j, differ = _passing(columns, i, j, t)
-            x, y = p[i], p[j]
-            swap = (x["doc"] > y["doc"]) | (x["doc"] == y["doc"]) & ((x["line"] > y["line"]) | (x["line"] == y["line"]) & (x["key"] > y["key"]))
-            late, early = np.where(swap, i, j), np.where(swap, j, i)
-            if only is not None:
-                mine = np.isin(p["key"][late], only.value)
-                late, early, differ = late[mine], early[mine], differ[mine]
-            found = np.concatenate([found, np.column_stack([late, early, differ])])
-            if len(found) > 4 * _PAIRS:
-                found, _ = _handed_on(p["key"], found, only is None)
-        found, more = _handed_on(p["key"], found, only is None)
-        yield pa.RecordBatch.from_arrays([pa.array(p["key"][found[:, 0]]), pa.array(p["key"][found[:, 1]]), pa.array(more)], names=["a", "b", "more"])
-
-    return blocks.repartition(parts, "part").mapInArrow(run, "a long, b long, more boolean")
-
-
-def _handed_on(keys: np.ndarray, found: np.ndarray, few: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct class pairs, the most alike of each later class first; all, or a few and one more."""
-    if not len(found):
-        return found, np.empty(0, bool)
-    a, b = keys[found[:, 0]], keys[found[:, 1]]
-    order = np.lexsort((b, found[:, 2], a))
-    found, a, b = found[order], a[order], b[order]
-    new = np.ones(len(found), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    found, a = found[new], a[new]
-    begin = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    size = np.diff(np.concatenate([begin, [len(a)]]))
-    rank = np.arange(len(a)) - np.repeat(begin, size)
-    more = np.repeat(size > HANDED_ON, size)
-    if few:
-        keep = rank <= HANDED_ON  # the one above tells that there are more
-        return found[keep], more[keep]
-    return found, np.zeros(len(found), bool)
+        held, size, hot = [], 0, False
+        for batch in batches:
+            for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                p = np.frombuffer(raw.as_buffer(), POSTING)
+                if hot:
+                    yield _passed_on(part, p)
+                    continue
+                held.append((part, p.copy()))
+                size += p.nbytes
+                if size > HELD_BYTES:
+                    hot = True
+                    while held:
+                        yield _passed_on(*held.pop())
+        if held:
+            p = np.concatenate([p for _, p in held])
+            held.clear()
+            yield from likely(first_places(p), t, few, only)
+
+    first = written(blocks.repartition(parts, "part").mapInArrow(run, PACKED), "pairs")
+    pairs = first.filter("packed IS NULL").select("a", "b", "more")
+    hot = first.filter("packed IS NOT NULL").select("grp", "packed")
+    if not hot.isEmpty():
+        pairs = pairs.union(hot_pairs(hot, t, parts, only))
+    out = written(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
+    dropped(first)
+    return out
+
+
+def hot_pairs(hot: DataFrame, t: Fraction, parts: int, only=None) -> DataFrame:
+    """(a, b, more) of groups (grp, packed) that were too much for a task: by pairs of blocks."""
+    sizes = hot.groupBy("grp").agg(F.sum(F.octet_length("packed") / POSTING.itemsize).alias("n"))
+    blocks = sizes.select("grp", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"))
+    few = HANDED_ON
+
+    @worker
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for grp, raw, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                p = np.frombuffer(raw, POSTING)
+                own = (mixed(p["key"].view(np.uint64)) % np.uint64(n)).astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                which, begin = np.unique(own[order], return_index=True)
+                cuts = [*begin.tolist(), len(p)]
+                rows += [(grp, n, w, p[order[a:b]].tobytes()) for w, a, b in zip(which.tolist(), cuts[:-1], cuts[1:], strict=True)]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["grp", "n", "own", "packed"])
+
+    @worker
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def met() -> Iterator[pa.RecordBatch]:
+            p = first_places(np.concatenate([np.frombuffer(x, POSTING) for _, x in held]))
+            left = np.concatenate([np.frombuffer(x, POSTING)["key"] for s, x in held if s == 0] or [np.empty(0, np.int64)])
+            yield from likely(p, t, few, only, None if at[1] == at[2] else np.isin(p["key"], left))
+
+        for batch in batches:
+            for *place, side, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != at:
+                    if held:
+                        yield from met()
+                    at, held = place, []
+                held.append((side, raw))
+        if held:
+            yield from met()
+
+    dealt = hot.join(blocks, "grp").select("grp", "packed", "n").mapInArrow(deal, "grp long, n int, own int, packed binary")
+    both = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    place = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side")]
+    ordered = both.select("grp", *place, "packed").repartition(parts, "grp", "i", "j").sortWithinPartitions("grp", "i", "j")
+    return ordered.mapInArrow(run, PACKED).select("a", "b", "more")
+
+
+# ------------------------------------------------------------------------ verification
+
+
+def _place(text_hash, line):
+    """A number for a line of a text; Columns and arrays alike."""
+    return text_hash ^ (line * _LINE) if isinstance(text_hash, np.ndarray) else text_hash.bitwiseXOR(line.cast("long") * F.lit(_LINE))
+
+
+def chosen_lines(texts: pa.Array, chosen) -> pa.Array:
+    """The lines for which ``chosen`` (of the text's number and the line's) holds, as texts."""
+    raw, offsets = text_bytes(texts)
+    breaks = np.flatnonzero(raw == 10)
+    start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
+    end = np.sort(np.concatenate([breaks, offsets[1:]]), kind="stable")
+    per_text = np.diff(np.searchsorted(breaks, offsets)) + 1
+    text = np.repeat(np.arange(len(per_text)), per_text)
+    keep = chosen(text, np.arange(len(text)) - (np.cumsum(per_text) - per_text)[text])
+    start, end = start[keep], end[keep]
+    edge = np.zeros(len(raw) + 1, np.int32)
+    np.add.at(edge, start, 1)
+    np.add.at(edge, end, -1)
+    data = raw[np.cumsum(edge[:-1]) > 0]
+    return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)), pa.py_buffer(data.tobytes()))
 
 
 def whole_sets(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, tokens of every class in the pairs, taken from its text."""
+    """key, tokens of every class in the pairs (and of a few others), from one line of each; a written table."""
     keys = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    needed = written(keys.join(classes, "key").groupBy("text_hash").agg(F.collect_list("key").alias("keys")), "needed")
-    side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS // 16 else needed
-    rows = _rows(docs).select("text_hash", "text").join(side, "text_hash")
+    lines = written(keys.join(classes, "key").select("at.*"), "needed")
+    texts = written(lines.select("text_hash").distinct(), "needed")
+    some_texts, some_lines = bloom(texts), bloom(lines.select(_place(F.col("text_hash"), F.col("line")).alias("place")))
+    dropped(lines, texts)
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        latest, slots = np.zeros(1 << 16, np.int64), np.uint64((1 << 16) - 1)
         for batch in batches:
-            _, keys, sizes, _, token = line_sets(batch.column(0))
-            wanted = {k for ks in batch.column(1).to_pylist() for k in ks}
-            begin, out = np.cumsum(sizes) - sizes, {}
-            for i in np.flatnonzero(np.isin(keys, np.asarray(list(wanted), np.int64)) & (sizes > 0)).tolist():
-                out.setdefault(int(keys[i]), token[begin[i] : begin[i] + sizes[i]].astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.int64()))], names=["key", "tokens"])
+            hashes = batch.column(0).to_numpy()
+            at = (hashes.view(np.uint64) & slots).astype(np.int64)
+            wanted = some_texts.value.has(hashes) & (latest[at] != hashes)  # copies of a text say nothing new
+            latest[at] = hashes
+            if not wanted.any():
+                continue
+            mine = hashes[wanted]
+            lines = chosen_lines(batch.column(1).filter(pa.array(wanted)), lambda text, line, mine=mine: some_lines.value.has(_place(mine[text], line)))
+            _, keys, sizes, _, token = line_sets(lines)
+            here = np.flatnonzero(sizes > 0)
+            here = here[np.unique(keys[here], return_index=True)[1]]
+            begin = np.cumsum(sizes) - sizes
+            flat = np.concatenate([token[begin[i] : begin[i] + sizes[i]] for i in here.tolist()]) if len(here) else token[:0]
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], sizes[here].cumsum()]).astype(np.int32)), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys[here]), lists], names=["key", "tokens"])
 
-    return written(rows.select("text", "keys").mapInArrow(run, "key long, tokens array<long>"), "sets").dropDuplicates(["key"])
+    got = _rows(docs).select("text_hash", "text").mapInArrow(run, "key long, tokens array<long>")
+    return written(got.dropDuplicates(["key"]), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the threshold."""
+    """The later classes of the pairs (a, b) whose whole sets reach the threshold; a written table."""
+    t = Fraction(str(threshold))
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.filter(shared >= F.lit(threshold) * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return written(both.filter(shared * t.denominator >= (F.size("x") + F.size("y") - shared) * t.numerator).select("a").distinct(), "verified")
 
 
-def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, text_hash, n_lines, removed (ascending line numbers from 0) of every row."""
+def prefix_tokens(sets: DataFrame, rarity, threshold: float) -> DataFrame:
+    """token: those of the prefixes of the sets (tokens); a written table."""
+
+    @worker
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = pc.list_value_length(lists).to_numpy()
+            token = lists.flatten().to_numpy().view(np.uint64)
+            line = np.repeat(np.arange(len(sizes)), sizes)
+            rare = rarity.value[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+            line, token = ordered_tokens(line, rare, token)
+            at = np.arange(len(token)) - (np.cumsum(sizes) - sizes)[line]
+            used = np.unique(token[at < prefix_sizes(sizes, threshold)[line]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(used)], names=["token"])
+
+    return written(sets.select("tokens").mapInArrow(run, "token long").distinct(), "tokens")
+
+
+def scanned_pairs(classes: DataFrame, todo: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): a few classes with all the earlier ones that the length and bitmap filters leave; a written table."""
+    t, lowest = Fraction(str(threshold)), np.iinfo(np.int64).min
+    flat = classes.select("key", F.coalesce("first.doc_id", F.lit(lowest)).alias("doc"), F.col("first.line").alias("line"), "at.n", "at.b0", "at.b1")
+    mine = todo.join(flat, F.col("a") == F.col("key")).drop("a").toPandas()
+    given = classes.sparkSession.sparkContext.broadcast({c: mine[c].to_numpy(np.int64) for c in mine})
+
+    @worker
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = given.value
+        for batch in batches:
+            some = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names}
+            for k in range(len(late["key"])):
+                both = some["n"] + late["n"][k]
+                need = -(-both * t.numerator // (t.numerator + t.denominator))
+                ok = (np.minimum(some["n"], late["n"][k]) >= need) & ((some["doc"] < late["doc"][k]) | (some["doc"] == late["doc"][k]) & ((some["line"] < late["line"][k]) | (some["line"] == late["line"][k]) & (some["key"] < late["key"][k])))
+                here = np.flatnonzero(ok)
+                differ = sum(np.bitwise_count((some[b][here] ^ late[b][k]).view(np.uint64)).astype(np.int64) for b in ("b0", "b1"))
+                here = here[differ <= (both - 2 * need)[here]]
+                if len(here):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here), late["key"][k])), pa.array(some["key"][here])], names=["a", "b"])
+
+    return written(flat.mapInArrow(run, "a long, b long"), "candidates")
+
+
+def late_classes(docs: DataFrame, found: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """a: the classes that an earlier class resembles; a written table."""
     spark = docs.sparkSession
-    small_batches(spark)
-    found = written(line_keys(docs), "lines")
     rarity = spark.sparkContext.broadcast(rarity_table(found))
+    n = found.agg(F.sum("n").alias("n")).first()["n"] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * POSTING.itemsize // TASK_BYTES))
+    handed = candidate_pairs(postings(docs, rarity, threshold, parts), threshold, parts)
+    sets = whole_sets(docs, classes, handed)
+    late = verified(handed.select("a", "b"), sets, threshold)
+    todo = written(handed.filter("more").select("a").distinct().join(late, "a", "left_anti"), "open")
+    n_open = todo.count()
+    if n_open:
+        if n_open <= OPEN:
+            rest = scanned_pairs(classes, todo, threshold)
+        else:  # only the postings of these classes' own prefixes travel again
+            tokens = prefix_tokens(todo.join(sets, F.col("a") == F.col("key")), rarity, threshold)
+            rest = candidate_pairs(postings(docs, rarity, threshold, parts, bloom(tokens)), threshold, parts, bloom(todo))
+            dropped(tokens)
+        again = whole_sets(docs, classes, rest)
+        more = verified(rest.select("a", "b"), again, threshold)
+        dropped(rest, again)
+        late = written(late.union(more).distinct(), "verified")
+    dropped(handed, sets, todo)
+    return late
+
+
+def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, n_lines, removed (ascending line numbers from 0) of every row."""
+    small_batches(docs.sparkSession)
+    found = written(line_keys(docs, threshold), "lines")
     texts = found.filter("block IS NULL").select("doc_id", "text_hash", "keys")
     lines = texts.select("doc_id", "text_hash", F.posexplode("keys").alias("line", "key")).filter("key IS NOT NULL")
-    classes = written(lines.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("text_hash").alias("text_hash")), "classes")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").rdd.getNumPartitions())
-    blocks = postings(docs, rarity, threshold, parts)
-    handed = written(candidate_pairs(blocks, threshold, parts).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-    pairs = handed.select("a", "b")
-    sets = whole_sets(docs, classes, pairs)
-    late = written(verified(pairs, sets, threshold).select("a").distinct(), "verified")
-    todo = written(handed.filter("more").select("a").distinct().join(late, "a", "left_anti"), "open")
-    slices = -(-todo.count() // OPEN_CLASSES)
-    for k in range(slices):  # only the postings of these classes' own prefixes travel again
-        mine = todo.filter(F.pmod(F.xxhash64("a"), F.lit(slices)) == k).join(sets, F.col("a") == F.col("key")).select("a", "tokens").toPandas()
-        tokens = spark.sparkContext.broadcast(prefix_tokens(mine["tokens"].tolist(), rarity.value, threshold))
-        keys = spark.sparkContext.broadcast(np.sort(mine["a"].to_numpy(np.int64)))
-        rest = written(candidate_pairs(postings(docs, rarity, threshold, parts, tokens), threshold, parts, keys).select("a", "b").distinct(), "candidates")
-        late = late.union(verified(rest, whole_sets(docs, classes, rest), threshold).select("a").distinct())
+    zipped = F.posexplode(F.arrays_zip("keys", "sizes", "b0", "b1")).alias("line", "x")
+    marked = found.filter("block IS NULL").select("doc_id", "text_hash", zipped).select("doc_id", "text_hash", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), "x.b0", "x.b1").filter("key IS NOT NULL")
+    classes = written(marked.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min(F.struct("text_hash", "line", "n", "b0", "b1")).alias("at")), "classes")
+    late = late_classes(docs, found, classes, threshold)
     gone = classes.join(late.select(F.col("a").alias("key"), F.lit(True).alias("late")), "key", "left").select("key", F.when(F.col("late").isNull(), F.col("first")).alias("kept"))
-    off = lines.join(written(gone, "kept"), "key").filter(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
+    gone = written(gone, "kept")
+    dropped(classes, late)
+    off = lines.join(gone, "key").filter(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
     removed = off.select("doc_id", "text_hash", "line").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("removed"))
     sizes = texts.select("doc_id", "text_hash", F.size("keys").alias("n_lines"))
     same = (F.col("s.text_hash") == F.col("r.text_hash")) & F.col("s.doc_id").eqNullSafe(F.col("r.doc_id"))
@@ -365,7 +620,8 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = duplicate_lines(docs, threshold).filter(F.size("removed") > 0)
     one = found.withColumn("turn", F.row_number().over(Window.partitionBy("doc_id", "text_hash").orderBy("n_lines"))).filter("turn = 1")
     one = written(one.select("doc_id", "text_hash", "n_lines", "removed"), "removed")
-    side = (F.broadcast(one) if one.count() <= BROADCAST_ROWS // 4 else one).alias("r")
+    size = one.agg(F.sum(F.size("removed") * 4 + 64).alias("n")).first()["n"] or 0
+    side = (F.broadcast(one) if size <= REMOVED_BYTES else one).alias("r")
     rows = docs.alias("d").join(side, (F.xxhash64("d.text") == F.col("r.text_hash")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left")
     kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains(F.col("r.removed"), i)), "\n")
     text = F.when(F.col("r.removed").isNull(), F.col("d.text")).otherwise(kept)

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, mixed, small_batches, text_bytes, word_hashes, written
+from .common import distinct, mixed, small_batches, text_bytes, word_hashes, worker, written
 from .graph import components
 
 SIZE = 5
@@ -141,6 +141,7 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, th
 def profiles(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, key (null without words), bands of every row."""
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, bands = [], []
@@ -169,6 +170,7 @@ def candidate_sets(docs: DataFrame, classes: DataFrame, groups: DataFrame) -> Da
     side = F.broadcast(side) if needed.count() <= BROADCAST_ROWS else side
     rows = docs.select(F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text")).join(side, "text_hash").dropDuplicates(["text_hash"])
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(0)))
@@ -195,6 +197,7 @@ def class_links(groups: DataFrame, sets: DataFrame, classes: DataFrame, threshol
     dealt = dealt.select("leader", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "key").join(held, "key")
     least = least_agreements(threshold, tolerance)
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, members = None, []
 

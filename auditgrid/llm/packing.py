@@ -8,13 +8,17 @@ multiset come from backtracking through the bitsets.  A found multiset is used a
 as the waiting counts allow.
 
 Work is local to a partition and needs no shuffle.  Memory is bounded by ``waiting``
-tokens: once so many wait, windows are filled until half of them are gone; at a
-partition's end the rest is packed, and what cannot fill a window is cut at powers of
-two, whose sequences need no padding.  A lost task is simply run again: its rows depend
-only on its partition.
-
-Null and empty texts count as documents of one token (the end id).  Repeated rows are
-packed separately.  Columns other than the id and the text are ignored.
+tokens: once so many wait, windows are filled until half of them are gone.  Windows with
+no slack come first; where the best multiset leaves slack (at a partition's end, or with
+too many tokens waiting), the longest rest is cut to fill it.  What is left at the end is
+less than one window: it is cut at powers of two, whose sequences need no padding.  So no
+sequence is padded, however many partitions there are.  A lost task is simply run again:
+its rows depend only on its partition.
+
+Null and empty texts count as documents of one token (the end id).  Null ids are kept as
+null; repeated rows and equal ids are packed separately.  A text of any length is encoded
+whole, and its full windows are sent as they are cut.  Columns other than the id and the
+text are ignored, whatever their names.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker
 from .tokens import encoder
 
 CAPACITY = 2048
@@ -92,22 +96,29 @@ def best_fill(counts: list[tuple[int, int]], capacity: int) -> dict[int, int]:
     return used
 
 
-def fill_windows(waiting: Waiting, capacity: int, until: int, final: bool) -> Iterator[list[tuple[int, tuple]]]:
-    """Windows as lists of (length, piece), until so few tokens wait.
+def fill_windows(waiting: Waiting, capacity: int, until: int, cut: bool) -> Iterator[list[tuple[int, tuple]]]:
+    """Full windows as lists of (length, piece), until so few tokens wait.
 
-    Unless ``final``, a window that cannot be filled ends the work: later rests may fit.
+    A window that cannot be filled exactly ends the work - later rests may fit - or, with
+    ``cut``, takes the tokens that it lacks from the longest rest that still waits.
     """
-    while waiting.tokens > until and waiting.by:
+    while waiting.tokens > until and waiting.tokens >= capacity:
         counts = waiting.counts()
         seed = counts[0][0]
         rest = [(x, n - (x == seed)) for x, n in counts if n > (x == seed)]
         used = best_fill(rest, capacity - seed)
         used[seed] = used.get(seed, 0) + 1
-        if sum(x * n for x, n in used.items()) < capacity and (not final or waiting.tokens < capacity):
+        slack = capacity - sum(x * n for x, n in used.items())
+        if slack and not cut:
             return
-        times = min(len(waiting.by[x]) // n for x, n in used.items())
-        for _ in range(times):
-            yield [(x, waiting.take(x)) for x, n in used.items() for _ in range(n)]
+        for _ in range(1 if slack else min(len(waiting.by[x]) // n for x, n in used.items())):
+            window = [(x, waiting.take(x)) for x, n in used.items() for _ in range(n)]
+            if slack:  # every rest that still waits is longer than the slack, or it would be in the window
+                length = max(waiting.by)
+                doc, start, ids, total = waiting.take(length)
+                window.append((slack, (doc, start, ids[:slack], total)))
+                waiting.add(length - slack, (doc, start + slack, ids[slack:], total))
+            yield window
             if waiting.tokens <= until:
                 return
 
@@ -135,10 +146,10 @@ def packed(batches: Iterator[tuple[list, list[np.ndarray]]], capacity: int, end_
             if rest := total % capacity:
                 waiting.add(rest, (doc, total - rest, ids[total - rest :].copy(), total))
         if waiting.tokens > waiting_tokens:
-            yield from map(rows, fill_windows(waiting, capacity, waiting_tokens // 2, final=False))
-            if waiting.tokens > waiting_tokens:  # nothing fits exactly: take the closest
-                yield from map(rows, fill_windows(waiting, capacity, waiting_tokens // 2, final=True))
-    yield from map(rows, fill_windows(waiting, capacity, 0, final=True))
+            yield from map(rows, fill_windows(waiting, capacity, waiting_tokens // 2, cut=False))
+            if waiting.tokens > waiting_tokens:  # nothing fits exactly
+                yield from map(rows, fill_windows(waiting, capacity, waiting_tokens // 2, cut=True))
+    yield from map(rows, fill_windows(waiting, capacity, 0, cut=True))
     yield from tail(waiting, capacity, crc)
 
 
@@ -167,6 +178,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPAC
     """
     small_batches(docs.sparkSession)
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer, True).ids
         base = TaskContext.get().partitionId() << 40

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, worker
 from .tokens import encoder
 
 ROW_GROUP_BYTES = 16 << 20
@@ -45,6 +45,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     small_batches(spark)
     partitions = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.select("doc_id").rdd.getNumPartitions())
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = encoder(tokenizer, keep_space).ids
         for batch in batches:
@@ -93,6 +94,7 @@ def token_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, file, row, n_tokens, ids_crc32: from the ids read back."""
     small_batches(spark)
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(3)

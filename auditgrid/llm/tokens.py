@@ -19,7 +19,7 @@ import re
 
 import numpy as np
 
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
 _RUN = re.compile(r"\s\s")
 _PYTHON_ONLY_SPACE = re.compile(r"[\x1c-\x1f]")
@@ -51,38 +51,45 @@ class ChunkEncoder(dict):
         self.keep_space = keep_space
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
         self.older: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         self.latin = {i: "".join(byte_alphabet()[b] for b in chr(i).encode()) for i in range(0x250)}
 
     def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
         if found is None:
-            found = self._encode(key)
-            if len(key) > LONGEST_CACHED:
+            found, keep = self._encode(key)
+            if not keep or len(key) > LONGEST_CACHED:
                 return found
+        self._keep(key, found)
+        return found
+
+    def _keep(self, key: str, found: bytes) -> None:
         if len(self) >= CACHE_ENTRIES:
             self.older = dict(self)
             self.clear()
         self[key] = found
-        return found
 
-    def _encode(self, key: str) -> bytes:
+    def _encode(self, key: str) -> tuple[bytes, bool]:
+        """Packed ids of a chunk, and whether they are worth an entry."""
         chunk = self._literal(key)
         body = chunk[1:] if self.keep_space and chunk[:1] == " " else chunk
         word = body.rstrip(_MARKS)
-        if word.isalpha() and (word.isascii() or max(word) < "İ") and len(word) <= LONGEST_CACHED:
-            raw = self._word((" " + word if body is not chunk else word) if self.keep_space else word.lower())
-            return raw + self._word(body[len(word) :]) if len(word) < len(body) else raw
-        return self._whole(chunk)
-
-    def _word(self, piece: str) -> bytes:
+        if not (word.isalpha() and (word.isascii() or max(word) < "İ") and len(word) <= LONGEST_CACHED):
+            return self._whole(chunk), True
+        if len(word) == len(body):
+            return self._merged((" " + word if body is not chunk else word) if self.keep_space else word.lower()), True
+        mine = key[: len(key) - len(body) + len(word)]  # the key of the word without its marks
+        known = mine in self or mine in self.older
+        marks = body[len(word) :]
+        if marks not in self.marks:
+            if len(self.marks) >= 4096:
+                self.marks.clear()
+            self.marks[marks] = self._merged(marks)
+        return self[mine] + self.marks[marks], known
+
+    def _merged(self, piece: str) -> bytes:
         """Packed ids of one word or run of marks, which the pre-tokenizers leave whole."""
-        raw = self.words.get(piece)
-        if raw is None:
-            if len(self.words) >= CACHE_ENTRIES:
-                self.words.clear()
-            raw = self.words[piece] = np.asarray([t.id for t in self.merge(piece.translate(self.latin))], self.dtype).tobytes()
-        return raw
+        return np.asarray([t.id for t in self.merge(piece.translate(self.latin))], self.dtype).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()

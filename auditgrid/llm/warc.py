@@ -34,7 +34,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import small_batches, worker, written
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 512 << 20
@@ -151,6 +151,7 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, b
     small_batches(pages.sparkSession)
     folder = f"{path}/bundles"
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
@@ -179,6 +180,7 @@ def read_bundles(spark: SparkSession, path: str, where=None) -> DataFrame:
     folder = f"{path}/bundles"
     small_batches(spark)
 
+    @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 

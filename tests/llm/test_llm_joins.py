@@ -159,10 +159,12 @@ def line_docs(seed):
 def test_line_dedup_equals_brute_force(spark, monkeypatch):
     docs = line_docs(3)
     want = brute_lines(docs)
-    for handed, batch, parts in ((4, 512, 1), (1, 3, 4)):  # few handed on: the second round finds the rest
+    for handed, batch, parts in ((4, 512, 1), (0, 3, 4)):  # few handed on: the second round finds the rest
         monkeypatch.setattr(line_dedup, "HANDED_ON", handed)
         monkeypatch.setattr(line_dedup, "small_batches", lambda s, n=batch: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n)))
-        monkeypatch.setattr(line_dedup, "BROADCAST_ROWS", 1_000_000 if handed == 4 else 16)
+        monkeypatch.setattr(line_dedup, "HELD_BYTES", 48 << 20 if handed == 4 else 200)  # all postings are passed on as hot
+        monkeypatch.setattr(line_dedup, "BLOCK", 3)
+        monkeypatch.setattr(line_dedup, "OPEN", 0)
         got = line_dedup.line_dedup(table(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(parts))
         assert sorted(map(tuple, got.collect()), key=repr) == want
 
@@ -171,12 +173,41 @@ def test_pair_lists_and_prefixes():
     lists, n = np.asarray([1, 3, 3, 3, 3, 7, 7]), np.asarray([5, 3, 8, 10, 11, 2, 2])
     pairs = [p for i, j in line_dedup._pairs(lists, n, line_dedup.Fraction(4, 5)) for p in zip(i.tolist(), j.tolist(), strict=True)]
     assert sorted(pairs) == [(2, 3), (3, 4), (5, 6)]
-    assert line_dedup.prefix_sizes(np.asarray([1, 4, 5, 10]), 0.8).tolist() == [1, 1, 2, 3]
+    assert line_dedup.prefix_sizes(np.asarray([1, 3, 4, 5, 10]), 0.8).tolist() == [0, 0, 1, 2, 3]
 
 
-def test_second_round_is_needed_and_taken(spark, monkeypatch):
+def test_tokens_that_differ_in_their_last_bits_are_told_apart():
+    line, token = np.asarray([0, 0, 0, 1, 1]), np.asarray([5, 3, 5, 3, 5], np.uint64)
+    got = line_dedup.ordered_tokens(line, np.zeros(5, np.uint8), token)
+    assert [x.tolist() for x in got] == [[0, 0, 1, 1], [3, 5, 3, 5]]
+
+
+def test_chosen_lines_are_whole_lines():
+    texts = ["ab\n\ncd", "", "é\n", None, "x"]
+    all_lines = [x for t in texts for x in (t or "").split("\n")]
+    assert line_dedup.chosen_lines(pa.array(texts), lambda t, n: n >= 0).to_pylist() == all_lines
+    assert line_dedup.chosen_lines(pa.array(texts), lambda t, n: (t == 0) & (n == 2) | (t == 2) & (n == 0)).to_pylist() == ["cd", "é"]
+    assert line_dedup.chosen_lines(pa.array(texts), lambda t, n: n < 0).to_pylist() == []
+
+
+def test_a_token_in_every_line_is_dealt_to_blocks(spark, monkeypatch):
+    # five words a line, of which any two lines share four at most: all lists are hot
+    rng = random.Random(8)
+    common = ["all", "of", "them", "here"]
+    docs = [(i, "\n".join(" ".join([*rng.sample(common, 4), *[f"x{rng.randrange(40)}" for _ in range(rng.randrange(1, 3))]]) for _ in range(6))) for i in range(40)]
+    monkeypatch.setattr(line_dedup, "HELD_BYTES", 300)
+    monkeypatch.setattr(line_dedup, "BLOCK", 5)
+    monkeypatch.setattr(line_dedup, "GROUPS", 3)
+    monkeypatch.setattr(line_dedup, "HANDED_ON", 2)
+    got = line_dedup.line_dedup(table(spark, [t for _, t in docs], [i for i, _ in docs]).repartition(3))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_lines(docs)
+
+
+@pytest.mark.parametrize("most", [0, 2048])
+def test_second_round_is_needed_and_taken(spark, monkeypatch, most):
     # the first candidates of the last line share its prefix and pass the filters but fail on whole sets
     monkeypatch.setattr(line_dedup, "HANDED_ON", 0)
+    monkeypatch.setattr(line_dedup, "OPEN", most)
     texts = ["a b c d e f g h i j", "a b c d e f g h i j"[::-1], "a b c d e f g h i k"]
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.line_dedup(table(spark, texts)).collect()}
     assert got == {0: 0, 1: 1, 2: 1}

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -230,12 +232,51 @@ def test_language_of_odd_texts(spark):
     assert all(again[i] == pytest.approx(got[i]["score"], abs=1e-6) for i in range(40))
 
 
-def test_ngrams_do_not_depend_on_pieces(monkeypatch):
-    text = "Ab  c, déf!ghij k" * 20
-    want = langid.gram_codes(text)
-    monkeypatch.setattr(langid, "_PIECE", 3)
-    assert langid.gram_codes(text).tolist() == want.tolist()
-    assert not langid.has_letter(langid.gram_codes(" 12 ")) and langid.has_letter(langid.gram_codes("a"))
+def plain_vector(text, dim):
+    """The sum of a text's n-gram vectors, letter by letter."""
+    letters = [""]
+    for c in (text or ""):
+        low = c.lower()[0] if c.isalpha() else ""
+        if low or letters[-1]:
+            letters.append(low)
+    letters += [""] if letters[-1] else []
+    vector = {x: 1 - 2 * np.unpackbits(langid.letter_bits(np.asarray([ord(x) if x else 0]), dim).view(np.uint8), bitorder="little").astype(int) for x in set(letters)}
+    grams = [letters[i : i + 3] for i in range(len(letters) - 2)]
+    return sum((np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c] for a, b, c in grams), np.zeros(dim, int)), len(grams)
+
+
+TEXTS = ["Ab  c, déf!ghij k" * 20, "ДОБРЫЙ день — καλημέρα", "漢字の文 한국어", "a", "12 !", "", None, "x" * 30, "İstanbul I\nß"]
+
+
+@pytest.mark.parametrize("sizes", [(1 << 18, 2048, 1 << 22, 1 << 21), (3, 2, 8, 1)])
+def test_text_vectors_equal_a_plain_loop(monkeypatch, sizes):
+    for name, size in zip(("_PIECE", "_GRAMS", "_COUNTS", "_DIRECT"), sizes, strict=True):
+        monkeypatch.setattr(langid, name, size)
+    sums, n = langid.text_sums(TEXTS, 256)
+    for i, text in enumerate(TEXTS):
+        want, grams = plain_vector(text, 256)
+        assert n[i] == grams and sums[i].tolist() == want.tolist()
+
+
+def test_languages_equal_a_plain_loop(spark):
+    rng = random.Random(2)
+    stems = {"aa": "kala mira tosu veni".split(), "bb": "штор мена пуда горы".split(), "cc": "grund stein haus feld".split()}
+    rows = [(i, " ".join(rng.choice(stems[x]) for _ in range(rng.randrange(1, 9))), x) for i, x in enumerate(rng.choice(list(stems)) for _ in range(60))]
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    unit = {i: (v := plain_vector(t, langid.DIM)[0]) / np.linalg.norm(v) for i, t, _ in rows}
+    sums = [sum(unit[i] for i, _, x in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2) for lang in stems]
+    protos = np.asarray([s / np.linalg.norm(s) for s in sums])
+    mid = protos.mean(axis=0)
+    for i, _, _ in rows:
+        cosines = [(unit[i] - mid) @ (p - mid) / np.linalg.norm(unit[i] - mid) / np.linalg.norm(p - mid) for p in protos]
+        assert got[i]["lang_pred"] == list(stems)[int(np.argmax(cosines))] and got[i]["score"] == pytest.approx((1 + max(cosines)) / 2, abs=1e-5)
+
+
+def test_letters_of_one_script_have_unlike_vectors():
+    points = np.asarray([ord(c) for c in "абвгдежзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρσςτυφχψω漢字"])
+    bits = np.unpackbits(langid.letter_bits(points).view(np.uint8), axis=1).astype(int)
+    same = (bits[:, None, :] == bits[None, :, :]).mean(axis=2)[~np.eye(len(points), dtype=bool)]
+    assert np.abs(same - 0.5).max() < 0.07
 
 
 def test_grammar_reads_clauses():
