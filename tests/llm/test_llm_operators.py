@@ -279,17 +279,55 @@ def test_letters_of_one_script_have_unlike_vectors():
     assert np.abs(same - 0.5).max() < 0.07
 
 
+def arcs_of(matcher, text):
+    return {toxicity.ARCS[i]: int(n) for i, n in enumerate(matcher.paths(text).sum(axis=0)) if n}
+
+
 def test_grammar_reads_clauses():
-    m = toxicity.Matcher({"=idiot": 3.0, "^moro": 2.0})
-    names = ("total", "heaviest", *toxicity.FEATURES)
-    read = lambda t: dict(zip(names, m.features(t), strict=False))
-    assert read("a nice day")["total"] == 0 and read(None)["insult"] == 0 and read("")["total"] == 0
-    assert read("you idiot")["targeted"] > 0 and read("what an idiot")["targeted"] == 0
-    assert read("he is not an idiot")["negated"] > 0 and read("not him. an idiot")["negated"] == 0
-    assert read("she said idiot things")["reported"] > 0 and read("she said so. idiot")["reported"] == 0
-    assert read('they wrote "idiot" here')["reported"] > 0
-    assert read("i will kill you")["threat"] > 0 and read("i will kill time")["threat"] == 0
-    assert read("the morons came")["heaviest"] == 2.0 and read("oxymoron idiotic")["total"] == 0
+    m = toxicity.Matcher({"=idiot": 3.0, "^moro": 5.0})
+    assert arcs_of(m, "a nice day") == arcs_of(m, None) == arcs_of(m, "") == arcs_of(m, "oxymoron idiotic") == {}
+    assert arcs_of(m, "you, idiot") == arcs_of(m, "idiot, you") == {"0": 1, "target": 1} and arcs_of(m, "what an idiot") == {"0": 1}
+    assert arcs_of(m, "he is not an idiot") == {"0n": 1, "target-n": 1} and arcs_of(m, "not him. an idiot") == {"0": 1}
+    assert arcs_of(m, "claims said idiot things") == {"0r": 1} and arcs_of(m, "so it said. idiot") == {"0": 1}
+    assert arcs_of(m, 'it is "idiot" here') == {"0r": 1}
+    assert arcs_of(m, "i will kill you") == arcs_of(m, "ich werde dich töten") == {"X": 1} and arcs_of(m, "i will kill time") == {}
+    assert arcs_of(m, "the morons came") == {"2": 1}
+
+
+def test_composed_machine_equals_its_parts_one_after_the_other():
+    rng = random.Random(1)
+    table = toxicity.grammar()
+    for _ in range(3000):
+        clause = [rng.choice(toxicity.SYMBOLS) for _ in range(rng.randrange(1, 14))]
+        tape, arcs = list(clause), []
+        for machine in toxicity.MACHINES:
+            state, out = 0, []
+            for x in tape:
+                state, y, some = machine.step(state, x)
+                out.append(y)
+                arcs += some
+            tape = out
+        state, got = 0, []
+        for x in clause:
+            state, some = table[state, x]
+            got += [toxicity.ARCS[i] for i in some]
+        assert sorted(got) == sorted(arcs)
+
+
+def test_negation_report_and_target_change_the_score(spark):
+    texts = ["what an idiot", "you idiot", "never an idiot", "it said idiot", "i will kill you", "i will kill time", "a b c d"]
+    for model in (toxicity.Model({"=idiot": 3.0}), toxicity.learn(*graded(spark), F.lit(True))):
+        rows = toxicity.score(table(spark, texts), model, ["doc_id"]).collect()
+        plain, target, negated, reported, threat, harm, none = (r["score"] for r in sorted(rows, key=lambda r: r["doc_id"]))
+        assert target > plain > reported > negated and threat > harm and plain > none and abs(negated - none) < 0.02
+
+
+def graded(spark):
+    rng = random.Random(4)
+    words = "alpha beta gamma delta epsilon zeta theta iota kappa".split()
+    fill = lambda: " ".join(rng.choice(words) for _ in range(6))
+    texts = [f"{fill()}. {rng.choice(['you idiot', 'what an idiot'])} {fill()}" if i % 2 else fill() for i in range(200)]
+    return table(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
 
 
 def test_toxicity_learns_words_and_beginnings(spark):
