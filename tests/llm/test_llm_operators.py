@@ -326,7 +326,7 @@ def graded(spark):
     rng = random.Random(4)
     words = "alpha beta gamma delta epsilon zeta theta iota kappa".split()
     fill = lambda: " ".join(rng.choice(words) for _ in range(6))
-    texts = [f"{fill()}. {rng.choice(['you idiot', 'what an idiot'])} {fill()}" if i % 2 else fill() for i in range(200)]
+    texts = [f"{fill()}. {rng.choice(['you', 'what an'])} {'idiot' if i % 2 else 'alpha'} {fill()}" for i in range(200)]
     return table(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
 
 
