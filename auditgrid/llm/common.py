@@ -90,6 +90,18 @@ def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     return bounded
 
 
+def gathered(batches: Batches, rows: int) -> Batches:
+    """Batches of narrow columns joined until they have so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 

@@ -45,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bloom, dropped, mixed, small_batches, text_bytes, word_hashes, worker, written
+from .common import bloom, dropped, gathered, mixed, small_batches, text_bytes, word_hashes, worker, written
 
 THRESHOLD = 0.8
 COUNTERS = 1 << 20
@@ -545,7 +545,7 @@ def scanned_pairs(classes: DataFrame, todo: DataFrame, threshold: float) -> Data
     @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = given.value
-        for batch in batches:
+        for batch in gathered(batches, 1 << 15):
             some = {c: batch.column(c).to_numpy().astype(np.int64) for c in batch.schema.names}
             for k in range(len(late["key"])):
                 both = some["n"] + late["n"][k]
