@@ -46,9 +46,9 @@ GRAM = 3
 TRAIN_ROWS = 60_000
 MAX_LANGUAGES = 4096
 _SEED = 20240229
-_PIECE = 1 << 18  # characters of a text that are counted at once
-_GRAMS = 2048  # n-grams whose vectors are held at once
-_COUNTS = 1 << 22  # counts (texts x n-grams) that are held at once
+_PIECE = 1 << 17  # characters of a text that are counted at once
+_GRAMS = 1024  # n-grams whose vectors are held at once
+_COUNTS = 1 << 20  # counts (texts x n-grams) that are held at once
 _DIRECT = 1 << 21  # n-gram codes that are found by a table; more are sorted
 _TAIL = 0.001  # share of a language's training rows that its bounds may leave out
 
@@ -137,7 +137,7 @@ class Bundler:
             self.add(units[: len(units) // 2], out, n)
             self.add(units[len(units) // 2 :], out, n)
             return
-        counts = np.bincount(of * len(grams) + place, minlength=len(texts) * len(grams)).reshape(len(texts), -1).astype(np.float32)
+        counts = np.bincount(of * len(grams) + place, minlength=len(texts) * len(grams)).astype(np.float32).reshape(len(texts), -1)
         n[texts] += counts.sum(axis=1, dtype=np.float64)
         bits = [rotated(letter_bits(letters, self.dim), i) for i in range(GRAM)]
         for at in range(0, len(grams), _GRAMS):

@@ -16,6 +16,7 @@ most; dropping the older one changes speed only, never ids.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 
@@ -49,9 +50,10 @@ class ChunkEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
         self.keep_space = keep_space
-        self.dtype = np.dtype("<u2") if self.tok.get_vocab_size(True) <= 1 << 16 else np.dtype("<u4")
+        self.dtype = np.dtype("u2" if self.tok.get_vocab_size(True) <= 1 << 16 else "u4")
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        self.code, self.space = "H" if self.dtype.itemsize == 2 else "I", byte_alphabet()[32]
         self.latin = {i: "".join(byte_alphabet()[b] for b in chr(i).encode()) for i in range(0x250)}
 
     def __missing__(self, key: str) -> bytes:
@@ -89,7 +91,11 @@ class ChunkEncoder(dict):
 
     def _merged(self, piece: str) -> bytes:
         """Packed ids of one word or run of marks, which the pre-tokenizers leave whole."""
-        return np.asarray([t.id for t in self.merge(piece.translate(self.latin))], self.dtype).tobytes()
+        if piece.isascii() and piece.isprintable():  # the byte alphabet changes the space alone
+            piece = piece.replace(" ", self.space)
+        else:
+            piece = piece.translate(self.latin)
+        return array(self.code, [t.id for t in self.merge(piece)]).tobytes()
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype).tobytes()
