@@ -49,7 +49,7 @@ _SEED = 20240229
 _PIECE = 1 << 17  # characters of a text that are counted at once
 _GRAMS = 1024  # n-grams whose vectors are held at once
 _COUNTS = 1 << 20  # counts (texts x n-grams) that are held at once
-_DIRECT = 1 << 21  # n-gram codes that are found by a table; more are sorted
+_DIRECT = 1 << 19  # n-gram codes that are found by a table; more are sorted
 _TAIL = 0.001  # share of a language's training rows that its bounds may leave out
 
 

@@ -52,12 +52,12 @@ COUNTERS = 1 << 20
 _BLOCKS = 64  # a task's table of counters is sent as so many rows
 HANDED_ON = 6  # candidates of a class that a task hands on at first; few classes need more
 OPEN = 2048  # classes of the second round that are held against all others directly
-TASK_BYTES, HELD_BYTES = 8 << 20, 32 << 20  # postings that a task should get, and that it may hold
+TASK_BYTES, HELD_BYTES = 6 << 20, 14 << 20  # postings that a task should get, and that it may hold
 BLOCK = 1 << 16  # postings of a hot token in a block
 GROUPS = 64  # groups by token that a part is passed on in
 REMOVED_BYTES = 32 << 20  # numbers of removed lines that are broadcast at most
 _LINE = 2654435761  # odd, so that lines of a text differ
-_PAIRS = 1 << 18  # pairs filtered at once
+_PAIRS = 1 << 17  # pairs filtered at once
 _SEND = 4 << 20  # bytes of postings that are packed at once
 POSTING = np.dtype([("tok", "<u4"), ("n", "<u4"), ("at", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("key", "<i8"), ("b0", "<u8"), ("b1", "<u8")])
 PACKED = "a long, b long, more boolean, grp long, packed binary"
@@ -224,7 +224,7 @@ def postings(docs: DataFrame, rarity, threshold: float, parts: int, only=None) -
         out["tok"] = token[used] & np.uint64(0xFFFFFFFF)
         out["n"], out["at"], out["line"], out["doc"], out["key"] = sizes[of], at[used], number[of], doc_of[of], keys[of]
         out["b0"], out["b1"] = (mask[of] for mask in _bitmaps(token, sizes))
-        return out, (mixed(token[used]) % np.uint64(parts)).astype(np.int32)
+        return out, (mixed(token[used]) % np.uint64(4 * parts)).astype(np.int32)  # tasks get four parts each, about alike
 
     def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         out, part = (np.concatenate([h[k] for h in held]) for k in (0, 1))
