@@ -18,8 +18,24 @@ FLAGS = "struct<missing_findings:array<string>,unsupported_claims:array<string>,
 PART = "struct<type:string,text:string>"
 RECORD = f"image_path string, messages array<struct<role:string,content:array<{PART}>>>"
 NIH_SIZE = 1024
-#: Category numbers of the rasters whose names are known; others are not mapped.
-CHESTXDET_IDS = {3: "consolidation", 4: "effusion", 6: "fibrosis", 9: "nodule", 10: "mass"}
+NIH_NAMED = ("image_id", "finding", "x", "y", "w", "h")
+NIH_PLACED = ("Image Index", "Finding Label", "Bbox [x", "y", "w", "h]")
+#: The categories of the rasters in their published order, from number 1 on.
+CHESTXDET_CATEGORIES = (
+    "Atelectasis",
+    "Calcification",
+    "Cardiomegaly",
+    "Consolidation",
+    "Diffuse Nodule",
+    "Effusion",
+    "Emphysema",
+    "Fibrosis",
+    "Fracture",
+    "Mass",
+    "Nodule",
+    "Pleural Thickening",
+    "Pneumothorax",
+)
 BACKGROUND = 255
 
 
@@ -29,8 +45,13 @@ def _header(spark: SparkSession, path: str) -> list[str]:
 
 
 def _in_order(rows: DataFrame) -> DataFrame:
-    """Add ``ord``: the place in the file, from Spark's own increasing row numbers."""
-    return rows.withColumn("ord", F.monotonically_increasing_id())
+    """Add ``ord``: the place within the file, from where a split begins and the row's number in its task.
+
+    A split of a file is read by one task from its beginning, so the order does not depend
+    on which task reads which split; 2**33 rows of a task fit beside a split's beginning.
+    """
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.withColumn("ord", F.col("_metadata.file_block_start") * F.lit(1 << 20) + number)
 
 
 def vindr_dims(spark: SparkSession, path: str) -> DataFrame:
@@ -84,27 +105,51 @@ def joined_to_images(rows: DataFrame, images: DataFrame | None = None) -> DataFr
 
 
 def nih_boxes(spark: SparkSession, path: str, width: int = NIH_SIZE, height: int = NIH_SIZE) -> DataFrame:
-    """image_id, finding, box, native_label: read by place, as the header's brackets hold commas."""
-    schema = ", ".join(["image_id string", "label string", *[f"{c} string" for c in ("x", "y", "w", "h", "e1", "e2", "e3")]])
-    rows = spark.read.csv(path, header=False, schema=schema).filter(~F.col("image_id").isin("Image Index", "image_id"))
+    """image_id, finding, box, native_label, from a header of plain names or from the published one.
+
+    The published header is read by place, as its brackets hold commas.
+    """
+    cols = _header(spark, path)
+    if set(NIH_NAMED) <= set(cols):
+        rows = spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in cols)).withColumnRenamed("finding", "label")
+    elif tuple(cols[: len(NIH_PLACED)]) == NIH_PLACED:
+        names = ("image_id", "label", "x", "y", "w", "h", *[f"e{i}" for i in range(len(cols) - len(NIH_PLACED))])
+        rows = spark.read.csv(path, header=True, enforceSchema=True, schema=", ".join(f"{c} string" for c in names))
+    else:
+        raise ValueError(f"missing columns: {path} has {cols}")
     rows = mapped_label(_in_order(rows), "label", "nih")
     x, y, w, h = (F.col(c).cast("double") for c in ("x", "y", "w", "h"))
     box = from_corner_and_size(x, y, w, h, F.lit(width), F.lit(height))
     return rows.filter("finding IS NOT NULL").select("image_id", "ord", "finding", box.alias("box"), F.col("label").alias("native_label"))
 
 
-def chestxdet_boxes(spark: SparkSession, path: str, ids: dict[int, str] = CHESTXDET_IDS) -> DataFrame:
-    """image_id, finding, box, native_label: the tight box of each category of a raster.
+def _raster(label: Column) -> Column:
+    """The rows of category numbers of a raster written as JSON: two axes, or a third of channels, of which the first counts."""
+    axes = F.length(F.regexp_extract(F.regexp_replace(label, r"\s", ""), r"^\[*", 0))
+    flat = F.from_json(label, "array<array<int>>")
+    first = F.transform(F.from_json(label, "array<array<array<int>>>"), lambda line: F.transform(line, lambda v: v[0]))
+    wrong = F.raise_error(F.lit("a raster must be 2-D")).cast("array<array<int>>")
+    return F.when(label.isNull(), F.lit(None)).when(axes == 2, flat).when(axes == 3, first).otherwise(wrong)
+
+
+def chestxdet_boxes(spark: SparkSession, path: str, categories: tuple[str, ...] = CHESTXDET_CATEGORIES) -> DataFrame:
+    """image_id, ord, finding, box, native_label: the tight box of each category of a raster.
 
     The far edge of a box lies one pixel after the last; background and unmapped numbers go.
+    Every image keeps a row (finding null) even without a box or a raster.
     """
-    rows = spark.read.json(path, schema="image_id string, label array<array<int>>", multiLine=True)
-    lines = rows.select(F.coalesce("image_id", F.lit("")).alias("image_id"), F.size("label").alias("h"), F.posexplode("label").alias("y", "line"))
+    read = spark.read.json(path, schema="image_id string, label string", multiLine=True)
+    rows = read.select(F.coalesce("image_id", F.lit("")).alias("image_id"), _raster(F.col("label")).alias("label"))
+    lines = rows.select("image_id", F.size("label").alias("h"), F.posexplode("label").alias("y", "line"))
     cells = lines.select("image_id", "h", F.size("line").alias("w"), "y", F.posexplode("line").alias("x", "v")).filter(F.col("v") != BACKGROUND)
-    tight = cells.groupBy("image_id", "v").agg(*[f(c).alias(n) for f, c, n in ((F.min, "x", "x0"), (F.min, "y", "y0"), (F.max, "x", "x1"), (F.max, "y", "y1"), (F.first, "w", "w"), (F.first, "h", "h"))])
-    names = spark.createDataFrame([(i, n, LABEL_MAPS["chestxdet"].get(n)) for i, n in ids.items()], "v int, native_label string, finding string").filter("finding IS NOT NULL")
+    sides = ((F.min, "x", "x0"), (F.min, "y", "y0"), (F.max, "x", "x1"), (F.max, "y", "y1"), (F.max, "w", "w"), (F.max, "h", "h"))
+    tight = cells.groupBy("image_id", "v").agg(*[f(c).alias(n) for f, c, n in sides])
+    known = [(i, n, LABEL_MAPS["chestxdet"].get(n.lower())) for i, n in enumerate(categories, 1)]
+    names = spark.createDataFrame(known, "v int, native_label string, finding string").filter("finding IS NOT NULL")
     box = from_pixels(F.col("x0"), F.col("y0"), F.col("x1") + 1, F.col("y1") + 1, F.col("w"), F.col("h"))
-    return tight.join(F.broadcast(names), "v").select("image_id", F.col("v").alias("ord"), "finding", box.alias("box"), "native_label")
+    found = tight.join(F.broadcast(names), "v").select("image_id", F.col("v").cast("long").alias("ord"), "finding", box.alias("box"), "native_label")
+    bare = rows.select("image_id").distinct().join(found.select("image_id").distinct(), "image_id", "left_anti")
+    return found.unionByName(bare, allowMissingColumns=True)
 
 
 def open_reports(spark: SparkSession, path: str) -> DataFrame:

@@ -43,14 +43,48 @@ def test_vqa(spark, tmp_path):
         readers.vqa_annotations(spark, bad).collect()
 
 
-def test_nih_chestxdet_and_reports(spark, tmp_path):
+def test_nih(spark, tmp_path):
     path = put(tmp_path / "nih.csv", "Image Index,Finding Label,Bbox [x,y,w,h],,,\n1.png,Mass,0,512,512,512,,,\n2.png,Atelectasis,1,1,1,1,,,\n")
     got = readers.nih_boxes(spark, path).collect()
     assert [(r["image_id"], r["finding"], tuple(r["box"])) for r in got] == [("1.png", "nodule_mass", (0.5, 0.0, 1.0, 0.5))]
-    raster = [[255, 255, 4, 4], [255, 255, 4, 255], [9, 255, 255, 6], [255, 255, 255, 255]]
-    path = put(tmp_path / "det.json", json.dumps([{"image_id": "a", "label": raster}, {"label": [[255]]}]))
-    got = readers.chestxdet_boxes(spark, path).orderBy("ord").collect()
-    assert [(r["finding"], tuple(r["box"])) for r in got] == [("pleural_effusion", (0.0, 0.5, 0.5, 1.0)), ("nodule_mass", (0.5, 0.0, 0.75, 0.25))]
+    path = put(tmp_path / "plain.csv", "image_id,finding,x,y,w,h\nimg1,Effusion,10,20,30,40\n")
+    r = readers.nih_boxes(spark, path, 100, 100).head()
+    assert r["finding"] == "pleural_effusion" and tuple(r["box"]) == pytest.approx((0.2, 0.1, 0.6, 0.4))
+    with pytest.raises(ValueError, match="missing columns"):
+        readers.nih_boxes(spark, put(tmp_path / "short.csv", "image_id,finding\nimg1,Effusion\n"))
+
+
+def grid(n, cells):
+    return [[cells.get((y, x), 255) for x in range(n)] for y in range(n)]
+
+
+def test_chestxdet(spark, tmp_path):
+    assert (readers.CHESTXDET_CATEGORIES[5], readers.CHESTXDET_CATEGORIES[2], len(readers.CHESTXDET_CATEGORIES)) == ("Effusion", "Cardiomegaly", 13)
+    square = {(y, x): 6 for y in (1, 2) for x in (1, 2)}
+    rgb = [[[v, v, v] for v in line] for line in grid(3, {(0, 0): 3})]
+    items = [
+        {"image_id": "block", "label": grid(4, square)},
+        {"image_id": "fracture", "label": grid(3, {(0, 0): 9})},
+        {"image_id": "two", "label": grid(4, {(0, 0): 10, (3, 3): 6})},
+        {"image_id": "four", "label": grid(6, square | {(2, 4): 4, (3, 5): 4, (5, 0): 9})},
+        {"image_id": "rgb", "label": rgb},
+        {"image_id": "none"},
+        {"label": grid(2, {(0, 0): 6})},
+    ]
+    path = put(tmp_path / "det.json", json.dumps(items))
+    got = {}
+    for r in readers.chestxdet_boxes(spark, path).orderBy("image_id", "ord").collect():
+        got.setdefault(r["image_id"], []).append((r["finding"], r["native_label"], r["box"] and tuple(r["box"])))
+    assert got["block"] == [("pleural_effusion", "Effusion", pytest.approx((0.25, 0.25, 0.75, 0.75)))]
+    assert got["fracture"] == got["none"] == [(None, None, None)]
+    assert [f for f, _, _ in got["two"]] == ["pleural_effusion", "nodule_mass"]
+    assert {f for f, _, _ in got["four"]} == {"pleural_effusion", "lung_opacity_consolidation"}
+    assert [f for f, _, _ in got["rgb"]] == ["cardiomegaly"] and [f for f, _, _ in got[""]] == ["pleural_effusion"]
+    with pytest.raises(Exception, match="2-D"):
+        readers.chestxdet_boxes(spark, put(tmp_path / "bad.json", json.dumps([{"image_id": "x", "label": [[[[1]]]]}]))).collect()
+
+
+def test_open_reports(spark, tmp_path):
     path = put(tmp_path / "reports.json", json.dumps([{"uid": 7, "findings": None, "impression": "Clear.", "image": "text"}]))
     r = readers.open_reports(spark, path).head()
     assert (r["image_id"], r["findings_text"], r["impression_text"], r["image"]) == ("7", "", "Clear.", None)
