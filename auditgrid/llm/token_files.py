@@ -85,7 +85,8 @@ def token_starts(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = spark.read.parquet(path).select("doc_id", "n_tokens", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     files = rows.groupBy("file").agg(F.sum("n_tokens").alias("total"), F.count(F.lit(1)).alias("n"))
-    bases = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")  # names alone would put part-100000 before part-99999
+    bases = files.select("file", F.coalesce(F.sum("total").over(Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     before = F.sum("n_tokens").over(Window.partitionBy("file").orderBy("row").rowsBetween(Window.unboundedPreceding, -1))
     return rows.withColumn("before", F.coalesce(before, F.lit(0))).join(bases, "file").select("doc_id", "file", "row", (F.col("base") + F.col("before")).alias("start"))
 
