@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import iou
+from ..functions.geometry import AXES, iou
 from ..functions.scalars import combined_label
 from ..functions.vocab import DISPLAY_NAMES, NO_FINDING, POSITIVE, URGENT, canonical_ord, canonical_sorted, display_name
 
@@ -28,19 +28,30 @@ def _held(side: str) -> Column:
     return (F.col("side") == side) & (F.col("status") == "present") & F.col("finding").isin(*POSITIVE)
 
 
-def audit(rows: DataFrame, ids: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
-    """id and the three flag arrays, in canonical order; a row for each of ``ids`` if given."""
-    sets = rows.groupBy(id_col).agg(*[F.collect_set(F.when(_held(s), F.col("finding"))).alias(s) for s in SIDES])
+def audit(rows: DataFrame, ids: DataFrame | None = None, id_col: str = "image_id", spans: bool = False) -> DataFrame:
+    """id and the three flag arrays, in canonical order; a row for each of ``ids`` if given.
+
+    With ``spans`` also ``unsupported_spans``: the words of the draft behind each unsupported
+    claim (those of the label's first present row), null where it quotes none.
+    """
+    sets = [F.collect_set(F.when(_held(s), F.col("finding"))).alias(s) for s in SIDES]
+    first = [F.min(F.when(_held("draft") & (F.col("finding") == x), F.struct("ord", "span")))["span"] for x in POSITIVE] if spans else []
+    per = rows.groupBy(id_col).agg(*sets, *[c.alias(f"_span_{i}") for i, c in enumerate(first)])
     if ids is not None:
-        sets = ids.select(id_col).distinct().join(sets, id_col, "left")
+        per = ids.select(id_col).distinct().join(per, id_col, "left")
     none = F.array().cast("array<string>")
     a, b = (F.coalesce(F.col(s), none) for s in SIDES)
-    return sets.select(
+    out = per.select(
         id_col,
         canonical_sorted(F.array_except(a, b), POSITIVE).alias(FLAGS[0]),
         canonical_sorted(F.array_except(b, a), POSITIVE).alias(FLAGS[1]),
         canonical_sorted(F.array_intersect(a, F.array(*map(F.lit, URGENT))), POSITIVE).alias(FLAGS[2]),
+        *[f"_span_{i}" for i in range(len(first))],
     )
+    if not spans:
+        return out
+    said = F.array(*[f"_span_{i}" for i in range(len(first))])
+    return out.select(id_col, *FLAGS, F.transform(FLAGS[1], lambda x: F.get(said, canonical_ord(x))).alias("unsupported_spans"))
 
 
 def audit_detail(rows: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -127,19 +138,68 @@ def findings_table(rows: DataFrame, ids: DataFrame, id_col: str = "image_id") ->
     return listed.unionByName(none)
 
 
+# The sentences of the panel.
+PANEL_LEAD = "**How to read this:** this panel compares what the AI sees in the image against the draft text. It is a research aid, not a diagnosis - always confirm with a qualified radiologist."
+PANEL_NOTE = ("**Draft not analyzed:** ", " This audit reflects the image only - re-check the draft text manually.")
+PANEL_HEADS = {
+    "urgent_review_flags": "### URGENT - needs radiologist review",
+    "missing_findings": "### Missing from the draft",
+    "unsupported_claims": "### Unsupported claims in the draft",
+}
+PANEL_LINES = {
+    "urgent_review_flags": "is visible on the image and is a can't-miss finding - have a radiologist review it.",
+    "missing_findings": "appears on the image but the draft does not report it.",
+    "unsupported_claims": "is stated in the draft but the image does not support it",
+}
+PANEL_AGREE = "### No discrepancies found\nThe draft and the image findings agree across the finding set the tool checks."
+DRAFT_NOTE = "The draft text could not be parsed; results show image findings only."
+DISCLAIMER = "Research/educational QA only. NOT a medical device, NOT diagnosis, NOT for clinical use. Outputs are frequently wrong; always consult a qualified radiologist."
+BOX_FORMAT = "normalized_y0x0y1x1"
+
+
 def verdict_markdown(audits: DataFrame) -> DataFrame:
-    """Add ``panel``: the flags of an audit as a short Markdown text, urgent ones first."""
-    part = lambda head, flag, tail: F.when(F.size(flag) > 0, F.concat(F.lit(f"### {head}\n"), F.array_join(F.transform(flag, lambda x: F.concat(F.lit("- **"), display_name(x), F.lit(f"** {tail}"))), "\n")))
-    panel = F.concat_ws(
-        "\n\n",
-        part("URGENT - needs radiologist review", F.col(FLAGS[2]), "is visible on the image and is a can't-miss finding - have a radiologist review it."),
-        part("Missing from the draft", F.col(FLAGS[0]), "appears on the image but the draft does not report it."),
-        part("Unsupported claims in the draft", F.col(FLAGS[1]), "is stated in the draft but the image does not support it."),
-    )
-    agree = "### No discrepancies found\nThe draft and the image findings agree across the finding set the tool checks."
-    return audits.withColumn("panel", F.when(panel == "", agree).otherwise(panel))
+    """Add ``panel``: an audit as a short Markdown text, urgent flags first.
+
+    A ``draft_note`` among the columns leads the text where it is not null; with
+    ``unsupported_spans`` (see audit) the unsupported claims quote the draft.
+    """
+
+    def part(flag: str) -> Column:
+        bullet = lambda x: F.concat(F.lit("- **"), display_name(x), F.lit(f"** {PANEL_LINES[flag]}"))
+        lines = F.transform(flag, bullet)
+        if flag == "unsupported_claims":
+            quote = lambda span: F.when(F.coalesce(span, F.lit("")) != "", F.concat(F.lit(' (draft text: "'), span, F.lit('")'))).otherwise("")
+            quoted = F.transform("unsupported_spans", quote) if "unsupported_spans" in audits.columns else F.transform(flag, lambda _: F.lit(""))
+            lines = F.zip_with(lines, quoted, lambda line, q: F.concat(line, q, F.lit(".")))
+        return F.when(F.size(flag) > 0, F.concat(F.lit(f"{PANEL_HEADS[flag]}\n"), F.array_join(lines, "\n")))
+
+    note = F.concat(F.lit(PANEL_NOTE[0]), F.col("draft_note"), F.lit(PANEL_NOTE[1])) if "draft_note" in audits.columns else F.lit(None).cast("string")
+    agree = F.when(F.size(F.concat(*FLAGS)) == 0, F.lit(PANEL_AGREE))
+    return audits.withColumn("panel", F.concat_ws("\n\n", note, F.lit(PANEL_LEAD), *[part(f) for f in PANEL_HEADS], agree))
+
+
+def result_json(rows: DataFrame, ids: DataFrame, id_col: str = "image_id", pretty: bool = True) -> DataFrame:
+    """id, json: both sides' findings, the audit, the disclaimer and the box format.
+
+    Members that are null are left out; lists are always there.  ``rows`` as of sides();
+    ``confidence`` and ``evidence`` of image findings are taken if they are among its columns.
+    """
+    extra = [c for c in ("confidence", "evidence") if c in rows.columns]
+    sides_box = F.when(F.col("box").isNotNull(), F.array(*[F.col(f"box.{n}") for n in AXES])).alias("box")
+    shapes = {"image": F.struct("ord", "finding", "status", sides_box, *extra), "draft": F.struct("ord", "finding", "status", "span")}
+    lists = [F.array_sort(F.collect_list(F.when(F.col("side") == s, x))).alias(f"{s}_findings") for s, x in shapes.items()]
+    found = rows.groupBy(id_col).agg(*lists)
+    both = audit(rows, ids, id_col).join(found, id_col, "left")
+    members = {"image": ("finding", "status", "box", *extra), "draft": ("finding", "status", "span")}
+
+    def written(side: str) -> Column:
+        items = F.transform(f"{side}_findings", lambda x: F.struct(*[x[n].alias(n) for n in members[side]]))
+        return F.coalesce(items, F.from_json(F.lit("[]"), _list_type(rows, side, extra))).alias(f"{side}_findings")
+
+    whole = F.struct(*map(written, SIDES), F.struct(*FLAGS).alias("audit"), F.lit(DISCLAIMER).alias("disclaimer"), F.lit(BOX_FORMAT).alias("box_format"))
+    return both.select(id_col, F.to_json(whole, {"ignoreNullFields": "true", "pretty": str(pretty).lower()}).alias("json"))
 
 
-def result_json(audits: DataFrame, id_col: str = "image_id") -> DataFrame:
-    """id, json: an audit as indented JSON without null members."""
-    return audits.select(id_col, F.to_json(F.struct(*FLAGS), {"ignoreNullFields": "true", "pretty": "true"}).alias("json"))
+def _list_type(rows: DataFrame, side: str, extra: list[str]) -> str:
+    more = "".join(f",{c}:{rows.schema[c].dataType.simpleString()}" for c in extra)
+    return {"image": f"array<struct<finding:string,status:string,box:array<double>{more}>>", "draft": "array<struct<finding:string,status:string,span:string>>"}[side]

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
-from ..functions.json_lists import parsed_object
+from ..functions.json_lists import parsed_list, parsed_object
 from ..functions.scalars import formatted_metric, labeler_status
 from ..functions.vocab import LABEL_MAPS, POSITIVE, URGENT, is_canonical, normalized_finding, stripped
-from . import metrics
+from . import findings, metrics
 from .audit import FLAGS, flag_rows
+from .corpus import assistant_text
 
 
 def aligned(predicted: DataFrame, expected: DataFrame, case: str = "case_id") -> DataFrame:
@@ -43,8 +44,57 @@ def audit_report(cases: DataFrame, case: str = "case_id") -> DataFrame:
 
 def model_report(predictions: DataFrame, gold: DataFrame, case: str = "image_id", model: str = "model_id") -> DataFrame:
     """Presence metrics of every model at once; each is held against all of the gold rows."""
-    models = predictions.select(model).distinct()
-    return metrics.presence_metrics(predictions, gold.join(F.broadcast(models)), case, by=[model])
+    return metrics.presence_metrics(predictions, gold, case, by=[model])
+
+
+def evaluate_models(outputs: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), case: str = "image_id", model: str = "model_id") -> dict[str, DataFrame]:
+    """All reports of all models from their raw texts, each model in the same few passes.
+
+    ``outputs``: model, case, raw_text (one of each).  ``gold``: case, ord, finding, status,
+    box.  A text that cannot be read counts as a failure and as no finding.  Gold rows of
+    cases without any output are left out for every model.
+    """
+    parsed = findings.parsed_outputs(outputs)
+    said = findings.image_findings(parsed.withColumn("_at", F.struct(model, case)), "_at")
+    pred = said.select(F.col(f"_at.{model}").alias(model), F.col(f"_at.{case}").alias(case), "ord", "finding", "status", "box")
+    # a row without a finding keeps a model whose outputs are all empty
+    bare = outputs.select(model).distinct().withColumn("status", F.lit("none"))
+    pred = pred.unionByName(bare, allowMissingColumns=True)
+    held = gold.join(outputs.select(case).distinct(), case, "left_semi")
+    presence = metrics.presence_metrics(pred, held, case, by=[model])
+    return {
+        "outputs": parsed.groupBy(model).agg(F.count(F.lit(1)).alias("outputs"), F.count_if(~F.col("parse.ok")).alias("failures")),
+        "presence": presence,
+        "macro": metrics.macro(presence, [model]),
+        "urgent": presence.filter(F.col("finding").isin(*URGENT)).select(model, "finding", "tp", "fn", "recall"),
+        "localization": metrics.localization(pred, held, thresholds, case, by=[model]),
+        "mean_iou": metrics.mean_iou(pred, held, id_col=case, by=[model]),
+        "samples": parsed.select(model, case, F.col("parse.ok").alias("ok"), F.col("parse.error").alias("error"), "raw_text", F.col("parse.elements").alias("elements")),
+    }
+
+
+DROPPED = ("no image", "excluded", "no target", "unreadable target")
+
+
+def ground_truth(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+    """Rows (key, messages) with ``parse`` of their target and ``reason``: why one is dropped, or null.
+
+    The reasons, the first that holds: no content key (there is no image), a key among the
+    excluded, no target text, a target that cannot be read.
+    """
+    bad = excluded.select(key).dropna().distinct().withColumn("_bad", F.lit(True))
+    joined = rows.join(bad, key, "left").withColumn("_target", assistant_text(F.col("messages")))
+    parsed = joined.withColumn("parse", parsed_list(F.col("_target")))
+    holds = (F.col(key).isNull(), F.col("_bad").isNotNull(), F.col("_target").isNull(), ~F.col("parse.ok"))
+    reason = F.coalesce(*[F.when(c, why) for c, why in zip(holds, DROPPED, strict=True)])
+    return parsed.withColumn("reason", reason).drop("_bad", "_target")
+
+
+def external_scores(rows: DataFrame, scorer, hypothesis: str, reference: str, out: str = "score") -> DataFrame:
+    """Add the score that a scorer (a function of two columns) gives; without one it is an error."""
+    if scorer is None:
+        raise ValueError("no external scorer is installed")
+    return rows.withColumn(out, scorer(F.col(hypothesis), F.col(reference)))
 
 
 def composition(sets: DataFrame) -> DataFrame:

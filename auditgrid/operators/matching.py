@@ -59,11 +59,15 @@ def cross_label_resolved(boxes: DataFrame, threshold: float = 0.6, id_col: str =
     return boxes.join(losers, [id_col, "ord"], "left_anti")
 
 
-def overlap_pairs(predicted: DataFrame, expected: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs with their overlap: keys, i, j, iou - for all pairs that overlap at all."""
-    p = predicted.filter("box IS NOT NULL").select(*keys, F.col("ord").alias("i"), F.col("box").alias("p"))
+def overlap_pairs(predicted: DataFrame, expected: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:
+    """Pairs with their overlap: by, keys, i, j, iou - for all pairs that overlap at all.
+
+    ``by`` are further columns of the predicted rows, such as the model that wrote them.
+    """
+    by = by or []
+    p = predicted.filter("box IS NOT NULL").select(*by, *keys, F.col("ord").alias("i"), F.col("box").alias("p"))
     g = expected.filter("box IS NOT NULL").select(*keys, F.col("ord").alias("j"), F.col("box").alias("g"))
-    return p.join(g, keys).select(*keys, "i", "j", iou(F.col("p"), F.col("g")).alias("iou")).filter("iou > 0")
+    return p.join(g, keys).select(*by, *keys, "i", "j", iou(F.col("p"), F.col("g")).alias("iou")).filter("iou > 0")
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str], threshold: float) -> DataFrame:

@@ -26,15 +26,32 @@ def _counts(pred: DataFrame, gold: DataFrame, keys: list[str], case: str) -> Dat
     return per.groupBy(*keys).agg(total(F.col("p") * F.col("g")).alias("tp"), total(F.col("p") * (1 - F.col("g"))).alias("fp"), total((1 - F.col("p")) * F.col("g")).alias("fn"))
 
 
+def _counts_of_each(pred: DataFrame, gold: DataFrame, by: list[str], case: str) -> DataFrame:
+    """tp and fp by (by, finding), where only ``pred`` has the columns ``by``."""
+    said = pred.select(*by, case, "finding").distinct()
+    true = gold.select(case, "finding").distinct()
+    hits = said.join(true.withColumn("hit", F.lit(1)), [case, "finding"], "left")
+    per = hits.groupBy(*by, "finding").agg(F.count("hit").alias("tp"), F.count(F.lit(1)).alias("n"))
+    return per.select(*by, "finding", "tp", (F.col("n") - F.col("tp")).alias("fp"))
+
+
 def presence_metrics(pred: DataFrame, gold: DataFrame, case: str = "image_id", by: list[str] | None = None) -> DataFrame:
-    """finding, tp, fp, fn, precision, recall, f1: a row for each positive label (of each ``by``)."""
+    """finding, tp, fp, fn, precision, recall, f1: a row for each positive label (of each ``by``).
+
+    ``by`` are columns of ``pred`` alone: each of their values is held against all of the gold rows.
+    """
     by = by or []
     held = lambda x: checked_labels(x.filter("status = 'present'")).filter(F.col("finding").isin(*POSITIVE))
-    counts = _counts(held(pred), held(gold), [*by, "finding"], case)
     frame = pred.sparkSession.createDataFrame([(x,) for x in POSITIVE], "finding string")
     if by:
-        frame = pred.select(*by).unionByName(gold.select(*by)).distinct().join(F.broadcast(frame))
-    out = frame.join(counts, [*by, "finding"], "left").fillna(0, ["tp", "fp", "fn"])
+        # a value of `by` that says nothing present still has its rows
+        frame = pred.select(*by).distinct().join(F.broadcast(frame))
+        counts = _counts_of_each(held(pred), held(gold), by, case)
+        n_gold = held(gold).select(case, "finding").distinct().groupBy("finding").agg(F.count(F.lit(1)).alias("n_gold"))
+        out = frame.join(counts, [*by, "finding"], "left").join(n_gold, "finding", "left")
+        out = out.fillna(0, ["tp", "fp", "n_gold"]).withColumn("fn", F.col("n_gold") - F.col("tp"))
+    else:
+        out = frame.join(_counts(held(pred), held(gold), ["finding"], case), "finding", "left").fillna(0, ["tp", "fp", "fn"])
     return out.select(*by, "finding", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -47,25 +64,62 @@ def urgent_recall(metrics: DataFrame) -> DataFrame:
     return metrics.filter(F.col("finding").isin(*URGENT)).select("finding", "tp", "fn", "recall")
 
 
-def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col: str = "image_id") -> DataFrame:
-    """threshold, finding (null: all), tp, fp, fn, precision, recall, f1, mean_iou.
+def _boxed(rows: DataFrame) -> DataFrame:
+    return rows.filter((F.col("status") == "present") & F.col("finding").isin(*POSITIVE) & F.col("box").isNotNull())
+
+
+def _at_thresholds(matches: DataFrame, thresholds, keys: list[str]) -> DataFrame:
+    """threshold, keys, tp, iou (their sum) of matches found at the least of the thresholds.
+
+    Matches are taken from the largest overlap down, so those of a higher threshold are
+    the ones that reach it: one join and one fold serve all thresholds.
+    """
+    reached = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("iou") >= t)
+    rows = matches.withColumn("threshold", F.explode(reached))
+    return rows.groupBy("threshold", *keys).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou"))
+
+
+def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col: str = "image_id", by: list[str] | None = None) -> DataFrame:
+    """threshold, finding (null: all), tp, fp, fn, precision, recall, f1, mean_iou (of each ``by``).
 
     Boxes of present positive findings, matched within an image and label.  Labels without
-    any box have no row of their own.
+    any box have no row of their own.  ``by`` are columns of ``pred`` alone: each of their
+    values is held against all of the gold rows.
     """
-    mine = [x.filter((F.col("status") == "present") & F.col("finding").isin(*POSITIVE) & F.col("box").isNotNull()) for x in (pred, gold)]
-    keys = [id_col, "finding"]
-    pairs = overlap_pairs(*mine, keys)
-    n = mine[0].select("finding", F.lit(1).alias("p"), F.lit(0).alias("g")).unionByName(mine[1].select("finding", F.lit(0).alias("p"), F.lit(1).alias("g"))).groupBy("finding").agg(F.sum("p").alias("n_pred"), F.sum("g").alias("n_gold"))
-    out = None
-    for t in thresholds:
-        found = greedy_matches(pairs, keys, t).groupBy("finding").agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou"))
-        per = n.join(found, "finding", "left").fillna(0, ["tp"]).withColumn("threshold", F.lit(float(t)))
-        out = per if out is None else out.unionByName(per)
+    by = by or []
+    p, g = _boxed(pred), _boxed(gold)
+    matches = greedy_matches(overlap_pairs(p, g, [id_col, "finding"], by), [*by, id_col, "finding"], min(thresholds))
+    found = _at_thresholds(matches, thresholds, [*by, "finding"])
+    frame = pred.sparkSession.createDataFrame([(x, float(t)) for x in POSITIVE for t in thresholds], "finding string, threshold double")
+    if by:
+        frame = pred.select(*by).distinct().join(F.broadcast(frame))
+    n_pred = p.groupBy(*by, "finding").agg(F.count(F.lit(1)).alias("n_pred"))
+    n_gold = g.groupBy("finding").agg(F.count(F.lit(1)).alias("n_gold"))
+    per = frame.join(n_pred, [*by, "finding"], "left").join(n_gold, "finding", "left").join(found, ["threshold", *by, "finding"], "left")
+    per = per.fillna(0, ["n_pred", "n_gold", "tp"]).filter("n_pred + n_gold > 0")
     sums = [F.sum(c).alias(c) for c in ("tp", "n_pred", "n_gold", "iou")]
-    total = out.groupingSets([["threshold", "finding"], ["threshold"]], "threshold", "finding").agg(F.grouping_id().alias("gid"), *sums)
+    keys = ["threshold", *by]
+    total = per.groupingSets([[*keys, "finding"], keys], *keys, "finding").agg(F.grouping("finding").alias("whole"), *sums)
     total = total.withColumn("fp", F.col("n_pred") - F.col("tp")).withColumn("fn", F.col("n_gold") - F.col("tp"))
-    return total.select("threshold", F.when(F.col("gid") == 0, F.col("finding")).alias("finding"), "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")), F.when(F.col("tp") > 0, F.col("iou") / F.col("tp")).alias("mean_iou"))
+    finding = F.when(F.col("whole") == 0, F.col("finding")).alias("finding")
+    mean = F.when(F.col("tp") > 0, F.col("iou") / F.col("tp")).alias("mean_iou")
+    return total.select(*by, "threshold", finding, "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")), mean)
+
+
+#: The least overlap that counts at all.
+ANY_OVERLAP = 1e-9
+
+
+def mean_iou(pred: DataFrame, gold: DataFrame, thresholds=(0.3, ANY_OVERLAP), id_col: str = "image_id", by: list[str] | None = None) -> DataFrame:
+    """threshold, n_pairs, mean_iou of the matched boxes (of each ``by``); null without a pair."""
+    by = by or []
+    pairs = overlap_pairs(_boxed(pred), _boxed(gold), [id_col, "finding"], by)
+    found = _at_thresholds(greedy_matches(pairs, [*by, id_col, "finding"], min(thresholds)), thresholds, by)
+    frame = pred.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    if by:
+        frame = pred.select(*by).distinct().join(F.broadcast(frame))
+    out = frame.join(found, ["threshold", *by], "left")
+    return out.select(*by, "threshold", F.coalesce("tp", F.lit(0)).alias("n_pairs"), (F.col("iou") / F.col("tp")).alias("mean_iou"))
 
 
 def flag_metrics(pred: DataFrame, gold: DataFrame, case: str = "image_id") -> DataFrame:

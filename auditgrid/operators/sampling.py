@@ -84,19 +84,33 @@ def stratified_subset(sets: DataFrame, size: int = 280, seed: int = 20260612, id
 
 
 def pool_union(pools: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """One row of each content key: that of the first pool (``pool_ord``), then by ``order``."""
-    best = F.min(F.struct("pool_ord", *order)).alias("best")
-    first = pools.groupBy(key).agg(best).select(key, *[F.col(f"best.{c}").alias(c) for c in ("pool_ord", *order)])
-    return pools.join(first, [key, "pool_ord", *order], "left_semi")
+    """One row of each content key: that of the first pool (``pool_ord``), then by ``order``.
+
+    The winning row travels in the aggregate, so there is one shuffle and no join.
+    """
+    place = ["pool_ord", *order]
+    others = [c for c in pools.columns if c != key]
+    best = F.min_by(F.struct(*others), F.struct(*place)).alias("best")
+    return pools.groupBy(key).agg(best).select(*[F.col(c) if c == key else F.col(f"best.{c}").alias(c) for c in pools.columns])
 
 
 def pool_report(pools: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """pool, raw, kept, within_pool and cross_pool duplicates of each pool."""
-    per = pools.groupBy(key, "pool", "pool_ord").agg(F.count(F.lit(1)).alias("n"))
-    first = pools.groupBy(key).agg(F.min("pool_ord").alias("first_ord"))
-    owns = (F.col("pool_ord") == F.col("first_ord")).cast("long")
-    rows = per.join(first, key)
-    return rows.groupBy("pool", "pool_ord").agg(F.sum("n").alias("raw"), F.sum(owns).alias("kept"), F.sum(F.col("n") - 1).alias("within_pool"), F.sum(1 - owns).alias("cross_pool"))
+    """pool, raw, kept, within_pool and cross_pool duplicates of each pool.
+
+    With ``labels`` among the columns also urgent_<label>: the kept rows that have it, a
+    content's labels being those of its row that is kept.
+    """
+    first = {"n": F.count(F.lit(1))}
+    if "labels" in pools.columns:
+        first["labels"] = F.min_by("labels", F.struct("pool_ord", *order))
+    per = pools.groupBy(key, "pool", "pool_ord").agg(*[c.alias(n) for n, c in first.items()])
+    rows = per.withColumn("first_ord", F.min("pool_ord").over(Window.partitionBy(key)))
+    owns = F.col("pool_ord") == F.col("first_ord")
+    one = owns.cast("long")
+    sums = [F.sum("n").alias("raw"), F.sum(one).alias("kept"), F.sum(F.col("n") - 1).alias("within_pool"), F.sum(1 - one).alias("cross_pool")]
+    if "labels" in pools.columns:
+        sums += [F.count_if(owns & F.array_contains("labels", x)).alias(f"urgent_{x}") for x in URGENT]
+    return rows.groupBy("pool", "pool_ord").agg(*sums)
 
 
 def without_leaks(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:

@@ -198,18 +198,62 @@ def draft_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.join(flagged, ["image_id", "ord"])
 
 
-_PANEL_SQL = f"""concat_ws(chr(10) || chr(10), CASE WHEN len(urgent_review_flags) > 0 THEN '### URGENT - needs radiologist review' || chr(10) || array_to_string(list_transform(urgent_review_flags, lambda x: '- **' || {_NAMES_SQL}[x] || '** is visible on the image and is a can''t-miss finding - have a radiologist review it.'), chr(10)) END, CASE WHEN len(missing_findings) > 0 THEN '### Missing from the draft' || chr(10) || array_to_string(list_transform(missing_findings, lambda x: '- **' || {_NAMES_SQL}[x] || '** appears on the image but the draft does not report it.'), chr(10)) END, CASE WHEN len(unsupported_claims) > 0 THEN '### Unsupported claims in the draft' || chr(10) || array_to_string(list_transform(unsupported_claims, lambda x: '- **' || {_NAMES_SQL}[x] || '** is stated in the draft but the image does not support it.'), chr(10)) END)"""
+_q = lambda text: text.replace("'", "''")
+_LINES_SQL = "list_transform({0}, lambda x: '- **' || " + _NAMES_SQL + "[x] || '** {1}')"
 
 
-@query(f"""WITH {_AUDIT_SQL}, t AS (SELECT image_id, {_PANEL_SQL} AS p FROM audits)
-SELECT image_id, CASE WHEN p = '' THEN '### No discrepancies found' || chr(10) || 'The draft and the image findings agree across the finding set the tool checks.' ELSE p END AS panel FROM t""")
-def verdict_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.verdict_markdown(audit.audit(boxes(spark, sf_dir), images(spark, sf_dir))).select("image_id", "panel")
+def _part_sql(flag: str) -> str:
+    lines = _LINES_SQL.replace("{0}", flag).replace("{1}", _q(audit.PANEL_LINES[flag]))
+    if flag == "unsupported_claims":
+        span = "map_extract(spans, x)[1]"
+        lines = lines[:-1] + f" || CASE WHEN coalesce({span}, '') <> '' THEN ' (draft text: \"' || {span} || '\")' ELSE '' END || '.')"
+    return f"CASE WHEN len({flag}) > 0 THEN '{_q(audit.PANEL_HEADS[flag])}' || chr(10) || array_to_string({lines}, chr(10)) END"
+
+
+_PANEL_SQL = f"""concat_ws(chr(10) || chr(10), CASE WHEN image_id % 4 = 0 THEN '{audit.PANEL_NOTE[0]}{audit.DRAFT_NOTE}{audit.PANEL_NOTE[1]}' END, '{_q(audit.PANEL_LEAD)}',
+{", ".join(_part_sql(f) for f in audit.PANEL_HEADS)}, CASE WHEN len(missing_findings) + len(unsupported_claims) + len(urgent_review_flags) = 0 THEN replace('{_q(audit.PANEL_AGREE)}', chr(92) || 'n', chr(10)) END)"""
 
 
-@query()
+@query(f"""WITH {_AUDIT_SQL}, first AS (SELECT image_id, finding, arg_min(coalesce(CASE WHEN ord % 3 <> 0 THEN span END, ''), ord) AS span FROM b WHERE side = 'draft' AND status = 'present' GROUP BY image_id, finding),
+said AS (SELECT image_id, map(list(finding), list(span)) AS spans FROM first GROUP BY image_id)
+SELECT a.image_id, {_PANEL_SQL.replace("image_id % 4", "a.image_id % 4")} AS panel FROM audits a LEFT JOIN said ON said.image_id = a.image_id""")
+def verdict_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panels with quotes; every third draft row quotes nothing, every fourth image has an unread draft's note."""
+    rows = boxes(spark, sf_dir).withColumn("span", F.when(F.col("ord") % 3 != 0, F.col("span")))
+    audits = audit.audit(rows, images(spark, sf_dir), spans=True)
+    noted = audits.withColumn("draft_note", F.when(F.col("image_id") % 4 == 0, audit.DRAFT_NOTE))
+    return audit.verdict_markdown(noted).select("image_id", "panel")
+
+
+@query(f"""WITH {_AUDIT_SQL}, n AS (SELECT image_id, count(*) FILTER (WHERE side = 'image') AS n_image, count(*) FILTER (WHERE side = 'draft') AS n_draft,
+count(y0) FILTER (WHERE side = 'image') AS n_boxes, coalesce(string_agg(finding || ' ' || status, ',' ORDER BY ord) FILTER (WHERE side = 'image'), '') AS image_findings,
+coalesce(string_agg(finding || ' ' || status || ' ' || span, ',' ORDER BY ord) FILTER (WHERE side = 'draft'), '') AS draft_findings, round(sum(y0 + x0 + y1 + x1) FILTER (WHERE side = 'image'), 6) AS sides FROM b GROUP BY image_id)
+SELECT a.image_id, 'audit,box_format,disclaimer,draft_findings,image_findings' AS members, coalesce(n_image, 0) AS n_image, coalesce(n_draft, 0) AS n_draft, coalesce(n_boxes, 0) AS n_boxes, coalesce(image_findings, '') AS image_findings,
+coalesce(draft_findings, '') AS draft_findings, sides, array_to_string(missing_findings, ',') AS missing_findings, array_to_string(unsupported_claims, ',') AS unsupported_claims,
+array_to_string(urgent_review_flags, ',') AS urgent_review_flags, '{audit.DISCLAIMER}' AS disclaimer, '{audit.BOX_FORMAT}' AS box_format FROM audits a LEFT JOIN n ON n.image_id = a.image_id""")
 def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.result_json(audit.audit(boxes(spark, sf_dir), images(spark, sf_dir)))
+    """Whole results written as JSON and read back member by member; `n_boxes` counts the boxes that are written."""
+    written = audit.result_json(boxes(spark, sf_dir), images(spark, sf_dir))
+    kinds = "image_findings array<struct<finding:string,status:string,box:array<double>>>, draft_findings array<struct<finding:string,status:string,span:string>>"
+    flags = ",".join(f"{f}:array<string>" for f in audit.FLAGS)
+    r = F.from_json("json", f"{kinds}, audit struct<{flags}>, disclaimer string, box_format string")
+    rows = written.withColumn("r", r)
+    found = F.filter("r.image_findings", lambda x: x["box"].isNotNull())
+    total = F.aggregate(F.flatten(F.transform(found, lambda x: x["box"])), F.lit(0.0), lambda acc, v: acc + v)
+    said = lambda x, *names: F.concat_ws(" ", *[x[n] for n in names])
+    return rows.select(
+        "image_id",
+        F.array_join(F.array_sort(F.json_object_keys("json")), ",").alias("members"),
+        F.size("r.image_findings").cast("long").alias("n_image"),
+        F.size("r.draft_findings").cast("long").alias("n_draft"),
+        F.size(found).cast("long").alias("n_boxes"),
+        joined(F.transform("r.image_findings", lambda x: said(x, "finding", "status"))).alias("image_findings"),
+        joined(F.transform("r.draft_findings", lambda x: said(x, "finding", "status", "span"))).alias("draft_findings"),
+        F.when(F.size(found) > 0, F.round(total, 6)).alias("sides"),
+        *[joined(f"r.audit.{f}").alias(f) for f in audit.FLAGS],
+        "r.disclaimer",
+        "r.box_format",
+    )
 
 
 @query(

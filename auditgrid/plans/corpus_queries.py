@@ -294,7 +294,13 @@ def synthetic_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drafted.select("image_id", joined("labels").alias("labels"), "draft")
 
 
-@query()
+_NUMBERS_SQL = "array_to_string([CAST(v AS VARCHAR) FOR v IN [y0, x0, y1, x1]], ', ')"
+
+
+@query(f"""WITH {BOXES_SQL}, t AS (SELECT image_id, ord, '{{"label": "' || finding || '", "box_2d": ' || CASE WHEN y0 IS NULL THEN 'null' ELSE '[' || {_NUMBERS_SQL} || ']' END
+  || CASE WHEN ord % 2 = 0 THEN ', "confidence": 0.5' ELSE '' END || CASE WHEN ord % 3 = 0 THEN ', "evidence": "' || span || '"' ELSE '' END || '}}' AS x
+  FROM b WHERE side = 'image' AND status = 'present' AND finding IN {POSITIVES})
+SELECT o_orderkey AS image_id, coalesce('[' || string_agg(x, ', ' ORDER BY ord) || ']', '[{{"label": "no_finding", "box_2d": null}}]') AS target FROM orders LEFT JOIN t ON image_id = o_orderkey GROUP BY o_orderkey""")
 def training_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = side(boxes(spark, sf_dir), "image").withColumn("confidence", F.when(F.col("ord") % 2 == 0, 0.5)).withColumn("evidence", F.when(F.col("ord") % 3 == 0, F.col("span")))
     return corpus.target_text(images(spark, sf_dir), rows)
