@@ -50,6 +50,7 @@ class ChunkEncoder(dict):
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
         self.keep_space = keep_space
+        self.folds = not keep_space and self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AbZ") == "abz"
         self.dtype = np.dtype("u2" if self.tok.get_vocab_size(True) <= 1 << 16 else "u4")
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -59,9 +60,12 @@ class ChunkEncoder(dict):
     def __missing__(self, key: str) -> bytes:
         found = self.older.get(key)
         if found is None:
-            found, keep = self._encode(key)
-            if not keep or len(key) > LONGEST_CACHED:
-                return found
+            if self.folds and key.isascii() and key.isalpha() and len(key) <= LONGEST_CACHED:  # the short way of most words
+                found = array(self.code, [t.id for t in self.merge(key.lower())]).tobytes()
+            else:
+                found, keep = self._encode(key)
+                if not keep or len(key) > LONGEST_CACHED:
+                    return found
         self._keep(key, found)
         return found
 
@@ -103,6 +107,8 @@ class ChunkEncoder(dict):
     def _chunks(self, text: str) -> list[str] | None:
         """Keys of the chunks of a text; None if it must be encoded whole."""
         if not self.keep_space:
+            if self.folds and text.isascii():  # one entry for all spellings of a word
+                text = text.lower()
             return text.replace("\n", " ").split(" ")
         if _PYTHON_ONLY_SPACE.search(text):
             return None
