@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql as _sql
 from .common import scratch_path, table
+from .funnel import Funnel
+
+FUNNELS = [
+    Funnel("A", ("view", "click", "view", "purchase"), "error"),
+    Funnel("B", ("signup", "view", "click", "purchase"), "error"),
+    Funnel("C", ("click", "click", "purchase", "view"), "signup"),
+]
 
 
 def tokenizer_path(name: str) -> str:
@@ -81,6 +87,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path).join(token_starts(spark, path).drop("doc_id"), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op13_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .funnel import ordered_funnels
+
+    return ordered_funnels(table(spark, sf_dir, "clicks"), FUNNELS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_ngram_join": op2_ngram_join,
@@ -92,6 +104,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op13_funnels": op13_funnels,
 }
 
+from . import sql as _sql  # noqa: E402  (its texts hold the queries' parameters)
+
 SQL: dict[str, str] = {name: sql for name, sql in vars(_sql).items() if name[:2] == "op"}

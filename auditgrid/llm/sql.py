@@ -106,3 +106,33 @@ gone AS (
 ), listed AS (SELECT r, count(*) AS n, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM gone GROUP BY r)
 SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, coalesce(n, 0) AS n_removed, coalesce(lines, '') AS removed_lines
 FROM d LEFT JOIN listed USING (r)"""
+
+
+def _funnels() -> str:
+    from .queries import FUNNELS
+
+    size = len(FUNNELS[0].steps)
+    steps = "SELECT funnel, client_id, t AS t1 FROM e JOIN f ON kind = k1"
+    parts = [f"s1 AS ({steps})"]
+    for k in range(2, size + 1):
+        parts.append(f"""a{k} AS (SELECT s.*, t{k - 1} AS prev, k{k} AS wanted, x FROM s{k - 1} s JOIN f USING (funnel) WHERE t{k - 1} IS NOT NULL),
+b{k} AS (SELECT a.*, e.t AS t{k} FROM a{k} a ASOF LEFT JOIN e ON a.client_id = e.client_id AND a.wanted = e.kind AND a.prev < e.t),
+c{k} AS (SELECT b.*, e.t AS barred FROM b{k} b ASOF LEFT JOIN e ON b.client_id = e.client_id AND b.x = e.kind AND b.prev < e.t),
+s{k} AS (SELECT * EXCLUDE (prev, wanted, x, barred, t{k}), CASE WHEN t{k} <= t1 + INTERVAL 5 MINUTE AND (barred IS NULL OR barred > t{k}) THEN t{k} END AS t{k} FROM c{k})""")
+    took = " UNION ALL ".join(f"SELECT funnel, client_id, {k} AS step, date_diff('microsecond', t{k - 1}, t{k}) AS dt FROM s{k} WHERE t{k} IS NOT NULL" for k in range(2, size + 1))
+    names = ", ".join(f"('{f.name}', {', '.join(repr(s) for s in f.steps)}, '{f.excluded}')" for f in FUNNELS)
+    return f"""
+WITH e AS (SELECT DISTINCT client_id, kind, arrived_at AS t FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL),
+f(funnel, {", ".join(f"k{k}" for k in range(1, size + 1))}, x) AS (VALUES {names}),
+{", ".join(parts)},
+took AS (SELECT funnel, client_id, 1 AS step, 0 AS dt FROM s1 UNION ALL {took}),
+placed AS (SELECT *, row_number() OVER (PARTITION BY funnel, client_id, step ORDER BY dt) AS nth, count(*) OVER (PARTITION BY funnel, client_id, step) AS n FROM took),
+each AS (
+  SELECT funnel, client_id, {", ".join(f"count(*) FILTER (WHERE step = {k}) AS n{k}" for k in range(1, size + 1))}, max(step) AS deepest,
+         {", ".join(f"min(dt) FILTER (WHERE step = {k} AND nth = (25 * n + 99) // 100) AS t{k}" for k in range(2, size + 1))}
+  FROM placed GROUP BY funnel, client_id
+)
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM each"""
+
+
+op13_funnels = _funnels()
