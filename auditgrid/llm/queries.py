@@ -87,6 +87,12 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(spark, path).join(token_starts(spark, path).drop("doc_id"), ["file", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ranked import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "tiered-index"))
+
+
 def op13_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .funnel import ordered_funnels
 
@@ -104,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
+    "op11_ranked_search": op11_ranked_search,
     "op13_funnels": op13_funnels,
 }
 

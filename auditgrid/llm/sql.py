@@ -136,3 +136,21 @@ SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM each""
 
 
 op13_funnels = _funnels()
+
+_RUNS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+op11_ranked_search = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_RUNS} AS words FROM documents),
+totals AS (SELECT CAST(count(*) AS BIGINT) AS N, CAST(sum(len(words)) AS BIGINT) AS L FROM d WHERE len(words) > 0),
+i AS (SELECT row_number() OVER () AS i, item_id, list_distinct({_RUNS}) AS words FROM benchmark),
+wanted AS (SELECT i, unnest(words) AS word FROM i),
+p AS (SELECT r, word, count(*) AS tf FROM (SELECT r, unnest(words) AS word FROM d) WHERE word IN (SELECT word FROM wanted) GROUP BY r, word),
+w AS (SELECT word, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, totals GROUP BY word, N),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * len(words) * N) // L AS m FROM d, totals WHERE len(words) > 0),
+scores AS (
+  SELECT i, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN p USING (word) JOIN w USING (word) JOIN m USING (r) GROUP BY i, r
+), ranked AS (
+  SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scores JOIN m USING (r) WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked JOIN i USING (i) WHERE rank <= 10"""
