@@ -93,6 +93,12 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), scratch_path(spark, "tiered-index"))
 
 
+def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import neighbours
+
+    return neighbours(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op13_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .funnel import ordered_funnels
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_token_files": op10_token_files,
     "op11_ranked_search": op11_ranked_search,
+    "op12_neighbours": op12_neighbours,
     "op13_funnels": op13_funnels,
 }
 
