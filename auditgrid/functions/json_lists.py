@@ -21,10 +21,21 @@ _FENCED = re.compile(r"^\s*```(?:json)?\s*(.*?)\s*```\s*$", re.DOTALL)
 _PAIRS = {"{": "}", "[": "]"}
 
 
+_DECODER = json.JSONDecoder()
+
+
 class Unreadable(ValueError):
     pass
 
 
+def _well_formed(text: str, start: int):
+    """The JSON value that begins at ``start``, whatever follows it; None if it is broken."""
+    try:
+        return _DECODER.raw_decode(text, start)[0]
+    except ValueError:
+        return None
+
+
 def closing(text: str, start: int) -> int:
     """Where the bracket at ``start`` is closed, outside of strings; -1 if nowhere."""
     opens, closes = text[start], _PAIRS[text[start]]
@@ -46,6 +57,8 @@ def first_object(text: str) -> dict:
     start = text.find("{")
     if start < 0:
         raise Unreadable("no JSON object")
+    if (found := _well_formed(text, start)) is not None:
+        return found
     end = closing(text, start)
     if end < 0:
         raise Unreadable("no balanced JSON object")
@@ -64,15 +77,11 @@ def salvaged(text: str) -> list[dict]:
         start = text.find("{", at)
         if start < 0 or "]" in text[at:start]:
             break
-        end = closing(text, start)
         try:
-            out.append(json.loads(text[start : end + 1]) if end >= 0 else None)
+            found, at = _DECODER.raw_decode(text, start)
         except ValueError:
             break
-        if out[-1] is None:
-            out.pop()
-            break
-        at = end + 1
+        out.append(found)
     return out
 
 
@@ -82,61 +91,71 @@ def object_list(text: str) -> list[dict]:
     array, single = text.find("["), text.find("{")
     if array < 0 or 0 <= single < array:
         return [first_object(text)]
-    end = closing(text, array)
-    why = "no balanced JSON array"
-    found = None
-    if end >= 0:
-        try:
-            found = json.loads(text[array : end + 1])
-        except ValueError:
-            why = "invalid JSON array"
+    found = _well_formed(text, array)
     if found is None:
         found = salvaged(text)
         if not found:
-            raise Unreadable(why)
+            raise Unreadable("no balanced JSON array" if closing(text, array) < 0 else "invalid JSON array")
     if not all(isinstance(x, dict) for x in found):
         raise Unreadable("JSON array element is not an object")
     return found
 
 
-def _finite(x):
+def _finite(x, instead=None):
     if isinstance(x, float) and not math.isfinite(x):
-        return None
+        return instead
     if isinstance(x, dict):
-        return {k: _finite(v) for k, v in x.items()}
-    return [_finite(v) for v in x] if isinstance(x, list) else x
+        return {k: _finite(v, instead) for k, v in x.items()}
+    return [_finite(v, instead) for v in x] if isinstance(x, list) else x
 
 
-def _parsed(text: str | None, read) -> dict:
+def _written(x, instead=None) -> str:
+    try:
+        return json.dumps(x, ensure_ascii=False, allow_nan=False)
+    except ValueError:  # a number that JSON cannot hold
+        return json.dumps(_finite(x, instead), ensure_ascii=False)
+
+
+def _parsed(text: str | None, read, instead=None) -> tuple[bool, str | None, list[str]]:
     try:
         if text is None:
             raise Unreadable("no text")
-        return {"ok": True, "error": None, "elements": [json.dumps(_finite(x), ensure_ascii=False) for x in read(text)]}
+        return True, None, [_written(x, instead) for x in read(text)]
     except (Unreadable, RecursionError) as e:
-        return {"ok": False, "error": str(e) or "too deep", "elements": []}
+        return False, str(e) or "too deep", []
+
+
+def _rows(texts: pd.Series, read, instead=None) -> pd.DataFrame:
+    return pd.DataFrame([_parsed(t, read, instead) for t in texts], columns=["ok", "error", "elements"])
 
 
 @F.pandas_udf(PARSED)
 def _list_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parsed(t, object_list) for t in texts], columns=["ok", "error", "elements"])
+    return _rows(texts, object_list)
 
 
 @F.pandas_udf(PARSED)
 def _object_udf(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_parsed(t, lambda x: [first_object(x)]) for t in texts], columns=["ok", "error", "elements"])
+    return _rows(texts, lambda t: [first_object(t)], "NaN")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _salvage_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [json.dumps(_finite(x), ensure_ascii=False) for x in salvaged(unfenced(t or ""))])
+    return texts.map(lambda t: [_written(x) for x in salvaged(unfenced(t or ""))])
+
+
+# Not deterministic for Spark: a filter on the result then never runs the scan a second time.
+_list_once, _object_once = _list_udf.asNondeterministic(), _object_udf.asNondeterministic()
 
 
 def parsed_list(c: Column) -> Column:
-    return _list_udf(c)
+    """The objects of the first array, or the first object alone if it comes before."""
+    return _list_once(c)
 
 
 def parsed_object(c: Column) -> Column:
-    return _object_udf(c)
+    """The first object; a number that is NaN or infinite becomes the string NaN."""
+    return _object_once(c)
 
 
 def salvaged_list(c: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,6 +13,11 @@ from pyspark.sql import types as T
 from .vocab import display_name, stripped
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; inside lambdas Spark computes equal parts again."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def coerced_status(c: Column) -> Column:
     """'absent' where it is written so, in any case; everything else is present."""
     return F.when(F.lower(stripped(c)) == "absent", "absent").otherwise("present")

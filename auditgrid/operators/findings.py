@@ -8,12 +8,14 @@ partitions.  Equal ``ord`` of one image are told apart by the other columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
 from ..functions.json_lists import parsed_list
-from ..functions.scalars import coerced_confidence, coerced_status, without_reasoning
+from ..functions.scalars import coerced_confidence, coerced_status, let, without_reasoning
 from ..functions.vocab import NO_FINDING, POSITIVE, canonical_sorted, normalized_finding
 
 
@@ -33,36 +35,38 @@ def quarantine(parsed: DataFrame, text: str = "raw_text", limit: int = 2000) ->
     return parsed.filter(~F.col("parse.ok")).withColumn("error", F.col("parse.error")).withColumn(text, F.left(F.col(text), F.lit(limit))).drop("parse")
 
 
-def _elements(parsed: DataFrame, id_col: str) -> DataFrame:
-    rows = parsed.filter("parse.ok").select(F.col(id_col), F.posexplode("parse.elements").alias("ord", "element"))
-    return rows.withColumn("v", F.try_parse_json("element"))
+def _string(v: Column, path: str) -> Column:
+    """A member that is a JSON string; null for any other kind."""
+    kind = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    return F.when(kind == "STRING", F.try_variant_get(v, path, "string"))
 
 
-def _string(path: str) -> Column:
-    """A member that is a JSON string; null for any other kind."""
-    v = F.try_variant_get(F.col("v"), path, "string")
-    return F.when(F.schema_of_variant(F.try_variant_get(F.col("v"), path, "variant")) == "STRING", v)
+def _read(parsed: DataFrame, id_col: str, members: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """id, ord and the members of each element of parsed output, without those of no known label.
+
+    Members are read inside the array, so that a text is parsed once and not for every filter.
+    """
+    one = lambda e: let(F.try_parse_json(e), lambda v: F.struct(*[c.alias(n) for n, c in members(v).items()]))
+    rows = parsed.select(F.col(id_col), F.posexplode_outer(F.transform("parse.elements", one)).alias("ord", "_f"))
+    return rows.filter("_f.finding IS NOT NULL").select(id_col, "ord", "_f.*")
 
 
 def image_findings(parsed: DataFrame, id_col: str = "image_id") -> DataFrame:
     """Canonical image findings of parsed output; an unreadable box becomes null, the finding stays."""
-    values = F.try_variant_get(F.col("v"), "$.box_2d", "array<double>")
-    rows = _elements(parsed, id_col).select(
-        id_col,
-        "ord",
-        normalized_finding(_string("$.label")).alias("finding"),
-        F.lit("present").alias("status"),
-        valid_box(values).alias("box"),
-        coerced_confidence(F.try_variant_get(F.col("v"), "$.confidence", "double")).alias("confidence"),
-        _string("$.evidence").alias("evidence"),
-    )
-    return first_wins(rows.filter("finding IS NOT NULL"), [id_col, "finding", "box"], ["ord"])
+    members = lambda v: {
+        "finding": let(_string(v, "$.label"), lambda c: normalized_finding(c)),
+        "status": F.lit("present"),
+        "box": let(F.try_variant_get(v, "$.box_2d", "array<double>"), valid_box),
+        "confidence": let(F.try_variant_get(v, "$.confidence", "double"), coerced_confidence),
+        "evidence": _string(v, "$.evidence"),
+    }
+    return first_wins(_read(parsed, id_col, members), [id_col, "finding", "box"], ["ord"])
 
 
 def draft_findings(parsed: DataFrame, id_col: str = "image_id") -> DataFrame:
     """Canonical draft findings of parsed output, the first of each label and status."""
-    rows = _elements(parsed, id_col).select(id_col, "ord", normalized_finding(_string("$.label")).alias("finding"), coerced_status(F.try_variant_get(F.col("v"), "$.status", "string")).alias("status"), _string("$.span").alias("span"))
-    return first_wins(rows.filter("finding IS NOT NULL"), [id_col, "finding", "status"], ["ord"])
+    members = lambda v: {"finding": let(_string(v, "$.label"), lambda c: normalized_finding(c)), "status": coerced_status(F.try_variant_get(v, "$.status", "string")), "span": _string(v, "$.span")}
+    return first_wins(_read(parsed, id_col, members), [id_col, "finding", "status"], ["ord"])
 
 
 def first_readable(attempts: DataFrame, id_col: str = "image_id") -> DataFrame:
