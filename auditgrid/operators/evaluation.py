@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
-from ..functions.json_lists import parsed_list, parsed_object
+from ..functions.json_lists import parsed_list
 from ..functions.scalars import formatted_metric, labeler_status
-from ..functions.vocab import LABEL_MAPS, POSITIVE, URGENT, is_canonical, normalized_finding, stripped
+from ..functions.vocab import LABEL_MAPS, POSITIVE, URGENT, normalized_finding, stripped
 from . import findings, metrics
 from .audit import FLAGS, flag_rows
 from .corpus import assistant_text
+from .scratch import settled
 
 
 def aligned(predicted: DataFrame, expected: DataFrame, case: str = "case_id") -> DataFrame:
@@ -48,19 +49,21 @@ def model_report(predictions: DataFrame, gold: DataFrame, case: str = "image_id"
 
 
 def evaluate_models(outputs: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), case: str = "image_id", model: str = "model_id") -> dict[str, DataFrame]:
-    """All reports of all models from their raw texts, each model in the same few passes.
+    """All reports of all models from their raw texts.
 
+    The texts are read once: every report starts from the settled table of what they say,
+    in which all models stand together.
     ``outputs``: model, case, raw_text (one of each).  ``gold``: case, ord, finding, status,
     box.  A text that cannot be read counts as a failure and as no finding.  Gold rows of
     cases without any output are left out for every model.
     """
-    parsed = findings.parsed_outputs(outputs)
+    parsed = settled(findings.parsed_outputs(outputs), "outputs")
     said = findings.image_findings(parsed.withColumn("_at", F.struct(model, case)), "_at")
     pred = said.select(F.col(f"_at.{model}").alias(model), F.col(f"_at.{case}").alias(case), "ord", "finding", "status", "box")
     # a row without a finding keeps a model whose outputs are all empty
-    bare = outputs.select(model).distinct().withColumn("status", F.lit("none"))
-    pred = pred.unionByName(bare, allowMissingColumns=True)
-    held = gold.join(outputs.select(case).distinct(), case, "left_semi")
+    bare = parsed.select(model).distinct().withColumn("status", F.lit("none"))
+    pred = settled(pred.unionByName(bare, allowMissingColumns=True), "predicted")
+    held = settled(gold.join(parsed.select(case).distinct(), case, "left_semi"), "expected")
     presence = metrics.presence_metrics(pred, held, case, by=[model])
     return {
         "outputs": parsed.groupBy(model).agg(F.count(F.lit(1)).alias("outputs"), F.count_if(~F.col("parse.ok")).alias("failures")),
@@ -69,10 +72,21 @@ def evaluate_models(outputs: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5),
         "urgent": presence.filter(F.col("finding").isin(*URGENT)).select(model, "finding", "tp", "fn", "recall"),
         "localization": metrics.localization(pred, held, thresholds, case, by=[model]),
         "mean_iou": metrics.mean_iou(pred, held, id_col=case, by=[model]),
-        "samples": parsed.select(model, case, F.col("parse.ok").alias("ok"), F.col("parse.error").alias("error"), "raw_text", F.col("parse.elements").alias("elements")),
+        "samples": samples(parsed, pred, held, case, model),
     }
 
 
+def samples(parsed: DataFrame, predicted: DataFrame, expected: DataFrame, case: str = "image_id", model: str = "model_id") -> DataFrame:
+    """model, case, ok, error, raw_text, elements and, as arrays in order, predicted and expected findings."""
+    shape = F.struct("ord", "finding", "status", "box")
+    told = predicted.filter("finding IS NOT NULL").groupBy(model, case).agg(F.array_sort(F.collect_list(shape)).alias("predicted"))
+    true = expected.groupBy(case).agg(F.array_sort(F.collect_list(shape)).alias("expected"))
+    kind = {c: t for t_, c in ((told, "predicted"), (true, "expected")) for t in [t_.schema[c].dataType]}
+    rows = parsed.select(model, case, F.col("parse.ok").alias("ok"), F.col("parse.error").alias("error"), "raw_text", F.col("parse.elements").alias("elements"))
+    whole = rows.join(told, [model, case], "left").join(true, case, "left")
+    return whole.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in kind.items()})
+
+
 DROPPED = ("no image", "excluded", "no target", "unreadable target")
 
 
@@ -115,36 +129,7 @@ def labeler_findings(rows: DataFrame, id_col: str = "image_id") -> DataFrame:
     return found.groupBy(id_col, "finding").agg(F.max_by("status", "ord").alias("status"))
 
 
-_KEYS = ("image_findings", "draft_findings", "audit", "disclaimer", "box_format")
-
-
-def strict_output(text: Column) -> Column:
-    """A whole audit result read from model text: (ok, error, json); no unknown members, canonical labels only."""
-    parsed = parsed_object(text)
-    raw = F.get(parsed["elements"], F.lit(0))
-    v = F.try_parse_json(raw)
-    extra = F.array_except(F.json_object_keys(raw), F.array(*map(F.lit, _KEYS)))
-    flags = F.from_json(raw, f"audit struct<{', '.join(f'{f}:array<string>' for f in FLAGS)}>")["audit"]
-    labels = [F.coalesce(F.from_json(raw, f"{k} array<struct<finding:string>>")[k]["finding"], F.array().cast("array<string>")) for k in _KEYS[:2]]
-    wrong = F.exists(F.concat(*labels, *[F.coalesce(flags[f], F.array().cast("array<string>")) for f in FLAGS]), lambda x: ~F.coalesce(is_canonical(x), F.lit(False)))
-    error = F.coalesce(parsed["error"], F.when(v.isNull(), "invalid JSON"), F.when(F.size(extra) > 0, F.concat(F.lit("unknown members: "), F.array_join(extra, ", "))), F.when(flags.isNull(), "no audit"), F.when(wrong, "label outside of the vocabulary"))
-    return F.struct(error.isNull().alias("ok"), error.alias("error"), F.when(error.isNull(), raw).alias("json"))
-
-
 def metric_lines(report: DataFrame, name: str) -> DataFrame:
     """A report's rows as text of fixed width: name, precision, recall, f1, counts."""
     cell = lambda c: F.lpad(formatted_metric(F.col(c)), 9, " ")
     return report.select(name, F.concat(F.rpad(F.coalesce(F.col(name), F.lit("all")), 28, " "), cell("precision"), cell("recall"), cell("f1"), F.format_string("  tp=%d fp=%d fn=%d", "tp", "fp", "fn")).alias("line"))
-
-
-def band_rows(regions: DataFrame, heights: int, step: int, tries: int = 18, id_col: str = "image_id") -> DataFrame:
-    """A label band's top for each region: its box's, moved down past the bands before it.
-
-    Bands of one image are spread in order of their wanted tops, ``step`` apart at least,
-    and never further than ``tries`` steps from the wanted place.
-    """
-    w = Window.partitionBy(id_col).orderBy("top", "region").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = regions.withColumn("top", F.floor(F.col("box.y0") * heights).cast("long"))
-    n = F.row_number().over(Window.partitionBy(id_col).orderBy("top", "region"))
-    spread = wanted.withColumn("_n", n).withColumn("_at", F.max(F.col("top") - F.col("_n") * step).over(w) + F.col("_n") * step)
-    return spread.withColumn("top", F.least("_at", F.col("top") + tries * step)).drop("_n", "_at")

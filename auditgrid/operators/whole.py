@@ -25,21 +25,25 @@ GROUNDING_ATTEMPTS, DRAFT_ATTEMPTS = 3, 2
 def generated(rows: DataFrame, prompt: Column, generate: Generate, attempts: int) -> DataFrame:
     """Add ``parse`` (ok, error, elements) and ``attempt`` of the first attempt that reads.
 
-    Every attempt is a column of the same row; a row that is read already gives the next
-    attempt a null prompt, so a model is called again only for what failed.  A null prompt
-    gives a null parse.  If no attempt reads, parse is that of the last.
+    Every attempt is a table of its own in the shared folder: the first of all rows, each
+    further one of the rows that the one before could not read.  A model is asked once for
+    each row and attempt, whoever reads the result and however often; all readers see the
+    same answer.  A null prompt gives a null parse.  If no attempt reads, parse is that of
+    the last.
     """
-    out = rows.withColumn("_prompt", prompt)
+    asked, done = rows.withColumn("_prompt", prompt), None
     for n in range(1, attempts + 1):
-        asked = attempt_prompt(F.col("_prompt"), F.lit(n))
-        todo = F.lit(True) if n == 1 else ~F.col("parse.ok")
-        out = out.withColumn("_text", generate(F.when(todo, asked), n))
-        read = F.when(F.col("_prompt").isNotNull(), parsed_list(without_reasoning(F.col("_text"))))
-        turn = F.when(F.col("_prompt").isNotNull(), F.lit(n))
-        if n > 1:
-            read, turn = F.when(todo, read).otherwise(F.col("parse")), F.when(todo, turn).otherwise(F.col("attempt"))
-        out = out.withColumn("_read", read).withColumn("attempt", turn).withColumn("parse", F.col("_read"))
-    return out.drop("_prompt", "_text", "_read")
+        said = generate(attempt_prompt(F.col("_prompt"), F.lit(n)), n)
+        read = F.when(F.col("_prompt").isNotNull(), parsed_list(without_reasoning(said)))
+        table = settled(asked.withColumns({"parse": read, "attempt": F.when(F.col("_prompt").isNotNull(), F.lit(n))}), f"attempt-{n}")
+        over = F.col("_prompt").isNull() | F.col("parse.ok")
+        asked = table.filter(~over).drop("parse", "attempt")
+        last = n == attempts or asked.isEmpty()
+        mine = table if last else table.filter(over)
+        done = mine if done is None else done.unionByName(mine)
+        if last:
+            break
+    return done.drop("_prompt")
 
 
 def drafts_read(drafts: DataFrame, generate: Generate, text: str = "draft", attempts: int = DRAFT_ATTEMPTS) -> DataFrame:
@@ -56,6 +60,7 @@ def images_read(images: DataFrame, generate: Generate, attempts: int = GROUNDING
 def audits_of(grounded: DataFrame, drafted: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
     """The audit of every image from parsed texts: id, ok, the flags, unsupported_spans, draft_note.
 
+    Both tables are read by several of its parts: they should be settled, as generated() has them.
     ``grounded``: id, parse - a row for each image.  ``drafted``: id, parse (null: no draft).
     An image whose findings cannot be read has ok false and null flags.  A draft that cannot
     be read leaves the audit to the image alone and gives it a note.

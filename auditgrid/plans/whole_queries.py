@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import as_list, to_pixels
+from ..functions.strict import strict_result
 from ..functions.vocab import CANONICAL, POSITIVE
 from ..operators import audit, evaluation, findings, layout, metrics, sampling, whole
 from .audit_queries import _HELD, _REGIONS_SQL, joined, query
@@ -220,6 +221,56 @@ def ground_truth_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.ground_truth(keyed, bad, "h").select("conv_id", "reason")
 
 
+_WRONG = {
+    1: "result.image_findings[].box: not a box of four ordered numbers in [0, 1]",
+    2: "result.image_findings[].status: neither present nor absent",
+    3: "result.image_findings[].confidence: not a number in [0, 1]",
+    4: "result.image_findings[]: unknown members location",
+    9: "result.image_findings: not a list",
+    10: "no JSON object",
+    11: "result: unknown members advice",
+}
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, text: whole results as a model may write them, right and wrong in turn."""
+    k = F.col("image_id") % 12
+    sides = [F.col(f"box.{a}").cast("string") for a in audit.AXES]
+    box = F.when(k == 1, "[0, 0, 2, 1]").when(F.col("box").isNotNull(), F.concat(F.lit('["'), sides[0], F.lit('", '), sides[1], F.lit(", "), sides[2], F.lit(", "), sides[3], F.lit("]"))).otherwise("null")
+    finding = F.when(k == 7, F.upper(F.replace("finding", F.lit("_"), F.lit(" ")))).otherwise(F.col("finding"))
+    status = F.when(k == 2, '"maybe"').otherwise(F.concat(F.lit('"'), "status", F.lit('"')))
+    more = F.when(k == 3, ', "confidence": 7').when(k == 4, ', "location": "left"').otherwise(', "confidence": 1, "evidence": null')
+    one = F.concat(F.lit('{"finding": "'), finding, F.lit('", "status": '), status, F.lit(', "box": '), box, more, F.lit("}"))
+    rows = side(boxes(spark, sf_dir), "image").select("image_id", F.struct("ord", one.alias("x")).alias("s"))
+    lists = images(spark, sf_dir).join(rows.groupBy("image_id").agg(F.array_sort(F.collect_list("s")).alias("xs")), "image_id", "left")
+    found = F.when(k == 9, "null").otherwise(F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("xs", lambda x: x["x"]), ", "), F.lit("")), F.lit("]")))
+    flags = F.when(k == 5, "").when(k == 8, ', "audit": {"missing_findings": ["anything"]}').otherwise(', "draft_findings": [], "audit": {}')
+    whole_text = F.concat(F.lit('Result:\n```json\n{"image_findings": '), found, flags, F.when(k == 11, ', "advice": 1').otherwise(""), F.lit("}\n```"))
+    return lists.select("image_id", F.when(k == 6, "{}").when(k == 10, "Nothing to report.").otherwise(whole_text).alias("text"))
+
+
+_WRONG_SQL = " ".join(f"WHEN {k} THEN {'CASE WHEN n > 0 THEN ' if k < 9 else ''}'{why}'{' END' if k < 9 else ''}" for k, why in _WRONG.items())
+
+
+@query(f"""WITH {BOXES_SQL}, n AS (SELECT image_id, count(*) AS n, count(*) FILTER (WHERE status = 'absent') AS absent, count(y0) AS boxes, round(sum(y0), 6) AS y0, string_agg(finding, ',' ORDER BY ord) AS labels FROM b WHERE side = 'image' GROUP BY image_id),
+r AS (SELECT o_orderkey AS image_id, coalesce(n, 0) AS n, absent, boxes, y0, labels, CASE o_orderkey % 12 {_WRONG_SQL.replace("n > 0", "coalesce(n, 0) > 0")} END AS error FROM orders LEFT JOIN n ON image_id = o_orderkey)
+SELECT image_id, error IS NULL AS ok, error, CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 6 THEN 0 ELSE n END END AS n,
+CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 6 THEN 0 ELSE coalesce(absent, 0) END END AS absent, CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 6 THEN 0 ELSE coalesce(boxes, 0) END END AS boxes,
+CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 6 THEN 0 ELSE coalesce(y0, 0) END END AS y0, CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 6 THEN '' ELSE coalesce(labels, '') END END AS labels,
+CASE WHEN error IS NULL THEN CASE WHEN image_id % 12 = 8 THEN 1 ELSE 0 END END AS missing, CASE WHEN error IS NULL THEN '{audit.BOX_FORMAT}' END AS box_format FROM r""")
+def strict_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole results read strictly: valid, defaulted and wrong in each of several ways."""
+    read = _results(spark, sf_dir).select("image_id", strict_result(F.col("text"), audit.DISCLAIMER, audit.BOX_FORMAT).alias("r"))
+    found = F.col("r.result.image_findings")
+    n = lambda keep: F.size(F.filter(found, keep)).cast("long")
+    values = (n(lambda _: F.lit(True)).alias("n"), n(lambda f: f["status"] == "absent").alias("absent"), n(lambda f: f["box"].isNotNull()).alias("boxes"))
+    tops = F.round(F.aggregate(found, F.lit(0.0), lambda a, f: a + F.coalesce(f["box"][0], F.lit(0.0))), 6).alias("y0")
+    rest = (tops, joined(F.transform(found, lambda f: f["finding"])).alias("labels"), F.size("r.result.audit.missing_findings").cast("long").alias("missing"), F.col("r.result.box_format"))
+    names = ("n", "absent", "boxes", "y0", "labels", "missing", "box_format")
+    read = read.select("image_id", "r.ok", "r.error", *values, *rest)
+    return read.select("image_id", "ok", "error", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in names])
+
+
 @query("""WITH p AS (SELECT p_partkey, CAST(p_size * 60 + p_partkey % 7 AS INTEGER) AS w, CAST(p_partkey * 7 % 2900 + 1 AS INTEGER) AS h FROM part),
 c AS (SELECT *, CASE WHEN greatest(w, h) > 1280 THEN greatest(1, CAST(round_even(w * (CAST(1280 AS DOUBLE) / greatest(w, h)), 0) AS INTEGER)) ELSE w END AS cw,
   CASE WHEN greatest(w, h) > 1280 THEN greatest(1, CAST(round_even(h * (CAST(1280 AS DOUBLE) / greatest(w, h)), 0) AS INTEGER)) ELSE h END AS ch FROM p)

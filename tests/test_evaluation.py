@@ -3,7 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from auditgrid.functions import prompts
+from auditgrid.functions import prompts, strict
 from auditgrid.operators import evaluation
 from auditgrid.sources.readers import FINDING, FLAGS
 from pyspark.sql import functions as F
@@ -44,20 +44,35 @@ def test_alignment_labelers_and_composition(spark):
     assert tuple(evaluation.composition(sets).head())[:3] == (2, 1, 1)
 
 
-def test_strict_results_and_prompts(spark):
-    good = {"image_findings": [{"finding": "cardiomegaly"}], "draft_findings": [], "audit": {"missing_findings": ["cardiomegaly"], "unsupported_claims": [], "urgent_review_flags": []}}
-    texts = ["so: " + json.dumps(good), json.dumps({**good, "x": 1}), json.dumps({**good, "image_findings": [{"finding": "tumour"}]}), json.dumps({"audit": None}), "none"]
-    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", evaluation.strict_output(F.col("t")).alias("r")).orderBy("i").collect()
-    assert [r["r"]["ok"] for r in got] == [True, False, False, False, False]
-    assert json.loads(got[0]["r"]["json"]) == good
+F1 = {"finding": "Pleural Effusion", "box": [0.1, "0.2", 0.3, 0.4]}
+STRICT = [
+    ({}, None), ({"image_findings": [F1]}, None), ({"image_findings": [{**F1, "box": None, "confidence": None, "status": "absent"}]}, None),
+    ({"audit": {"missing_findings": ["any text"]}, "draft_findings": [{"finding": "pneumothorax", "span": "x"}]}, None),
+    ({"image_findings": [F1, {**F1, "box": [0.1, 0.2, 0.3]}]}, "box"), ({"image_findings": [{**F1, "box": [0.1, 0.2, 0.3, 1.5]}]}, "box"), ({"image_findings": [{**F1, "box": [0.5, 0.2, 0.3, 0.4]}]}, "box"),
+    ({"image_findings": [{**F1, "box": "all"}]}, "box"), ({"image_findings": [{**F1, "confidence": 1.5}]}, "confidence"), ({"image_findings": [{**F1, "confidence": "much"}]}, "confidence"),
+    ({"image_findings": [{**F1, "status": "maybe"}]}, "status"), ({"image_findings": [{**F1, "status": None}]}, "status"), ({"image_findings": [{**F1, "evidence": 3}]}, "evidence"), ({"image_findings": [{**F1, "location": "left"}]}, "location"),
+    ({"image_findings": [{"box": None}]}, "finding: missing"), ({"image_findings": [{"finding": "tumour"}]}, "canonical"), ({"image_findings": [{"finding": 4}]}, "string"), ({"image_findings": [None]}, "object"), ({"image_findings": ["x"]}, "object"),
+    ({"image_findings": {}}, "list"), ({"draft_findings": [{"finding": "pneumothorax", "box": None}]}, "box"), ({"audit": None}, "object"), ({"audit": {"more": []}}, "more"), ({"audit": {"missing_findings": [1]}}, "string"), ({"disclaimer": None}, "string"), ({"x": 1}, "x"),
+]
+
+
+def test_strict_results(spark):
+    texts = [f"so: {json.dumps(v)} done" for v, _ in STRICT] + ["none", '{"a": 1,}', None, '{"image_findings": [{"finding": "pneumothorax", "confidence": NaN}]}', '{"audit": {}, "audit": {"x": 1}}']
+    wrong = [w for _, w in STRICT] + ["no JSON", "invalid", "no text", "confidence", "x"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", strict.strict_result(F.col("t"), "D", "B").alias("r")).orderBy("i").collect()
+    for text, why, r in zip(texts, wrong, got, strict=True):
+        assert r["r"]["ok"] == (why is None), (text, r["r"])
+        assert why is None or why in r["r"]["error"], (text, r["r"]["error"])
+        assert (r["r"]["result"] is None) == (why is not None)
+    bare, one = got[0]["r"]["result"], got[1]["r"]["result"]
+    assert (bare["image_findings"], bare["draft_findings"], tuple(bare["audit"]), bare["disclaimer"], bare["box_format"]) == ([], [], ([], [], []), "D", "B")
+    assert tuple(one["image_findings"][0]) == ("pleural_effusion", "present", [0.1, 0.2, 0.3, 0.4], None, None)
+    assert got[3]["r"]["result"]["audit"]["missing_findings"] == ["any text"]
+
+
+def test_prompts(spark):
     drafts = spark.createDataFrame([(" Clear. ", 2)], "d string, n int")
     text = drafts.select(prompts.attempt_prompt(prompts.draft_prompt(F.col("d")), F.col("n"))).head()[0]
     assert "\nClear.\n" in text and "cardiomegaly" in text and text.endswith("alone.")
     with pytest.raises(Exception, match="must not be empty"):
         drafts.select(prompts.draft_prompt(F.lit("  "))).collect()
-
-
-def test_bands_do_not_overlap(spark):
-    rows = spark.createDataFrame([(1, k, (0.1, 0.0, 0.2, 0.2)) for k in range(3)], "image_id int, region int, box struct<y0:double,x0:double,y1:double,x1:double>")
-    tops = [r["top"] for r in evaluation.band_rows(rows, 100, 12).orderBy("region").collect()]
-    assert tops == [10, 22, 34]

@@ -52,13 +52,44 @@ def test_a_model_is_called_again_only_for_what_failed(spark):
         calls.add(int(prompts.notna().sum()))
         return pd.Series([None if p is None else NONE if n >= 2 else "prose" for p, n in zip(prompts, attempts, strict=True)])
 
-    ids = spark.createDataFrame([(1, "text"), (2, "  "), (3, None)], "image_id int, draft string")
+    ids = spark.createDataFrame([(1, "text"), (2, "  "), (3, None)], "image_id int, draft string").repartition(3)
     out = {r["image_id"]: r for r in whole.drafts_read(ids, lambda p, n: model(p, F.lit(n)), attempts=4).collect()}
     assert out[1]["parse"]["ok"] and out[1]["attempt"] == 2
     assert out[2]["parse"] is None and out[3]["parse"] is None and out[2]["attempt"] is None
     assert calls.value == 2
 
 
+def test_a_whole_audit_asks_for_each_image_and_attempt_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("string")
+    def model(prompts, ids, attempts):
+        import pandas as pd
+
+        asked.add(int(prompts.notna().sum()))
+        return pd.Series([None if p is None else f'[{{"label": "pneumothorax", "box_2d": [0, 0, 0.5, 0.{n + 4}]}}]' if i % 3 < n else "prose" for p, i, n in zip(prompts, ids, attempts, strict=True)])
+
+    generate = lambda p, n: model(p, "image_id", F.lit(n))
+    images = spark.range(30).select(F.col("id").alias("image_id"), F.lit("Some text.").alias("draft")).repartition(4)
+    grounded, drafted = whole.images_read(images, generate), whole.drafts_read(images, generate)
+    assert asked.value == 30 + 20 + 10 + 30 + 20  # 10 more can be read each time
+    out = whole.audits_of(grounded, drafted).join(grounded.select("image_id", "attempt"), "image_id")
+    assert out.count() == 30 and out.filter("ok AND draft_note IS NOT NULL").count() == 10 and grounded.filter("NOT parse.ok").count() == 0
+    assert asked.value == 110
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "EvalPython" not in plan and "udf" not in plan
+
+
+def test_reports_of_models_read_their_texts_once(spark):
+    outputs = spark.createDataFrame([("a", 1, '[{"label": "cardiomegaly", "box_2d": [0, 0, 1, 1]}]'), ("b", 1, "prose")], "model_id string, image_id int, raw_text string")
+    gold = spark.createDataFrame([(1, 0, "cardiomegaly", "present", (0.0, 0.0, 1.0, 1.0))], f"image_id int, ord int, finding string, status string, box {BOX}")
+    out = evaluation.evaluate_models(outputs, gold)
+    assert all("EvalPython" not in t._jdf.queryExecution().optimizedPlan().toString() for t in out.values())
+    got = {r["model_id"]: r for r in out["samples"].collect()}
+    assert [f["finding"] for f in got["a"]["predicted"]] == ["cardiomegaly"] and got["b"]["predicted"] == [] and not got["b"]["ok"]
+    assert all([f["finding"] for f in r["expected"]] == ["cardiomegaly"] for r in got.values())
+
+
 def test_curation_merges_resolves_and_keeps_bare_labels(spark):
     b = lambda y, x: (y, y, x, x)
     items = [(1, 0, "nodule_mass", b(0.0, 0.5)), (1, 1, "nodule_mass", b(0.0, 0.52)), (1, 2, "lung_opacity_consolidation", b(0.0, 0.5)), (1, 3, "pleural_effusion", None), (1, 4, "pleural_effusion", None), (2, 0, "cardiomegaly", b(0.1, 0.9)), (2, 1, "cardiomegaly", None)]
