@@ -1,7 +1,7 @@
 """Box pairs, clusters and one-to-one matches within an image and label.
 
 All pairs come from equi-joins on (image, label) or image, so work is linear in images
-whatever the corpus; only the pooled scope joins on the label alone and is guarded.
+whatever the corpus; the pooled scope is in ``pooled``.
 """
 
 from __future__ import annotations
@@ -10,10 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, iou
+from ..functions.scalars import let
 from ..functions.vocab import specificity_rank
 
-POOLED_PAIRS = 50_000_000
-
 
 def same_label_pairs(boxes: DataFrame, threshold: float, id_col: str = "image_id") -> DataFrame:
     """id, finding, i < j (ords), iou of the boxes of one label that overlap so far."""
@@ -27,17 +26,25 @@ def same_label_pairs(boxes: DataFrame, threshold: float, id_col: str = "image_id
 def merged_boxes(boxes: DataFrame, threshold: float = 0.5, id_col: str = "image_id") -> DataFrame:
     """id, finding, cluster (its first ord), n, box (the mean): connected boxes of a label merged.
 
-    Two boxes are linked from the threshold on; a cluster is a connected component.  The
-    components of an image's label come from a fold that spreads least places along links.
+    Two boxes are linked from the threshold on; a cluster is a connected component.  A fold
+    over an image's label spreads least places along links, hands each to all boxes of the
+    place that it reached, and jumps to the place's own: a few rounds, after which it only
+    passes its result on.
     """
     item = F.struct("ord", "box")
     lists = boxes.filter("box IS NOT NULL").groupBy(id_col, "finding").agg(F.array_sort(F.collect_list(item)).alias("items"))
     alone = lists.filter(F.size("items") == 1).withColumn("labels", F.array(F.lit(0)))
     linked = F.transform("items", lambda a, i: F.transform("items", lambda b, j: (i == j) | (iou(a["box"], b["box"]) >= threshold)))
     several = lists.filter(F.size("items") > 1).withColumn("linked", linked)
-    start = F.transform("items", lambda _, i: i)
-    spread = lambda labels, _: F.transform("linked", lambda row: F.array_min(F.zip_with(row, labels, lambda on, at: F.when(on, at))))
-    labels = F.aggregate(F.slice("items", 1, F.size("items") - 1), start, spread)
+    start = F.struct(F.transform("items", lambda _, i: i).alias("at"), F.lit(False).alias("done"))
+    places = F.sequence(F.lit(0), F.size("items") - 1)
+    least = lambda rows, at: F.transform(rows, lambda row: F.array_min(F.zip_with(row, at, lambda on, x: F.when(on, x))))
+    hooked = lambda at, near: F.transform(places, lambda p: F.array_min(F.zip_with(at, near, lambda x, n: F.when(x == p, n))))
+    moved = lambda at, near: let(hooked(at, near), lambda to: F.transform(at, lambda x: F.get(to, x)))
+    jumped = lambda at: F.transform(at, lambda x: F.get(at, x))
+    following = lambda at: let(let(least("linked", at), lambda near: moved(at, near)), jumped)
+    round_ = lambda s: let(following(s["at"]), lambda now: F.struct(now.alias("at"), (now == s["at"]).alias("done")))
+    labels = F.aggregate("items", start, lambda s, _: F.when(s["done"], s).otherwise(round_(s)))["at"]
     several = several.withColumn("labels", labels).drop("linked")
     rows = alone.unionByName(several).select(id_col, "finding", F.explode(F.arrays_zip("items", "labels")).alias("x"), "items")
     keyed = rows.select(id_col, "finding", F.element_at("items", F.col("x.labels") + 1)["ord"].alias("cluster"), F.col("x.items.box").alias("box"))
@@ -85,18 +92,12 @@ def greedy_matches(pairs: DataFrame, keys: list[str], threshold: float) -> DataF
 
 
 def matched(predicted: DataFrame, expected: DataFrame, threshold: float, scope: str = "image", id_col: str = "image_id") -> DataFrame:
-    """Greedy matches by (image, label), or by label over all images (``scope='pooled'``).
-
-    The pooled scope compares every pair of a label and is refused beyond POOLED_PAIRS.
-    """
+    """Greedy matches by (image, label), or by label over all images (``scope='pooled'``)."""
     if scope == "image":
         return greedy_matches(overlap_pairs(predicted, expected, [id_col, "finding"]), [id_col, "finding"], threshold)
-    sizes = [x.filter("box IS NOT NULL").groupBy("finding").count() for x in (predicted, expected)]
-    n = sizes[0].join(sizes[1].withColumnRenamed("count", "other"), "finding").agg(F.sum(F.col("count") * F.col("other"))).first()[0] or 0
-    if n > POOLED_PAIRS:
-        raise ValueError(f"{n} pairs to compare in pooled scope; the limit is {POOLED_PAIRS}")
-    place = lambda rows: rows.withColumn("ord", F.struct(id_col, "ord"))
-    return greedy_matches(overlap_pairs(place(predicted), place(expected), ["finding"]), ["finding"], threshold)
+    from .pooled import pooled_matches
+
+    return pooled_matches(predicted, expected, threshold, id_col)
 
 
 def rates(tp: Column, fp: Column, fn: Column) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CANONICAL, POSITIVE, URGENT, canonical_ord
-from .matching import greedy_matches, overlap_pairs, rates
+from .matching import greedy_matches, matched, overlap_pairs, rates
 
 
 def checked_labels(rows: DataFrame, col: str = "finding") -> DataFrame:
@@ -68,6 +68,14 @@ def _boxed(rows: DataFrame) -> DataFrame:
     return rows.filter((F.col("status") == "present") & F.col("finding").isin(*POSITIVE) & F.col("box").isNotNull())
 
 
+def _matches(p: DataFrame, g: DataFrame, threshold: float, id_col: str, by: list[str], scope: str) -> DataFrame:
+    if scope == "pooled" and by:
+        raise ValueError("the pooled scope takes one model at a time")
+    if scope == "pooled":
+        return matched(p, g, threshold, scope, id_col)
+    return greedy_matches(overlap_pairs(p, g, [id_col, "finding"], by), [*by, id_col, "finding"], threshold)
+
+
 def _at_thresholds(matches: DataFrame, thresholds, keys: list[str]) -> DataFrame:
     """threshold, keys, tp, iou (their sum) of matches found at the least of the thresholds.
 
@@ -79,16 +87,16 @@ def _at_thresholds(matches: DataFrame, thresholds, keys: list[str]) -> DataFrame
     return rows.groupBy("threshold", *keys).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou"))
 
 
-def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col: str = "image_id", by: list[str] | None = None) -> DataFrame:
+def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col: str = "image_id", by: list[str] | None = None, scope: str = "image") -> DataFrame:
     """threshold, finding (null: all), tp, fp, fn, precision, recall, f1, mean_iou (of each ``by``).
 
-    Boxes of present positive findings, matched within an image and label.  Labels without
-    any box have no row of their own.  ``by`` are columns of ``pred`` alone: each of their
+    Boxes of present positive findings, matched within an image and label, or by label over
+    all images (``scope='pooled'``, for one model).  Labels without any box have no row of their own.  ``by`` are columns of ``pred`` alone: each of their
     values is held against all of the gold rows.
     """
     by = by or []
     p, g = _boxed(pred), _boxed(gold)
-    matches = greedy_matches(overlap_pairs(p, g, [id_col, "finding"], by), [*by, id_col, "finding"], min(thresholds))
+    matches = _matches(p, g, min(thresholds), id_col, by, scope)
     found = _at_thresholds(matches, thresholds, [*by, "finding"])
     frame = pred.sparkSession.createDataFrame([(x, float(t)) for x in POSITIVE for t in thresholds], "finding string, threshold double")
     if by:
@@ -110,11 +118,10 @@ def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col
 ANY_OVERLAP = 1e-9
 
 
-def mean_iou(pred: DataFrame, gold: DataFrame, thresholds=(0.3, ANY_OVERLAP), id_col: str = "image_id", by: list[str] | None = None) -> DataFrame:
+def mean_iou(pred: DataFrame, gold: DataFrame, thresholds=(0.3, ANY_OVERLAP), id_col: str = "image_id", by: list[str] | None = None, scope: str = "image") -> DataFrame:
     """threshold, n_pairs, mean_iou of the matched boxes (of each ``by``); null without a pair."""
     by = by or []
-    pairs = overlap_pairs(_boxed(pred), _boxed(gold), [id_col, "finding"], by)
-    found = _at_thresholds(greedy_matches(pairs, [*by, id_col, "finding"], min(thresholds)), thresholds, by)
+    found = _at_thresholds(_matches(_boxed(pred), _boxed(gold), min(thresholds), id_col, by, scope), thresholds, by)
     frame = pred.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
     if by:
         frame = pred.select(*by).distinct().join(F.broadcast(frame))

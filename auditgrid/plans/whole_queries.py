@@ -197,6 +197,20 @@ def mean_iou_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.mean_iou(side(rows, "image"), side(rows, "draft")).withColumn("mean_iou", F.round("mean_iou", 6))
 
 
+@query(None)
+def localization_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The localization report with boxes matched over all images of a label."""
+    rows = boxes(spark, sf_dir)
+    report = metrics.localization(side(rows, "image"), side(rows, "draft"), scope="pooled")
+    return rounded(report, "precision", "recall", "f1").withColumn("mean_iou", F.round("mean_iou", 6))
+
+
+@query(None)
+def mean_iou_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boxes(spark, sf_dir)
+    return metrics.mean_iou(side(rows, "image"), side(rows, "draft"), (0.3, 0.5), scope="pooled").withColumn("mean_iou", F.round("mean_iou", 6))
+
+
 @query(f"""WITH {BOXES_SQL}, {_HELD}, p AS (SELECT o_orderkey, o_orderpriority AS pool, CAST(o_orderpriority[1:1] AS INTEGER) AS pool_ord, o_custkey AS h, labels FROM orders JOIN sets ON image_id = o_orderkey),
 k AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY pool_ord, o_orderkey) AS best, row_number() OVER (PARTITION BY h, pool ORDER BY o_orderkey) AS n, min(pool_ord) OVER (PARTITION BY h) AS first_ord FROM p)
 SELECT pool, count(*) AS raw, count(*) FILTER (WHERE best = 1) AS kept, count(*) FILTER (WHERE n > 1) AS within_pool, count(*) FILTER (WHERE n = 1 AND pool_ord <> first_ord) AS cross_pool,
