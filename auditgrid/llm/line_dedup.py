@@ -42,7 +42,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bloom, dropped, gathered, mixed, small_batches, text_bytes, word_hashes, worker, written
@@ -612,6 +612,17 @@ def line_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return found.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
 
 
+def without_lines(text: Column, removed: Column) -> Column:
+    """The text without the lines of these ascending numbers (from 0), in time linear in its lines.
+
+    The runs of lines between two removed ones are sliced out; the lines are split once,
+    as the lambda's variable holds them.
+    """
+    ends = lambda lines: F.concat(removed, F.array(F.size(lines)))
+    runs = lambda lines: F.zip_with(F.concat(F.array(F.lit(-1)), removed), ends(lines), lambda a, b: F.slice(lines, a + 2, b - a - 1))
+    return F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.flatten(runs(lines)), "\n"))[0]
+
+
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without their duplicate lines, with all columns of ``docs``.
 
@@ -623,7 +634,6 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     size = one.agg(F.sum(F.size("removed") * 4 + 64).alias("n")).first()["n"] or 0
     side = (F.broadcast(one) if size <= REMOVED_BYTES else one).alias("r")
     rows = docs.alias("d").join(side, (F.xxhash64("d.text") == F.col("r.text_hash")) & F.col("d.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")), "left")
-    kept = F.array_join(F.filter(F.split("d.text", "\n", -1), lambda x, i: ~F.array_contains(F.col("r.removed"), i)), "\n")
-    text = F.when(F.col("r.removed").isNull(), F.col("d.text")).otherwise(kept)
+    text = F.when(F.col("r.removed").isNull(), F.col("d.text")).otherwise(without_lines(F.col("d.text"), F.col("r.removed")))
     left = F.col("r.removed").isNull() | (F.size("r.removed") < F.col("r.n_lines"))
     return rows.filter(left).select(*[text.alias(c) if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])

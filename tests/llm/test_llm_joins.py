@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +223,17 @@ def test_deduplicated_rewrites_texts_and_keeps_columns(spark):
     assert 3 not in set(got["doc_id"])
 
 
+def test_lines_are_cut_in_time_linear_in_them(spark):
+    cases = [("a\nb\nc", [1]), ("a\nb\nc", [0, 1, 2]), ("a\nb\nc", [0, 2]), ("a\n\n", [2]), ("", [0]), ("a", []), (None, [0]), ("é\n\nx\n", [1, 3])]
+    long = "\n".join(str(i) for i in range(1_000_000)), [i for i in range(1_000_000) if i % 3]
+    rows = spark.createDataFrame([*cases, long], "text string, removed array<int>")
+    want = [None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in set(r)) for t, r in cases]
+    want.append("\n".join(str(i) for i in range(0, 1_000_000, 3)))
+    began = time.monotonic()
+    got = [r["kept"] for r in rows.select(line_dedup.without_lines(F.col("text"), F.col("removed")).alias("kept")).collect()]
+    assert got == want and time.monotonic() - began < 60  # a search of all numbers for each line takes hours
+
+
 # ------------------------------------------------------------------------------- top k
 
 
