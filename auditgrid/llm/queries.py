@@ -28,7 +28,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = scratch_path(spark, "warc")
     write_bundles(table(spark, sf_dir, "pages"), path)
-    return read_bundles(spark, path).drop("payload")
+    return read_bundles(spark, path, payload=False)
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,8 @@ from .common import small_batches, worker, written
 
 FRAME_BYTES = 1 << 20
 BUNDLE_BYTES = 512 << 20
+BUNDLE_ROWS = 1 << 18  # index rows wait until their bundle is closed
+READ_BYTES, READ_ROWS = 8 << 20, 512  # payloads and records that leave a reader together
 REVISIT_BYTES = 1000
 BROADCAST_DIGESTS = 100_000
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
@@ -160,7 +162,7 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, b
             for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True):
                 bundle = bundle or Bundle(fs, root, f"{uuid.uuid4().hex}.warc.zst", frame_bytes)
                 bundle.add(row[0], record_bytes(*row))
-                if bundle.size >= bundle_bytes:
+                if bundle.size >= bundle_bytes or len(bundle.rows) >= BUNDLE_ROWS:
                     yield bundle.close()
                     bundle = None
         if bundle:
@@ -169,16 +171,23 @@ def write_bundles(pages: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, b
     with_revisits(pages, revisit_bytes).mapInArrow(run, INDEX).write.parquet(f"{path}/index")
 
 
-def read_bundles(spark: SparkSession, path: str, where=None) -> DataFrame:
+def read_bundles(spark: SparkSession, path: str, where=None, payload: bool = True) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, payload of indexed records.
 
     ``where``: a Column over the index, to read some records only.  A response's digest
     and length are taken anew from the payload read; a revisit's come from its header.
+    Without ``payload`` the column is left out.  A worker holds one frame and at most
+    ``READ_BYTES`` of payloads beside it, or one payload that is larger.
     """
     index = spark.read.schema(INDEX).parquet(f"{path}/index")
     index = index.filter(where) if where is not None else index
     folder = f"{path}/bundles"
     small_batches(spark)
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()}
+    kinds |= {"payload": pa.binary()} if payload else {}
+
+    def records(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], names=list(kinds))
 
     @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +196,9 @@ def read_bundles(spark: SparkSession, path: str, where=None) -> DataFrame:
         fs, root = pafs.FileSystem.from_uri(folder)
         decompress = zstandard.ZstdDecompressor().decompress
         name, frame, places, plain = None, None, [], b""
+        out: list[tuple] = []
+        held = 0
         for batch in batches:
-            out: list[tuple] = []
             for _, bundle, number, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bundle != name:
                     places, name, frame = read_seek_table(fs, f"{root}/{bundle}"), bundle, None
@@ -197,12 +207,16 @@ def read_bundles(spark: SparkSession, path: str, where=None) -> DataFrame:
                     with fs.open_input_file(f"{root}/{bundle}") as f:
                         plain, frame = decompress(f.read_at(packed, at), max_output_size=size), number
                 r = parse_record(plain[offset : offset + length])
-                payload = r["payload"]
-                digest = r["fields"]["WARC-Payload-Digest"].removeprefix("sha1:") if payload is None else hashlib.sha1(payload).hexdigest()
-                out.append((r["page_id"], int(r["fields"]["X-Payload-Length"]) if payload is None else len(payload), digest, r["fields"]["WARC-Type"], r["refers_to"], payload))
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
+                body = r["payload"]
+                digest = r["fields"]["WARC-Payload-Digest"].removeprefix("sha1:") if body is None else hashlib.sha1(body).hexdigest()
+                out.append((r["page_id"], int(r["fields"]["X-Payload-Length"]) if body is None else len(body), digest, r["fields"]["WARC-Type"], r["refers_to"], *([body] if payload else [])))
+                held += len(body or b"") if payload else 0
+                if held >= READ_BYTES or len(out) >= READ_ROWS:
+                    yield records(out)
+                    out, held = [], 0
+        if out:
+            yield records(out)
 
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     by_frame = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "offset")
-    return by_frame.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    return by_frame.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if payload else ""))

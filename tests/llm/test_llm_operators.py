@@ -105,6 +105,20 @@ def test_bundles_round_trip(spark, tmp_path, monkeypatch, broadcast):
     assert warc.read_bundles(spark, path, F.col("page_id") == 3).count() == 1
 
 
+def test_reads_leave_by_bytes_and_bundles_close_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "READ_BYTES", 5000)
+    monkeypatch.setattr(warc, "BUNDLE_ROWS", 7)
+    pages = [(i, "u", f"{i}" * 900) for i in range(100, 140)] + [(1, "u", "x" * 3_000_000), (2, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)
+    path = f"file://{tmp_path}/w"
+    warc.write_bundles(df, path)
+    assert spark.read.parquet(f"{path}/index").groupBy("bundle").count().agg(F.max("count")).first()[0] == 7
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read_bundles(spark, path).collect()}
+    assert got == {i: html or "" for i, _, html in pages}
+    bare = warc.read_bundles(spark, path, payload=False)
+    assert "payload" not in bare.columns and {(r["page_id"], r["payload_bytes"]) for r in bare.collect()} == {(i, len(html or "")) for i, _, html in pages}
+
+
 def test_seek_table_finds_frames_and_frames_stand_alone(spark, tmp_path):
     import pyarrow.fs as pafs
     import zstandard
