@@ -144,18 +144,18 @@ def record_error(record: Column) -> Column:
     def parts(turn: Column, role: str, image: bool) -> list[Column]:
         content = turn["content"]
         out = [
-            F.when(content.isNull() | (F.size(content) == 0), f"{role} content must be a non-empty list of parts"),
-            F.when(F.exists(content, lambda p: ~F.coalesce(p["type"], F.lit("")).isin("image", "text")), f"{role} content part has unknown type"),
-            F.when(F.exists(content, lambda p: (p["type"] == "text") & (F.coalesce(p["text"], F.lit("")) == "")), f"{role} text part must carry a non-empty 'text' string"),
-            F.when(~F.exists(content, lambda p: p["type"] == "text"), f"{role} content must include a text part"),
+            F.when(content.isNull() | (F.size(content) == 0), f"{role} turn without parts"),
+            F.when(F.exists(content, lambda p: ~F.coalesce(p["type"], F.lit("")).isin("image", "text")), f"{role} turn: a part is neither image nor text"),
+            F.when(F.exists(content, lambda p: (p["type"] == "text") & (F.coalesce(p["text"], F.lit("")) == "")), f"{role} turn: a text part says nothing"),
+            F.when(~F.exists(content, lambda p: p["type"] == "text"), f"{role} turn lacks a text part"),
         ]
-        return [*out[:3], F.when(~F.exists(content, lambda p: p["type"] == "image"), f"{role} content must include an image part"), out[3]] if image else out
+        return [*out[:3], F.when(~F.exists(content, lambda p: p["type"] == "image"), f"{role} turn lacks an image part"), out[3]] if image else out
 
     return F.coalesce(
         F.when(F.coalesce(record["image_path"], F.lit("")) == "", "no image_path"),
-        F.when(messages.isNull() | (F.size(messages) != 2), "messages must be exactly two turns"),
-        F.when(F.coalesce(user["role"], F.lit("")) != "user", "first message must have role 'user'"),
-        F.when(F.coalesce(other["role"], F.lit("")) != "assistant", "second message must have role 'assistant'"),
+        F.when(messages.isNull() | (F.size(messages) != 2), "not a pair of turns"),
+        F.when(F.coalesce(user["role"], F.lit("")) != "user", "turn 1 is not by the user"),
+        F.when(F.coalesce(other["role"], F.lit("")) != "assistant", "turn 2 is not by the assistant"),
         *parts(user, "user", True),
         *parts(other, "assistant", False),
     )
@@ -170,8 +170,8 @@ def validated(records: DataFrame, record: str = "record") -> DataFrame:
     wrong = F.exists(F.col("_parse.elements"), lambda e: normalized_finding(label(e)).isNull())
     error = F.coalesce(
         F.col("_shape"),
-        F.when(~F.col("_parse.ok"), F.concat(F.lit("assistant target: "), F.col("_parse.error"))),
-        F.when(F.size("_parse.elements") == 0, "assistant target must contain at least one finding object"),
-        F.when(wrong, "assistant finding element must carry a canonical label"),
+        F.when(~F.col("_parse.ok"), F.concat(F.lit("target: "), F.col("_parse.error"))),
+        F.when(F.size("_parse.elements") == 0, "target: no finding"),
+        F.when(wrong, "target: a label outside the vocabulary"),
     )
     return rows.withColumn("error", error).drop("_shape", "_parse")

@@ -213,7 +213,7 @@ def assistant_target(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT conv_id, count(*) AS n, arg_min(role, turn) AS r1, arg_max(role, turn) AS r2 FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN n <> 2 THEN 'messages must be exactly two turns' WHEN r1 <> 'user' THEN 'first message must have role ''user''' WHEN r2 <> 'assistant' THEN 'second message must have role ''assistant''' ELSE 'user content must include an image part' END AS error FROM s""")
+SELECT conv_id, CASE WHEN n <> 2 THEN 'not a pair of turns' WHEN r1 <> 'user' THEN 'turn 1 is not by the user' WHEN r2 <> 'assistant' THEN 'turn 2 is not by the assistant' ELSE 'user turn lacks an image part' END AS error FROM s""")
 def sft_contract_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(F.concat(F.lit("images/"), F.col("conv_id").cast("string"), F.lit(".png")).alias("image_path"), "messages")
     return corpus.validated(_chats(spark, sf_dir).select("conv_id", record.alias("record"))).select("conv_id", "error")

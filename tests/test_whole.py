@@ -145,35 +145,38 @@ def test_union_of_pools_is_one_row_a_content(spark):
     assert rows(report, ["pool", "raw", "kept", "within_pool", "cross_pool", "urgent_nodule_mass", "urgent_pneumothorax"]) == [("p1", 3, 2, 1, 0, 1, 0), ("p2", 1, 0, 0, 1, 0, 0)]
 
 
-def _placed(items, height):
-    """Label bands by a plain loop."""
-    done = []
-    for band, box in items:
-        tall, lowest = band[3] - band[1], max(0.0, height - (band[3] - band[1]))
-        under = min(box[3], lowest)
-        tops = [band[1], under]
-        tops += [min(under + k * tall, lowest) for k in range(1, layout.NUDGES + 1)]
-        tops += [max(0.0, band[1] - k * tall) for k in range(1, layout.NUDGES + 1)]
-        tries = [(band[0], t, band[2], t + tall) for t in tops]
-        free = [c for c in tries if not any(c[0] < p[2] and p[0] < c[2] and c[1] < p[3] and p[1] < c[3] for p in done)]
-        done.append(free[0] if free else tries[-1])
-    return done
-
-
-def test_bands_are_placed_as_by_a_plain_loop(spark):
+# What each label of an image asks for as (left, top, bottom of its box) with bands of 40 by 20,
+# the canvas's height, and the tops that the labels get.
+PLACED = {
+    "alone": (200, [(0, 50, 100)], [50]),
+    "under the box, then further down": (200, [(0, 50, 100)] * 4, [50, 100, 120, 140]),
+    "further up, as the canvas ends": (100, [(0, 60, 95)] * 4, [60, 80, 40, 20]),
+    "side by side": (200, [(0, 50, 100), (40, 50, 100)], [50, 50]),
+    "touching is free": (200, [(0, 50, 100), (0, 70, 100)], [50, 70]),
+    "no room: the last place tried": (20, [(0, 0, 20)] * 3, [0, 0, 0]),
+}
+
+
+def test_bands_are_placed(spark):
+    items = [(name, n, (float(x), float(y), x + 40.0, y + 20.0), (float(x), float(y), x + 30.0, float(low)), height) for name, (height, asked, _) in PLACED.items() for n, (x, y, low) in enumerate(asked)]
+    table = spark.createDataFrame(items, f"image_id string, region int, band {PIXELS}, box {PIXELS}, height int")
+    got = layout.placed_bands(table.repartition(7)).collect()
+    tops = {name: [r["band"]["y_min"] for r in sorted(got, key=lambda r: r["region"]) if r["image_id"] == name] for name in PLACED}
+    assert tops == {name: want for name, (_, _, want) in PLACED.items()}
+
+
+def test_bands_move_only_from_taken_places_and_stay_on_the_canvas(spark):
     rng = random.Random(5)
-    items, want = [], {}
-    for image, n in enumerate((1, 2, 9, 40)):
-        mine = []
-        for region in range(n):
-            x, y = float(rng.randrange(60)), float(rng.randrange(180))
-            band, box = (x, y, x + 40.0, y + 20.0), (x, y, x + 30.0, min(200.0, y + 35.0))
-            mine.append((band, box))
-            items.append((image, region, band, box, 200))
-        want[image] = _placed(mine, 200.0)
-    table = spark.createDataFrame(items, f"image_id int, region int, band {PIXELS}, box {PIXELS}, height int")
-    got = layout.placed_bands(table.repartition(7)).orderBy("image_id", "region").collect()
-    assert [tuple(r["band"]) for r in got] == [b for image in sorted(want) for b in want[image]]
+    asked = []
+    for n in range(40):
+        x, y = float(rng.randrange(60)), float(rng.randrange(180))
+        asked.append((1, n, (x, y, x + 40.0, y + 20.0), (x, y, x + 30.0, min(200.0, y + 35.0)), 200))
+    got = [tuple(r["band"]) for r in layout.placed_bands(spark.createDataFrame(asked, f"image_id int, region int, band {PIXELS}, box {PIXELS}, height int")).orderBy("region").collect()]
+    overlap = lambda a, b: a[0] < b[2] and b[0] < a[2] and a[1] < b[3] and b[1] < a[3]
+    for n, (_, _, want, _, _) in enumerate(asked):
+        assert (got[n][0], got[n][2], got[n][3] - got[n][1]) == (want[0], want[2], 20.0)
+        assert got[n][1] >= 0 and got[n][3] <= 200
+        assert got[n] == want or any(overlap(want, p) for p in got[:n])
 
 
 @pytest.mark.parametrize(("size", "canvas", "font"), [((100, 50), (100, 50), 14), ((1280, 1), (1280, 1), 27), ((2560, 1), (1280, 1), 27), ((3000, 2000), (1280, 853), 27), ((1000, 960), (1000, 960), 21)])
