@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import from_corner_and_size, from_pixels
 from ..functions.vocab import LABEL_MAPS, NO_FINDING, mapped_label
+from .pixels import png_size
 
 VINDR_COLUMNS = ("image_id", "class_name", "class_id", "rad_id", "x_min", "y_min", "x_max", "y_max")
 VINDR = "image_id string, class_name string, class_id int, rad_id string, x_min double, y_min double, x_max double, y_max double"
 FINDING = "struct<finding:string,status:string,box:array<double>,confidence:double,evidence:string>"
 FLAGS = "struct<missing_findings:array<string>,unsupported_claims:array<string>,urgent_review_flags:array<string>>"
-PART = "struct<type:string,text:string>"
-RECORD = f"image_path string, messages array<struct<role:string,content:array<{PART}>>>"
 NIH_SIZE = 1024
 NIH_NAMED = ("image_id", "finding", "x", "y", "w", "h")
 NIH_PLACED = ("Image Index", "Finding Label", "Bbox [x", "y", "w", "h]")
@@ -160,9 +159,28 @@ def open_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, folder: str, pattern: str = "*.png") -> DataFrame:
-    """image_id (the file's name without its ending), path, bytes of a folder's images."""
+    """image_id (the file's name without its ending), path, bytes, width, height of a folder's images.
+
+    The sizes come from the header of a PNG; they are null for other formats.
+    """
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
-    return rows.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("image_id"), "path", F.col("content").alias("bytes"))
+    name = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("image_id")
+    size = png_size(F.col("content"))
+    return rows.select(name, "path", F.col("content").alias("bytes"), size["width"].alias("width"), size["height"].alias("height"))
+
+
+def images_of(ids: DataFrame, listing: DataFrame) -> DataFrame:
+    """The images of the given image_id, each once; an id without its image is an error."""
+    joined = ids.select("image_id").distinct().join(listing, "image_id", "left")
+    gone = F.raise_error(F.concat(F.lit("image not found: "), F.col("image_id"))).cast("string")
+    return joined.withColumn("path", F.when(F.col("path").isNull(), gone).otherwise(F.col("path")))
+
+
+def boxes_by_image(rows: DataFrame) -> DataFrame:
+    """image_id and ``boxes``: its found rows (ord, finding, box, native_label) in their order; none for a bare image."""
+    named = F.struct(*[c for c in ("ord", "finding", "box", "native_label") if c in rows.columns])
+    found = F.array_sort(F.collect_list(F.when(F.col("finding").isNotNull(), named)))
+    return rows.groupBy("image_id").agg(found.alias("boxes"))
 
 
 def windowed(pixel: Column, centre: Column, width: Column, inverted: Column) -> Column:
@@ -172,17 +190,6 @@ def windowed(pixel: Column, centre: Column, width: Column, inverted: Column) ->
     return F.when(width > 0, F.when(inverted, 255 - grey).otherwise(grey))
 
 
-def training_records(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, raw, record, malformed of JSON-lines files; blank lines are left out.
-
-    The line number counts within its file: files are read whole, a file in one task.
-    """
-    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    lines = texts.select("file", F.posexplode(F.split("value", "\r?\n", -1)).alias("at", "raw")).filter(F.trim("raw") != "")
-    parsed = lines.select("file", (F.col("at") + 1).alias("line"), "raw", F.from_json("raw", RECORD).alias("record"), F.try_parse_json("raw").isNull().alias("malformed"))
-    return parsed
-
-
 def eval_cases(spark: SparkSession, path: str, mode: str) -> DataFrame:
     """The cases of one evaluation document: 'image' (findings) or 'audit' (flags)."""
     key, value = {"image": ("image_id", f"array<{FINDING}>"), "audit": ("case_id", FLAGS)}[mode]
@@ -201,6 +208,11 @@ def first_existing(spark: SparkSession, folder: str, names: list[str]) -> str |
     return None
 
 
+def default_path(spark: SparkSession, folder: str, names: list[str]) -> str:
+    """The first of the named files that is there, else the last name, for the read to fail on."""
+    return first_existing(spark, folder, names) or f"{folder}/{names[-1]}"
+
+
 #: key, title and layout of the annotation sets that can be read here.
 CATALOG = (("vindr", "VinDr-CXR boxes", "csv"), ("vqa", "visual questions", "json"), ("chestxdet", "ChestX-Det rasters", "json"), ("nih", "NIH ChestX-ray14 boxes", "csv"), ("open_i", "Open-i reports", "json"))
 

@@ -5,7 +5,7 @@ import json
 import pytest
 from auditgrid.functions.geometry import BOX
 from auditgrid.operators import corpus
-from auditgrid.sources import readers, writers
+from auditgrid.sources import lines, readers, writers
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -109,10 +109,10 @@ def test_records_images_and_reports(spark, tmp_path):
         writers.write_records(bad, out)
     assert not (tmp_path / "out").exists()
     assert writers.write_records(good, out) == 1
-    read = readers.training_records(spark, out).collect()
+    read = lines.training_records(spark, out).collect()
     assert [(r["line"], r["malformed"], r["record"]["image_path"]) for r in read] == [(1, False, path)]
     put(tmp_path / "broken.jsonl", '\n{"image_path": \n')
-    assert [(r["line"], r["malformed"]) for r in readers.training_records(spark, str(tmp_path / "broken.jsonl")).collect()] == [(2, True)]
+    assert [(r["line"], r["malformed"]) for r in lines.training_records(spark, str(tmp_path / "broken.jsonl")).collect()] == [(2, True)]
     assert writers.with_image_bytes(good, listing).head()["images"][0] == b"bytes"
     with pytest.raises(Exception, match="image not found"):
         writers.with_image_bytes(bad, listing).collect()
