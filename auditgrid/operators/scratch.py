@@ -29,14 +29,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def reserved(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def settled(rows: DataFrame, tag: str = "settled") -> DataFrame:
     """The rows as a table in the shared folder, from which all that follows reads.
 
     What made them runs once (again only for a task that is lost before its rows are
     committed); the tables go when the driver ends.
     """
-    path = f"{shared_dir(rows.sparkSession)}/{tag}-{uuid.uuid4().hex}"
-    _WRITTEN.append((rows.sparkSession, path))
+    path = reserved(rows.sparkSession, tag)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
