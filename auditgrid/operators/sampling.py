@@ -116,3 +116,11 @@ def pool_report(pools: DataFrame, key: str, order: list[str]) -> DataFrame:
 def without_leaks(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
     """Rows whose content key is not among the excluded."""
     return rows.join(excluded.select(key).distinct(), key, "left_anti")
+
+
+def pool_pairs(**flags: list[str]) -> list[dict[str, str]]:
+    """The pools that repeatable settings name together: the i-th values of all; unequal numbers are an error."""
+    numbers = {name: len(values) for name, values in flags.items()}
+    if len(set(numbers.values())) > 1:
+        raise ValueError(f"settings of pools differ in number: {numbers}")
+    return [dict(zip(flags, values, strict=True)) for values in zip(*flags.values(), strict=True)]

@@ -125,3 +125,14 @@ def report_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.read.text(f"{path}/history/*").select(F.from_json("value", f"presence struct<per_finding:map<string,{told}>>").alias("d"))
     rows = read.select(F.explode("d.presence.per_finding").alias("finding", "m"))
     return rows.select("finding", "m.tp", "m.fp", "m.fn", *[F.round(f"m.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("""WITH r AS (SELECT DISTINCT o_orderkey AS path FROM orders), f AS (SELECT path, octet_length(encode(text)) AS n FROM r LEFT JOIN documents ON doc_id = path),
+p AS (SELECT (SELECT count(*) FROM orders) AS records, count(*) AS images, count(*) FILTER (WHERE n IS NULL) AS missing, CAST(coalesce(sum(n), 0) AS BIGINT) AS bytes FROM f)
+SELECT records, records AS targets, images, missing, bytes, missing > 0 AS warned FROM p""")
+def embedding_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a published set of the training records would hold, if its images were the documents' texts."""
+    records = training_targets(spark, sf_dir).select(corpus.chat_record(F.col("image_id").cast("string"), F.lit("Report."), F.col("target")).alias("record"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("bytes"))
+    plan = writers.plan_summary(writers.corpus_plan(records, files), "records", "documents", "corpus")
+    return plan.select("records", "targets", "images", "missing", "bytes", F.contains("summary", F.lit("warning: ")).alias("warned"))

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalars import formatted_size
 from ..operators.corpus import assistant_text, has_image, validated
 
 
@@ -141,3 +142,19 @@ def corpus_plan(records: DataFrame, images: DataFrame, record: str = "record") -
     found = paths.distinct().join(images.select("path", F.octet_length("bytes").cast("long").alias("n")), "path", "left")
     sums = found.agg(F.count(F.lit(1)).alias("images"), F.count_if(F.col("n").isNull()).alias("missing"), F.coalesce(F.sum("n"), F.lit(0)).alias("bytes"))
     return records.agg(F.count(F.lit(1)).alias("records"), F.count(assistant_text(F.col(f"{record}.messages"))).alias("targets")).join(F.broadcast(sums))
+
+
+def plan_summary(plan: DataFrame, source: str, root: str, target: str, split: str = "train", private: bool = True) -> DataFrame:
+    """Add ``summary`` to a corpus_plan: what would be published, line by line, with a warning if images are missing."""
+    told = [
+        ("records from", F.lit(source)),
+        ("images under", F.lit(root)),
+        ("published as", F.lit(f"{target}, split {split}, {'private' if private else 'public'}")),
+        ("records", F.col("records").cast("string")),
+        ("different images", F.col("images").cast("string")),
+        ("images missing", F.col("missing").cast("string")),
+        ("image bytes", formatted_size(F.col("bytes"))),
+    ]
+    rows = [F.concat(F.lit(f"{name}: "), value) for name, value in told]
+    warning = F.when(F.col("missing") > 0, F.concat(F.lit("warning: publishing would fail on "), F.col("missing").cast("string"), F.lit(" missing images")))
+    return plan.withColumn("summary", F.concat_ws("\n", *rows, warning))

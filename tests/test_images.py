@@ -7,7 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
-from auditgrid.operators import corpus
+from auditgrid.operators import corpus, sampling
 from auditgrid.sources import datasets, lines, pixels, readers, writers
 from pyspark.sql import functions as F
 
@@ -213,3 +213,14 @@ def test_boxes_by_image(spark):
     got = {r["image_id"]: [b["finding"] for b in r["boxes"]] for r in readers.boxes_by_image(rows).collect()}
     assert got == {"a": ["y", "x"], "b": []}
     assert readers.default_path(spark, "/tmp", ["none-1", "none-2"]) == "/tmp/none-2"
+
+
+def test_plan_summary_and_pool_pairs(spark):
+    listing = spark.createDataFrame([("a.png", b"x" * 2048)], "path string, bytes binary")
+    summed = lambda *p: writers.plan_summary(writers.corpus_plan(records(spark, *p), listing), "r.jsonl", "img", "set").head()["summary"]
+    assert summed("a.png").split("\n")[2:] == ["published as: set, split train, private", "records: 1", "different images: 1", "images missing: 0", "image bytes: 2.0 KB"]
+    assert summed("a.png", "b.png").endswith("warning: publishing would fail on 1 missing images")
+    assert sampling.pool_pairs(name=["a", "b"], path=["x", "y"]) == [{"name": "a", "path": "x"}, {"name": "b", "path": "y"}]
+    assert sampling.pool_pairs(name=[], path=[]) == []
+    with pytest.raises(ValueError, match="differ"):
+        sampling.pool_pairs(name=["a"], path=[])
