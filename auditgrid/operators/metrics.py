@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import CANONICAL, POSITIVE, URGENT, canonical_ord
-from .matching import greedy_matches, matched, overlap_pairs, rates
+from .matching import greedy_matches, overlap_pairs, rates
+from .pooled import pooled_overlaps
 
 
 def checked_labels(rows: DataFrame, col: str = "finding") -> DataFrame:
@@ -72,19 +73,19 @@ def _matches(p: DataFrame, g: DataFrame, threshold: float, id_col: str, by: list
     if scope == "pooled" and by:
         raise ValueError("the pooled scope takes one model at a time")
     if scope == "pooled":
-        return matched(p, g, threshold, scope, id_col)
-    return greedy_matches(overlap_pairs(p, g, [id_col, "finding"], by), [*by, id_col, "finding"], threshold)
+        return pooled_overlaps(p, g, threshold, id_col)
+    return greedy_matches(overlap_pairs(p, g, [id_col, "finding"], by), [*by, id_col, "finding"], threshold).withColumn("n", F.lit(1))
 
 
 def _at_thresholds(matches: DataFrame, thresholds, keys: list[str]) -> DataFrame:
-    """threshold, keys, tp, iou (their sum) of matches found at the least of the thresholds.
+    """threshold, keys, tp, iou (their sum) of matches (n of each row) found at the least of the thresholds.
 
     Matches are taken from the largest overlap down, so those of a higher threshold are
     the ones that reach it: one join and one fold serve all thresholds.
     """
     reached = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: F.col("iou") >= t)
     rows = matches.withColumn("threshold", F.explode(reached))
-    return rows.groupBy("threshold", *keys).agg(F.count(F.lit(1)).alias("tp"), F.sum("iou").alias("iou"))
+    return rows.groupBy("threshold", *keys).agg(F.sum("n").alias("tp"), F.sum(F.col("iou") * F.col("n")).alias("iou"))
 
 
 def localization(pred: DataFrame, gold: DataFrame, thresholds=(0.3, 0.5), id_col: str = "image_id", by: list[str] | None = None, scope: str = "image") -> DataFrame:

@@ -67,3 +67,19 @@ def test_places_of_a_hot_key_span_ranges(spark):
     rows = spark.range(1000).selectExpr("CASE WHEN id % 4 = 0 THEN id % 8 ELSE 1 END AS k", "(id * 37) % 1000 AS v").repartition(5)
     got = pooled.numbered(rows, ["k"], ["v"], "n").toPandas().sort_values(["k", "v"])
     assert (got["n"] == got.groupby("k").cumcount() + 1).all() and len(got) == 1000
+
+
+@pytest.mark.parametrize("fold", [pooled.FOLD_PAIRS, 3])
+def test_copies_are_matched_as_queues_from_known_heads(spark, fold):
+    # three sizes on a grid of four places: large classes of equal boxes whose pairs tie
+    p, g = boxes(5, 60, 2), boxes(6, 75, 2)
+    a, b = (spark.createDataFrame(x, KIND).repartition(5) for x in (p, g))
+    for most in (6, 20):
+        got = sorted((r["finding"], tuple(r["i"]), tuple(r["j"]), round(r["iou"], 12)) for r in pooled.pooled_matches(a, b, 0.1, fold_pairs=fold, fold_rows=most).collect())
+        assert got == greedy(p, g, 0.1)
+
+
+def test_pairs_are_of_classes_and_not_of_their_copies(spark):
+    rows = spark.range(40_000).selectExpr("id AS image_id", "1 AS ord", "'cardiomegaly' AS finding", "'present' AS status", "named_struct('y0', 0.1D * (id % 4), 'x0', 0D, 'y1', 0.1D * (id % 4) + 0.5D, 'x1', 0.5D) AS box")
+    out = pooled.pooled_overlaps(rows.filter("image_id % 8 < 3"), rows.filter("image_id % 8 >= 3"), 0.3)
+    assert out.count() < 20 and out.agg({"n": "sum"}).head()[0] == 15_000
