@@ -12,8 +12,8 @@ symbol.  The whole text is used, in pieces of bounded size, as counts add up; su
 whole numbers, so they depend neither on the pieces nor on the batches.
 
 Training: rows whose language is not null and for which ``train`` holds, with a text that
-has a letter.  At most about ``train_rows`` of them are used: where there are more, rows
-are chosen by a hash of the text.  Tasks send one partial sum for each language; Spark
+has a letter.  ``learnt`` uses all of them, ``identify`` about ``train_rows`` at most: where
+there are more, rows are chosen by a hash of the text.  Tasks send one partial sum for each language; Spark
 adds them up, so nothing larger than (languages x dimensions) reaches the driver.
 
 Null texts and texts without a letter are ``und`` with score 0.  Without training rows
@@ -36,7 +36,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mixed, small_batches, worker, written
@@ -50,6 +50,7 @@ _PIECE = 1 << 17  # characters of a text that are counted at once
 _GRAMS = 1024  # n-grams whose vectors are held at once
 _COUNTS = 1 << 20  # counts (texts x n-grams) that are held at once
 _DIRECT = 1 << 19  # n-gram codes that are found by a table; more are sorted
+_BINS = 4096  # of a cosine's unit, in which training rows are counted
 _TAIL = 0.001  # share of a language's training rows that its bounds may leave out
 
 
@@ -174,12 +175,11 @@ def text_vectors(texts: list[str | None], dim: int) -> tuple[np.ndarray, np.ndar
     return np.divide(out, size[:, None], out=out, where=size[:, None] > 0).astype(np.float32), spread
 
 
-def _training(docs: DataFrame, train: Column, train_rows: int) -> DataFrame:
-    """text and lang of the training rows of ``docs``."""
+def _training(docs: DataFrame, train: Column, train_rows: int | None) -> DataFrame:
+    """text and lang of the training rows of ``docs``; without ``train_rows`` of all of them."""
     small_batches(docs.sparkSession)
     rows = docs.filter(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
-    if n > train_rows:
+    if train_rows is not None and (n := rows.count()) > train_rows:
         rows = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int((1 << 20) * train_rows / n))
     return rows.select("text", F.col("lang").cast("string").alias("lang"))
 
@@ -250,8 +250,19 @@ class Bounds(NamedTuple):
         return (hoped - cosine <= self.short[best]) & ((cosine >= self.least[best]) | (hoped < 3 * self.least[best]))
 
 
-def learnt(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray, Bounds]:
-    """``prototypes`` and the bounds that the same training rows set.
+def _bin_at(fits: DataFrame, value: Column, share: float) -> DataFrame:
+    """at, bin: the bin of 1 / ``_BINS`` in which a language's values reach a share of their number.
+
+    Values are counted by bin first, so no language's values come together.
+    """
+    counts = fits.groupBy("at", F.floor(value * _BINS).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("bin"))
+    total = F.sum("n").over(Window.partitionBy("at"))
+    return counts.select("at", "bin", (upto >= share * total).alias("reached")).filter("reached").groupBy("at").agg(F.min("bin").alias("bin"))
+
+
+def learnt(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int | None = None) -> tuple[list[str], np.ndarray, Bounds]:
+    """``prototypes`` and the bounds that the same training rows set; without ``train_rows`` all of them.
 
     Each row that gets its own language is held against the prototype of its language's other
     rows.  All but ``_TAIL`` of these keep to some shortfall and some cosine: the bounds are
@@ -286,9 +297,11 @@ def learnt(docs: DataFrame, train: Column, dim: int = DIM, train_rows: int = TRA
     fits = fits.join(F.broadcast(docs.sparkSession.createDataFrame(means, "at long, mean double")), "at")
     short = F.col("mean") * F.col("spread") - F.col("cosine")
     slack = 3 / dim**0.5
-    for r in fits.groupBy("at").agg(F.percentile(short, 1 - _TAIL).alias("short"), F.percentile("cosine", _TAIL).alias("least")).collect():
-        bounds.short[r["at"]] = 1.5 * max(r["short"], 0.0) + slack
-        bounds.least[r["at"]] = r["least"] / 2
+    # the far edges of the bins, so that the rows of a bin all keep to its bound
+    for r in _bin_at(fits, short, 1 - _TAIL).collect():
+        bounds.short[r["at"]] = 1.5 * max((r["bin"] + 1) / _BINS, 0.0) + slack
+    for r in _bin_at(fits, F.col("cosine"), _TAIL).collect():
+        bounds.least[r["at"]] = r["bin"] / _BINS / 2
     return names, _unit(sums), bounds
 
 

@@ -4,7 +4,9 @@ import random
 
 import corpus_pipeline as p
 import pytest
+from auditgrid.llm import langid
 from auditgrid.llm.common import written
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,3 +72,11 @@ def test_run_gives_each_kept_token_once(spark):
     for _, g in got.sort_values("start").groupby("doc_id"):
         assert g["start"].tolist() == (g["length"].cumsum() - g["length"]).tolist() and g["length"].sum() == g["doc_tokens"].iloc[0]
     assert 100 < got["doc_id"].nunique() <= 200
+
+
+def test_languages_and_bounds_are_learnt_from_all_rows(spark):
+    # more rows than a sample of 60 000 would hold: a language of two rows is learnt and gets bounds
+    many = spark.range(62_000).selectExpr("id AS doc_id", "concat('the word ', char(97 + id % 26), char(97 + id div 26 % 26), char(97 + id div 676 % 26)) AS text", "'en' AS lang")
+    few = spark.range(40).selectExpr("100000 + id AS doc_id", "concat('qxz', char(97 + id div 2), 'vkj', char(97 + id % 2)) AS text", "concat('rare', id div 2) AS lang")
+    names, _, bounds = langid.learnt(many.unionByName(few), F.lit(True))
+    assert len(names) == 21 and (bounds.short < float("inf")).sum() == (bounds.least > -float("inf")).sum() >= 1
