@@ -47,7 +47,7 @@ def f1(precision: Column, recall: Column) -> Column:
 
 def without_reasoning(c: Column) -> Column:
     """Without complete <think> sections."""
-    return stripped(F.regexp_replace(c, r"(?is)<think>.*?</think>", ""))
+    return stripped(F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, r"(?is)<think>.*?</think>", "")).otherwise(c))
 
 
 def without_fence(c: Column) -> Column:

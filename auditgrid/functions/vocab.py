@@ -96,8 +96,12 @@ def labels(values=CANONICAL) -> Column:
 
 
 def stripped(c: Column) -> Column:
-    """Without white space of any kind at either end (`trim` drops spaces alone)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at either end (`trim` drops spaces alone).
+
+    A text with visible ASCII at both ends needs no pattern.
+    """
+    bare = F.left(c, F.lit(1)).between("!", "~") & F.right(c, F.lit(1)).between("!", "~")
+    return F.when(bare, c).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def is_canonical(c: Column) -> Column:
@@ -129,10 +133,13 @@ def display_name(c: Column) -> Column:
 
 
 def normalized_finding(c: Column, strict: bool = False) -> Column:
-    """A canonical label from loosely written text; null (or an error, if strict) else."""
+    """A canonical label from loosely written text; null (or an error, if strict) else.
+
+    A label that is canonical as it stands, or but for its case, needs no pattern.
+    """
     folded = F.regexp_replace(F.lower(stripped(c)), r"(?U)[\s\-]+", "_")
     error = F.raise_error(F.concat(F.lit("not a canonical finding: "), F.coalesce(c, F.lit("null")))).cast("string")
-    return F.when(is_canonical(folded), folded).otherwise(error if strict else F.lit(None))
+    return F.when(is_canonical(c), c).when(is_canonical(F.lower(c)), F.lower(c)).when(is_canonical(folded), folded).otherwise(error if strict else F.lit(None))
 
 
 def mapped_label(rows: DataFrame, native: str, dataset: str, out: str = "finding") -> DataFrame:
@@ -143,6 +150,19 @@ def mapped_label(rows: DataFrame, native: str, dataset: str, out: str = "finding
     return rows.join(F.broadcast(side), F.lower(stripped(F.col(native))) == F.col("_native"), "left").drop("_native")
 
 
+def label_bit(c: Column) -> Column:
+    """1, 2, 4, .. for the positive labels in canonical order, 0 for anything else: sets of labels as sums of bits."""
+    bit = F.when(c == POSITIVE[0], 1)
+    for i, x in enumerate(POSITIVE[1:], 1):
+        bit = bit.when(c == x, 1 << i)
+    return bit.otherwise(0)
+
+
+def labels_of(bits: Column) -> Column:
+    """The positive labels of a set of bits, in canonical order."""
+    return F.array_compact(F.array(*[F.when(bits.bitwiseAND(1 << i) != 0, x) for i, x in enumerate(POSITIVE)]))
+
+
 def canonical_sorted(c: Column, among=CANONICAL) -> Column:
     """The distinct canonical labels of an array, in canonical order."""
     return F.filter(labels(among), lambda x: F.array_contains(c, x))

@@ -1,7 +1,8 @@
 """The audit: what an image shows against what a draft says, per image.
 
 Every query is one aggregation by image (and label): the two sides are a union with a
-side column, so the plan has one shuffle and no join.  A label counts once for each side.
+side column, so the plan has one shuffle and no join.  A label counts once for each side:
+a side's labels are a sum of bits, and ids that must have a row come as rows of no side.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import AXES, iou
 from ..functions.scalars import combined_label
-from ..functions.vocab import DISPLAY_NAMES, NO_FINDING, POSITIVE, URGENT, canonical_ord, canonical_sorted, display_name
+from ..functions.vocab import DISPLAY_NAMES, NO_FINDING, POSITIVE, URGENT, canonical_ord, display_name, label_bit, labels_of
 
 SIDES = ("image", "draft")
 FLAGS = ("missing_findings", "unsupported_claims", "urgent_review_flags")
@@ -24,6 +25,17 @@ def sides(image: DataFrame, draft: DataFrame, id_col: str = "image_id") -> DataF
     return a.unionByName(b)
 
 
+def with_ids(rows: DataFrame, ids: DataFrame | None, id_col: str) -> DataFrame:
+    """The rows and one of nulls for each of ``ids``, with ``_asked``: whether a row is such a one, or ids are not given.
+
+    A group of an id is asked for if one of its rows is; null ids match no rows.
+    """
+    if ids is None:
+        return rows.withColumn("_asked", F.lit(True))
+    known = rows.filter(F.col(id_col).isNotNull()).withColumn("_asked", F.lit(False))
+    return known.unionByName(ids.select(id_col, F.lit(True).alias("_asked")), allowMissingColumns=True)
+
+
 def _held(side: str) -> Column:
     return (F.col("side") == side) & (F.col("status") == "present") & F.col("finding").isin(*POSITIVE)
 
@@ -34,18 +46,17 @@ def audit(rows: DataFrame, ids: DataFrame | None = None, id_col: str = "image_id
     With ``spans`` also ``unsupported_spans``: the words of the draft behind each unsupported
     claim (those of the label's first present row), null where it quotes none.
     """
-    sets = [F.collect_set(F.when(_held(s), F.col("finding"))).alias(s) for s in SIDES]
+    sets = [F.bit_or(F.when(_held(s), label_bit(F.col("finding")))).alias(s) for s in SIDES]
     first = [F.min(F.when(_held("draft") & (F.col("finding") == x), F.struct("ord", "span")))["span"] for x in POSITIVE] if spans else []
-    per = rows.groupBy(id_col).agg(*sets, *[c.alias(f"_span_{i}") for i, c in enumerate(first)])
-    if ids is not None:
-        per = ids.select(id_col).distinct().join(per, id_col, "left")
-    none = F.array().cast("array<string>")
-    a, b = (F.coalesce(F.col(s), none) for s in SIDES)
+    used = rows.select(id_col, "side", "finding", "status", *(["ord", "span"] if spans else []))
+    per = with_ids(used, ids, id_col).groupBy(id_col).agg(*sets, F.max("_asked").alias("_asked"), *[c.alias(f"_span_{i}") for i, c in enumerate(first)]).filter("_asked")
+    a, b = (F.coalesce(F.col(s), F.lit(0)) for s in SIDES)
+    urgent = sum(1 << POSITIVE.index(x) for x in URGENT)
     out = per.select(
         id_col,
-        canonical_sorted(F.array_except(a, b), POSITIVE).alias(FLAGS[0]),
-        canonical_sorted(F.array_except(b, a), POSITIVE).alias(FLAGS[1]),
-        canonical_sorted(F.array_intersect(a, F.array(*map(F.lit, URGENT))), POSITIVE).alias(FLAGS[2]),
+        labels_of(a.bitwiseAND(F.bitwise_not(b))).alias(FLAGS[0]),
+        labels_of(b.bitwiseAND(F.bitwise_not(a))).alias(FLAGS[1]),
+        labels_of(a.bitwiseAND(F.lit(urgent))).alias(FLAGS[2]),
         *[f"_span_{i}" for i in range(len(first))],
     )
     if not spans:

@@ -14,3 +14,26 @@ def plan(spark, name: str) -> str:
 def test_pixels_are_made_and_summed_without_patterns(spark):
     text = plan(spark, "windowed_images")
     assert "regexp_replace" not in text and "split(" not in text
+
+
+def test_presence_reads_labels_and_no_boxes(spark):
+    assert "box_2d" not in plan(spark, "model_presence")
+    out = registry.QUERIES["model_urgent_recall"](spark, SF)
+    assert out.count() == 6
+
+
+def test_findings_are_dealt_by_image_once(spark):
+    from auditgrid.plans.derive import boxes
+
+    rows = boxes(spark, SF).groupBy("image_id").agg({"ord": "max"})
+    physical = rows._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("Exchange hashpartitioning") == 1
+
+
+def test_labels_as_they_stand_or_in_another_case_and_by_pattern(spark):
+    from auditgrid.functions.vocab import normalized_finding, stripped
+
+    texts = ["cardiomegaly", "CARDIOMEGALY", " Nodule-Mass ", "x", "", None, "pleural  effusion"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r) for r in rows.select(normalized_finding(rows.t), stripped(rows.t)).collect()]
+    assert got == [("cardiomegaly", "cardiomegaly"), ("cardiomegaly", "CARDIOMEGALY"), ("nodule_mass", "Nodule-Mass"), (None, "x"), (None, ""), (None, None), ("pleural_effusion", "pleural  effusion")]
