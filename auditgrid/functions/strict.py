@@ -44,7 +44,7 @@ def _value(v: Column, kind: str) -> Column:
 
 def optional(rule: Rule) -> Rule:
     """A rule that also takes null."""
-    return lambda v, path: F.when(_kind(v) != "VOID", rule(v, path))
+    return lambda v, path: F.when(~F.is_variant_null(v), rule(v, path))
 
 
 def string(v: Column, path: str) -> Column:
@@ -52,7 +52,7 @@ def string(v: Column, path: str) -> Column:
 
 
 def label(v: Column, path: str) -> Column:
-    return F.coalesce(string(v, path), _error(normalized_finding(_value(v, "string")).isNull(), path, "not a canonical finding"))
+    return F.coalesce(string(v, path), _error(let(_value(v, "string"), lambda c: normalized_finding(c)).isNull(), path, "not a canonical finding"))
 
 
 def status(v: Column, path: str) -> Column:
@@ -60,20 +60,19 @@ def status(v: Column, path: str) -> Column:
 
 
 def confidence(v: Column, path: str) -> Column:
-    n = _value(v, "double")
-    return _error(F.isnan(n) | ~n.between(0.0, 1.0), path, "not a number in [0, 1]")
+    return _error(let(_value(v, "double"), lambda n: F.isnan(n) | ~n.between(0.0, 1.0)), path, "not a number in [0, 1]")
 
 
 def box(v: Column, path: str) -> Column:
-    return _error(valid_box(_value(v, "array<double>")).isNull(), path, "not a box of four ordered numbers in [0, 1]")
+    return _error(let(_value(v, "array<double>"), valid_box).isNull(), path, "not a box of four ordered numbers in [0, 1]")
 
 
 def items(rule: Rule) -> Rule:
     """A list whose items all follow a rule; the first one's error counts."""
 
     def check(v: Column, path: str) -> Column:
-        errors = F.transform(_value(v, "array<variant>"), lambda x: rule(x, f"{path}[]"))
-        return F.coalesce(_error(~F.startswith(_kind(v), F.lit("ARRAY")), path, "not a list"), F.get(F.filter(errors, lambda e: e.isNotNull()), F.lit(0)))
+        first = lambda xs: F.get(F.filter(F.transform(xs, lambda x: rule(x, f"{path}[]")), lambda e: e.isNotNull()), F.lit(0))
+        return let(_value(v, "array<variant>"), lambda xs: F.coalesce(F.when(xs.isNull(), f"{path}: not a list"), first(xs)))
 
     return check
 
@@ -87,11 +86,14 @@ def members(*known: Member) -> Rule:
     """An object of known members."""
 
     def check(v: Column, path: str) -> Column:
-        names = F.array(*[F.lit(m.name) for m in known])
-        extra = F.array_except(F.map_keys(_value(v, "map<string,variant>")), names)
-        errors = [_error(~F.startswith(_kind(v), F.lit("OBJECT")), path, "not an object"), F.when(F.size(extra) > 0, F.concat(F.lit(f"{path}: unknown members "), F.array_join(F.array_sort(extra), ", ")))]
-        errors += [let(F.try_variant_get(v, f"$.{m.name}", "variant"), _checked(m, f"{path}.{m.name}")) for m in known]
-        return F.coalesce(*errors)
+
+        def first(held: Column) -> Column:
+            extra = F.filter(F.map_keys(held), lambda k: ~k.isin(*[m.name for m in known]))
+            unknown = let(extra, lambda e: F.when(F.size(e) > 0, F.concat(F.lit(f"{path}: unknown members "), F.array_join(F.array_sort(e), ", "))))
+            errors = [let(F.try_element_at(held, F.lit(m.name)), _checked(m, f"{path}.{m.name}")) for m in known]
+            return F.coalesce(F.when(held.isNull(), f"{path}: not an object"), unknown, *errors)
+
+        return let(_value(v, "map<string,variant>"), first)
 
     return check
 
@@ -106,7 +108,7 @@ def _filled(v: Column, disclaimer: str, box_format: str) -> Column:
     """The result of a valid value, with defaults in place and labels in canonical form."""
     get = lambda path, kind: F.try_variant_get(v, path, kind)
     text = lambda x, name: F.try_variant_get(x, f"$.{name}", "string")
-    common = lambda x: [normalized_finding(text(x, "finding")).alias("finding"), F.coalesce(text(x, "status"), F.lit("present")).alias("status")]
+    common = lambda x: [let(text(x, "finding"), lambda c: normalized_finding(c)).alias("finding"), F.coalesce(text(x, "status"), F.lit("present")).alias("status")]
     more = {
         "image_findings": lambda x: [F.try_variant_get(x, "$.box", "array<double>").alias("box"), F.try_variant_get(x, "$.confidence", "double").alias("confidence"), text(x, "evidence").alias("evidence")],
         "draft_findings": lambda x: [text(x, "span").alias("span")],
