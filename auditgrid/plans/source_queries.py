@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from ..functions.geometry import AXES
 from ..functions.vocab import LABEL_MAPS
@@ -91,12 +92,12 @@ def published_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(user.cast("long").alias("doc_id"), *[image[c].cast("long").alias(c) for c in ("width", "height")], F.md5(image["rgb"]).alias("rgb_md5"))
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(BinaryType())
 def _doubled(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else np.repeat(np.frombuffer(t, np.uint8), 2).tobytes() for t in texts.to_pylist()], pa.binary())
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def _byte_sum(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else int(np.frombuffer(t, np.uint8).sum(dtype=np.int64)) for t in texts.to_pylist()], pa.int64())
 
