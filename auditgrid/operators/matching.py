@@ -33,9 +33,8 @@ def merged_boxes(boxes: DataFrame, threshold: float = 0.5, id_col: str = "image_
     """
     item = F.struct("ord", "box")
     lists = boxes.filter("box IS NOT NULL").groupBy(id_col, "finding").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    alone = lists.filter(F.size("items") == 1).withColumn("labels", F.array(F.lit(0)))
     linked = F.transform("items", lambda a, i: F.transform("items", lambda b, j: (i == j) | (iou(a["box"], b["box"]) >= threshold)))
-    several = lists.filter(F.size("items") > 1).withColumn("linked", linked)
+    lists = lists.withColumn("linked", F.when(F.size("items") > 1, linked))
     start = F.struct(F.transform("items", lambda _, i: i).alias("at"), F.lit(False).alias("done"))
     places = F.sequence(F.lit(0), F.size("items") - 1)
     least = lambda rows, at: F.transform(rows, lambda row: F.array_min(F.zip_with(row, at, lambda on, x: F.when(on, x))))
@@ -45,8 +44,8 @@ def merged_boxes(boxes: DataFrame, threshold: float = 0.5, id_col: str = "image_
     following = lambda at: let(let(least("linked", at), lambda near: moved(at, near)), jumped)
     round_ = lambda s: let(following(s["at"]), lambda now: F.struct(now.alias("at"), (now == s["at"]).alias("done")))
     labels = F.aggregate("items", start, lambda s, _: F.when(s["done"], s).otherwise(round_(s)))["at"]
-    several = several.withColumn("labels", labels).drop("linked")
-    rows = alone.unionByName(several).select(id_col, "finding", F.explode(F.arrays_zip("items", "labels")).alias("x"), "items")
+    # one read of the lists: a box alone is its own cluster
+    rows = lists.withColumn("labels", F.when(F.size("items") > 1, labels).otherwise(F.array(F.lit(0)))).select(id_col, "finding", F.explode(F.arrays_zip("items", "labels")).alias("x"), "items")
     keyed = rows.select(id_col, "finding", F.element_at("items", F.col("x.labels") + 1)["ord"].alias("cluster"), F.col("x.items.box").alias("box"))
     mean = F.struct(*[F.avg(f"box.{n}").alias(n) for n in AXES])
     return keyed.groupBy(id_col, "finding", "cluster").agg(F.count(F.lit(1)).alias("n"), mean.alias("box"))
@@ -56,14 +55,17 @@ def cross_label_resolved(boxes: DataFrame, threshold: float = 0.6, id_col: str =
     """Rows without the less specific of two overlapping boxes of different labels.
 
     Of equally specific labels the later row goes.  A row that goes still rules out others.
+    An image's rows are one list, so that they are made and shuffled once; the time grows
+    with the square of the boxes of one image.
     """
     if threshold <= 0:
         return boxes
-    rows = boxes.filter("box IS NOT NULL").select(id_col, "ord", "finding", "box", specificity_rank(F.col("finding")).alias("rank"))
-    a, b = rows.alias("a"), rows.alias("b")
-    worse = F.struct("a.rank", "a.ord") > F.struct("b.rank", "b.ord")
-    losers = a.join(b, (F.col(f"a.{id_col}") == F.col(f"b.{id_col}")) & (F.col("a.finding") != F.col("b.finding")) & worse & (iou(F.col("a.box"), F.col("b.box")) >= threshold), "left_semi").select(id_col, "ord")
-    return boxes.join(losers, [id_col, "ord"], "left_anti")
+    item = F.struct(*[c for c in boxes.columns if c != id_col], F.struct(specificity_rank(F.col("finding")), "ord").alias("_turn"))
+    lists = boxes.groupBy(id_col).agg(F.collect_list(item).alias("items"))
+    beats = lambda b, a: (a["_turn"] > b["_turn"]) & (a["finding"] != b["finding"]) & b["box"].isNotNull() & (iou(a["box"], b["box"]) >= threshold)
+    stays = lambda a: F.col(id_col).isNull() | a["box"].isNull() | ~F.coalesce(F.exists("items", lambda b: beats(b, a)), F.lit(False))
+    kept = lists.select(id_col, F.inline(F.filter("items", stays)))
+    return kept.select(*boxes.columns)
 
 
 def overlap_pairs(predicted: DataFrame, expected: DataFrame, keys: list[str], by: list[str] | None = None) -> DataFrame:

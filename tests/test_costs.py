@@ -37,3 +37,8 @@ def test_labels_as_they_stand_or_in_another_case_and_by_pattern(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [tuple(r) for r in rows.select(normalized_finding(rows.t), stripped(rows.t)).collect()]
     assert got == [("cardiomegaly", "cardiomegaly"), ("cardiomegaly", "CARDIOMEGALY"), ("nodule_mass", "Nodule-Mass"), (None, "x"), (None, ""), (None, None), ("pleural_effusion", "pleural  effusion")]
+
+
+def test_boxes_of_an_image_are_read_once(spark):
+    for name in ("merge_same_label_boxes", "cross_label_resolution"):
+        assert plan(spark, name).count("Window [row_number()") == 1
