@@ -42,3 +42,8 @@ def test_labels_as_they_stand_or_in_another_case_and_by_pattern(spark):
 def test_boxes_of_an_image_are_read_once(spark):
     for name in ("merge_same_label_boxes", "cross_label_resolution"):
         assert plan(spark, name).count("Window [row_number()") == 1
+
+
+def test_images_go_to_workers_in_small_batches(spark):
+    plan(spark, "published_images")
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
