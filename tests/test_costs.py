@@ -47,3 +47,13 @@ def test_boxes_of_an_image_are_read_once(spark):
 def test_images_go_to_workers_in_small_batches(spark):
     plan(spark, "published_images")
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+
+
+def test_an_audit_needs_no_join_and_keeps_ids_without_rows(spark):
+    from auditgrid.operators.audit import audit
+
+    assert "Join" not in plan(spark, "audit_flag_metrics") and "collect_set" not in plan(spark, "label_sets")
+    rows = spark.createDataFrame([(1, "image", "nodule_mass", "present"), (1, "draft", "cardiomegaly", "present"), (2, "image", "cardiomegaly", "present"), (None, "image", "cardiomegaly", "present")], "image_id int, side string, finding string, status string")
+    ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "image_id int")
+    got = {r[0]: tuple(map(tuple, r[1:])) for r in audit(rows, ids).collect()}
+    assert got == {1: (("nodule_mass",), ("cardiomegaly",), ("nodule_mass",)), 3: ((), (), ()), None: ((), (), ())}
