@@ -35,7 +35,8 @@ def draft_prompt(draft: Column, template: str = DRAFT) -> Column:
     """The prompt of a draft; an empty draft is an error."""
     text = stripped(draft)
     checked = F.when(text != "", text).otherwise(F.raise_error(F.lit("the draft must not be empty")).cast("string"))
-    return F.replace(F.lit(_filled(template)), F.lit("{draft}"), checked)
+    parts = [F.lit(part) for part in _filled(template).split("{draft}")]
+    return F.concat(parts[0], *[c for part in parts[1:] for c in (checked, part)])
 
 
 def attempt_prompt(prompt: Column, attempt: Column, suffix: str = AGAIN) -> Column:

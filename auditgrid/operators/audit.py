@@ -49,20 +49,19 @@ def audit(rows: DataFrame, ids: DataFrame | None = None, id_col: str = "image_id
     sets = [F.bit_or(F.when(_held(s), label_bit(F.col("finding")))).alias(s) for s in SIDES]
     first = [F.min(F.when(_held("draft") & (F.col("finding") == x), F.struct("ord", "span")))["span"] for x in POSITIVE] if spans else []
     used = rows.select(id_col, "side", "finding", "status", *(["ord", "span"] if spans else []))
-    per = with_ids(used, ids, id_col).groupBy(id_col).agg(*sets, F.max("_asked").alias("_asked"), *[c.alias(f"_span_{i}") for i, c in enumerate(first)]).filter("_asked")
-    a, b = (F.coalesce(F.col(s), F.lit(0)) for s in SIDES)
+    said = [c.alias(f"_span_{i}") for i, c in enumerate(first)]
+    per = with_ids(used, ids, id_col).groupBy(id_col).agg(*sets, F.max("_asked").alias("_asked"), *said).filter("_asked")
+    return per.select(id_col, *flags_of(F.col("image"), F.col("draft"), [F.col(f"_span_{i}") for i in range(len(first))]))
+
+
+def flags_of(image: Column, draft: Column, spans: list[Column]) -> list[Column]:
+    """The three flag arrays of both sides' sets of bits; with the draft's words for each positive label also unsupported_spans."""
+    a, b = (F.coalesce(c, F.lit(0)) for c in (image, draft))
     urgent = sum(1 << POSITIVE.index(x) for x in URGENT)
-    out = per.select(
-        id_col,
-        labels_of(a.bitwiseAND(F.bitwise_not(b))).alias(FLAGS[0]),
-        labels_of(b.bitwiseAND(F.bitwise_not(a))).alias(FLAGS[1]),
-        labels_of(a.bitwiseAND(F.lit(urgent))).alias(FLAGS[2]),
-        *[f"_span_{i}" for i in range(len(first))],
-    )
-    if not spans:
-        return out
-    said = F.array(*[f"_span_{i}" for i in range(len(first))])
-    return out.select(id_col, *FLAGS, F.transform(FLAGS[1], lambda x: F.get(said, canonical_ord(x))).alias("unsupported_spans"))
+    claims = labels_of(b.bitwiseAND(F.bitwise_not(a)))
+    flags = [labels_of(a.bitwiseAND(F.bitwise_not(b))), claims, labels_of(a.bitwiseAND(F.lit(urgent)))]
+    quoted = [F.transform(claims, lambda x: F.get(F.array(*spans), canonical_ord(x))).alias("unsupported_spans")] if spans else []
+    return [*(c.alias(f) for c, f in zip(flags, FLAGS, strict=True)), *quoted]
 
 
 def audit_detail(rows: DataFrame, id_col: str = "image_id") -> DataFrame:

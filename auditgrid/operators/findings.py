@@ -86,6 +86,20 @@ def draft_findings(parsed: DataFrame, id_col: str = "image_id") -> DataFrame:
     return first_wins(_read(parsed, [id_col], members), [id_col, "finding", "status"], ["ord"])
 
 
+def first_claims(elements: Column) -> Column:
+    """The first present row that draft_findings() has for each positive label of an output's elements: an array of (ord, span).
+
+    Null stands for a label that is not claimed; the array is in canonical order.
+    """
+    member = lambda e, name, read: let(F.get_json_object(e, f"$.{name}"), read)
+    one = lambda e, i: F.struct(i.alias("ord"), member(e, "label", lambda c: normalized_finding(c)).alias("finding"), member(e, "status", coerced_status).alias("status"), e.alias("e"))
+    stated = lambda xs: F.filter(xs, lambda x: x["finding"].isin(*POSITIVE) & (x["status"] == "present"))
+    first = lambda xs, label: F.get(F.filter(xs, lambda x: x["finding"] == label), F.lit(0))
+    # only the claim that stands is read for its words, whose kind matters
+    claim = lambda y: F.when(y.isNotNull(), F.struct(y["ord"].alias("ord"), let(F.try_parse_json(y["e"]), lambda v: _string(v, "$.span")).alias("span")))
+    return let(stated(F.transform(elements, one)), lambda xs: F.transform(F.array(*[first(xs, label) for label in POSITIVE]), claim))
+
+
 def first_readable(attempts: DataFrame, id_col: str = "image_id") -> DataFrame:
     """For each id the first attempt that parses: attempt, elements (null if none does), tried."""
     ok = F.col("parse.ok")

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import valid_box
 from ..functions.json_lists import parsed_list
 from ..functions.prompts import attempt_prompt, draft_prompt, grounding_prompt
 from ..functions.scalars import without_reasoning
-from ..functions.vocab import CANONICAL, canonical_ord, normalized_finding, stripped
+from ..functions.vocab import CANONICAL, POSITIVE, canonical_ord, label_bit, normalized_finding, stripped
 from . import findings, matching, sampling
-from .audit import DRAFT_NOTE, audit, sides
+from .audit import DRAFT_NOTE, FLAGS
+from .audit import flags_of as audit_flags
 from .corpus import assistant_text, chat_record, target_text
 from .scratch import settled
 
@@ -35,8 +36,10 @@ def generated(rows: DataFrame, prompt: Column, generate: Generate, attempts: int
     for n in range(1, attempts + 1):
         said = generate(attempt_prompt(F.col("_prompt"), F.lit(n)), n)
         read = F.when(F.col("_prompt").isNotNull(), parsed_list(without_reasoning(said)))
-        table = settled(asked.withColumns({"parse": read, "attempt": F.when(F.col("_prompt").isNotNull(), F.lit(n))}), f"attempt-{n}")
-        over = F.col("_prompt").isNull() | F.col("parse.ok")
+        made = asked.withColumns({"parse": read, "attempt": F.when(F.col("_prompt").isNotNull(), F.lit(n))})
+        # a prompt is kept for the rows alone that are asked again
+        table = settled(made.withColumn("_prompt", F.when(~F.col("parse.ok"), F.col("_prompt"))), f"attempt-{n}")
+        over = F.col("_prompt").isNull()
         asked = table.filter(~over).drop("parse", "attempt")
         last = n == attempts or asked.isEmpty()
         mine = table if last else table.filter(over)
@@ -57,24 +60,35 @@ def images_read(images: DataFrame, generate: Generate, attempts: int = GROUNDING
     return generated(images, grounding_prompt(), generate, attempts)
 
 
-def audits_of(grounded: DataFrame, drafted: DataFrame | None = None, id_col: str = "image_id") -> DataFrame:
-    """The audit of every image from parsed texts: id, ok, the flags, unsupported_spans, draft_note.
+def audits_of(grounded: DataFrame, drafted: DataFrame | None = None, id_col: str = "image_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The audit of every image from parsed texts: id, ok, the flags, unsupported_spans, draft_note, and ``keep`` of ``grounded``.
 
-    Both tables are read by several of its parts: they should be settled, as generated() has them.
     ``grounded``: id, parse - a row for each image.  ``drafted``: id, parse (null: no draft).
     An image whose findings cannot be read has ok false and null flags.  A draft that cannot
     be read leaves the audit to the image alone and gives it a note.
+
+    A text's labels and claims are taken within its row, so both tables are read once and
+    meet in one shuffle and one sort by id; rows of one id share their findings.
     """
-    image = findings.image_findings(grounded, id_col)
-    if drafted is None:
-        drafted = grounded.select(id_col, F.when(F.lit(False), F.col("parse")).alias("parse"))
-    draft = findings.draft_findings(drafted, id_col)
-    audits = audit(sides(image, draft, id_col), grounded, id_col, spans=True)
-    failed = drafted.filter("NOT parse.ok").select(id_col, F.lit(DRAFT_NOTE).alias("draft_note")).distinct()
-    state = grounded.select(id_col, F.coalesce("parse.ok", F.lit(False)).alias("ok"))
-    out = state.join(audits, id_col).join(failed, id_col, "left")
-    flags = [c for c in audits.columns if c != id_col]
-    return out.select(id_col, "ok", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in flags], F.when(F.col("ok"), F.col("draft_note")).alias("draft_note"))
+    ok, elements = F.coalesce("parse.ok", F.lit(False)), F.col("parse.elements")
+    bits = lambda found: F.aggregate(found, F.lit(0), lambda acc, x: acc.bitwiseOR(x))
+    mine = grounded.select(id_col, *keep, ok.alias("ok"), bits(F.transform(findings.image_labels(elements), label_bit)).alias("image"))
+    rows = mine.withColumn("_asked", F.lit(True))
+    if drafted is not None:
+        claims = drafted.select(id_col, findings.first_claims(elements).alias("_claims"), (~F.col("parse.ok")).alias("_failed"))
+        rows = rows.unionByName(claims.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
+    else:
+        rows = rows.withColumns({"_claims": F.lit(None).cast("array<struct<ord:int,span:string>>"), "_failed": F.lit(None).cast("boolean")})
+    whole = Window.partitionBy(id_col)
+    firsts = {f"_first_{i}": F.min(F.get("_claims", F.lit(i))).over(whole) for i in range(len(POSITIVE))}
+    per = rows.filter(F.col(id_col).isNotNull()).withColumns({"image": F.bit_or("image").over(whole), "_noted": F.max("_failed").over(whole), **firsts}).filter("_asked")
+    said = [F.col(c) for c in firsts]
+    draft = sum((F.when(c.isNotNull(), 1 << i).otherwise(0) for i, c in enumerate(said[1:], 1)), F.when(said[0].isNotNull(), 1).otherwise(0))
+    flags = audit_flags(F.col("image"), draft, [c["span"] for c in said])
+    names = (*FLAGS, "unsupported_spans")
+    note = F.when(F.col("_noted"), DRAFT_NOTE).alias("draft_note")
+    out = per.select(id_col, *keep, "ok", *flags, note)
+    return out.select(id_col, "ok", *[F.when(F.col("ok"), F.col(c)).alias(c) for c in (*names, "draft_note")], *keep)
 
 
 def curated_findings(rows: DataFrame, merge: float = 0.5, cross: float = 0.6, id_col: str = "image_id") -> DataFrame:

@@ -7,7 +7,7 @@ import random
 import pytest
 from auditgrid.functions.geometry import BOX, PIXELS
 from auditgrid.functions.json_lists import parsed_list
-from auditgrid.operators import audit, evaluation, layout, metrics, sampling, whole
+from auditgrid.operators import audit, evaluation, findings, layout, metrics, sampling, whole
 from pyspark.sql import functions as F
 
 from helpers import rows
@@ -33,6 +33,26 @@ def test_unread_drafts_leave_the_audit_to_the_image(spark):
     assert whole.audits_of(grounded).filter("draft_note IS NOT NULL").count() == 0
 
 
+ODD = '[{"label": 5}, {"label": "Nodule-Mass", "status": " ABSENT ", "span": "no"}, {"label": "nodule mass", "status": null, "span": 7}, {"label": ["cardiomegaly"]}, {"label": "nodule_mass", "span": "late"}, {"label": "cardiomegaly", "status": ["absent"], "span": {"a": 1}}, {"label": "pneumothorax", "span": "a, \\"b\\" \u00e9"}]'
+
+
+def test_claims_within_a_row_are_those_of_the_findings_and_need_one_shuffle(spark):
+    grounded, drafted = parsed(spark, [(1, ODD), (1, "nothing"), (2, "[]"), (None, ODD), (4, ODD)]), parsed(spark, [(1, ODD), (1, '[{"label": "pleural_effusion", "span": "x"}]'), (2, ODD), (3, ODD), (None, ODD), (4, "prose")])
+    out = whole.audits_of(grounded.withColumn("n", F.lit(7)), drafted, keep=("n",))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    # as from findings that are exploded and deduplicated first
+    sides = audit.sides(findings.image_findings(grounded), findings.draft_findings(drafted))
+    by_rows = {r["image_id"]: r for r in audit.audit(sides, grounded, spans=True).collect()}
+    got = out.collect()
+    assert sorted((r["image_id"], r["ok"], r["n"]) for r in got) == [(1, False, 7), (1, True, 7), (2, True, 7), (4, True, 7)]
+    for r in got:
+        assert all(r[c] == (by_rows[r["image_id"]][c] if r["ok"] else None) for c in (*audit.FLAGS, "unsupported_spans"))
+    two = next(r for r in got if r["image_id"] == 2)
+    assert two["unsupported_claims"] == ["pneumothorax", "nodule_mass", "cardiomegaly"] and two["unsupported_spans"] == ['a, "b" \u00e9', None, None]
+    assert [r["draft_note"] for r in got if r["image_id"] == 4] == [audit.DRAFT_NOTE]
+
+
 def test_panel_leads_with_the_note_and_quotes(spark):
     flags = "missing_findings array<string>, unsupported_claims array<string>, urgent_review_flags array<string>, unsupported_spans array<string>, draft_note string"
     items = [(["cardiomegaly"], ["pneumothorax", "nodule_mass"], [], ["said so", None], "Unread."), ([], [], [], [], None)]
