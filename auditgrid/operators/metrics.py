@@ -137,6 +137,19 @@ def flag_metrics(pred: DataFrame, gold: DataFrame, case: str = "image_id") -> Da
     return c.select("flag", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
+def flag_metrics_of_cases(cases: DataFrame, flags: tuple[str, ...], pred: str = "predicted", gold: str = "expected") -> DataFrame:
+    """flag_metrics() of a row for each case, with two structs of an array of labels for each flag.
+
+    Nothing is dealt by case: the sets of a case are compared within its row.  A flag that no
+    case has, on either side, has no row.
+    """
+    size = lambda x: F.size(x).cast("long")
+    sets = {f: [F.coalesce(F.array_distinct(F.col(f"{side}.{f}")), F.array().cast("array<string>")) for side in (pred, gold)] for f in flags}
+    counts = [F.struct(F.lit(f).alias("flag"), size(F.array_intersect(p, g)).alias("tp"), size(F.array_except(p, g)).alias("fp"), size(F.array_except(g, p)).alias("fn")) for f, (p, g) in sets.items()]
+    per = cases.select(F.inline(F.array(*counts))).groupBy("flag").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]).filter("tp + fp + fn > 0")
+    return per.select("flag", "tp", "fp", "fn", *rates(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
 def distribution(sets: DataFrame) -> DataFrame:
     """total, normal, positive and a map of images by label, of label_sets() rows."""
     per = [F.sum(F.array_contains("labels", x).cast("long")).alias(x) for x in POSITIVE]

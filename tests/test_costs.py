@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
+import pytest
 from auditgrid.plans import registry
+from pyspark.sql import functions as F
+
+from helpers import duck, rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -57,3 +63,38 @@ def test_an_audit_needs_no_join_and_keeps_ids_without_rows(spark):
     ids = spark.createDataFrame([(1,), (1,), (3,), (None,)], "image_id int")
     got = {r[0]: tuple(map(tuple, r[1:])) for r in audit(rows, ids).collect()}
     assert got == {1: (("nodule_mass",), ("cardiomegaly",), ("nodule_mass",)), 3: ((), (), ()), None: ((), (), ())}
+
+
+@pytest.fixture
+def dealt(monkeypatch):
+    from auditgrid.plans import derive
+
+    monkeypatch.setattr(derive, "DEALT_FROM", 0)
+    monkeypatch.setattr(derive, "TASK_ROWS", 500)  # 12 tasks for some 6000 rows
+
+
+def physical(spark, name: str) -> str:
+    return registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tasks_of_large_tables_get_a_bounded_number_of_findings(spark, dealt):
+    text = physical(spark, "audit_flag_metrics")
+    # findings and ids are dealt once, by the size of the table, and never by the session's number of partitions
+    assert re.findall(r"hashpartitioning\(image_id#\d+L?, (\d+)\)", text) == ["12", "12"] and "ENSURE_REQUIREMENTS" not in text.split("HashAggregate(keys=[image_id")[1]
+
+
+@pytest.mark.parametrize("name", ["audit_flag_metrics", "label_sets", "audit_by_image", "raw_text_audit"])
+def test_dealt_rows_give_the_same_results(spark, dealt, name):
+    assert rows(registry.QUERIES[name](spark, SF)) == rows(duck(SF).sql(registry.SQL[name]).df())
+
+
+def test_flags_of_cases_count_as_their_rows_do(spark):
+    from auditgrid.operators import metrics
+
+    items = [(1, (["a", "b"], ["a"]), (["b", "c", "c"], [])), (2, ([], None), (None, [])), (3, (["x", None], []), ([None], [])), (None, (["a"], []), (["a"], []))]
+    kind = "struct<f:array<string>,g:array<string>>"
+    cases = spark.createDataFrame(items, f"image_id int, predicted {kind}, expected {kind}")
+    flat = lambda side: F.explode(F.map_from_arrays(F.array(F.lit("f"), F.lit("g")), F.array(f"{side}.f", f"{side}.g"))).alias("flag", "xs")
+    by_rows = metrics.flag_metrics(*[cases.select("image_id", flat(s)).select("image_id", "flag", F.explode("xs").alias("finding")) for s in ("predicted", "expected")])
+    got = metrics.flag_metrics_of_cases(cases, ("f", "g"))
+    assert rows(got) == rows(by_rows) and got.columns == by_rows.columns and got.count() == 2
