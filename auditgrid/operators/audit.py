@@ -101,9 +101,19 @@ def overlay_regions(items: DataFrame, threshold: float = 0.9, id_col: str = "ima
     id, region (from 1), box, category (the most severe), labels (first seen first), urgent,
     label.  A fold over an image's items in order; the time grows with their square.
     """
-    severity = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")).cast("int")
-    item = F.struct("ord", "finding", "box", severity.alias("severity"), "urgent")
+    item = F.struct("ord", "finding", "box", severity_of(F.col("category")).alias("severity"), "urgent")
     lists = items.filter("box IS NOT NULL").groupBy(id_col).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    regions = lists.select(id_col, F.posexplode(region_fold(F.col("items"), threshold)).alias("at", "r"))
+    names = F.array(*map(F.lit, CATEGORIES))
+    return regions.select(id_col, (F.col("at") + 1).cast("long").alias("region"), "r.box", F.element_at(names, F.col("r.severity")).alias("category"), "r.labels", "r.urgent", combined_label(F.col("r.labels"), F.col("r.urgent")).alias("label"))
+
+
+def severity_of(category: Column) -> Column:
+    return F.array_position(F.array(*map(F.lit, CATEGORIES)), category).cast("int")
+
+
+def region_fold(items: Column, threshold: float = 0.9) -> Column:
+    """The regions (box, severity, labels, urgent) of an image's items (finding, box, severity, urgent), which are in order."""
     empty = F.array().cast("array<struct<box:struct<y0:double,x0:double,y1:double,x1:double>,severity:int,labels:array<string>,urgent:boolean>>")
 
     def region(box, severity, labels, urgent):
@@ -114,9 +124,7 @@ def overlay_regions(items: DataFrame, threshold: float = 0.9, id_col: str = "ima
         joined = F.transform(acc, lambda c, i: F.when(i + 1 == at, region(c["box"], F.greatest(c["severity"], x["severity"]), F.array_distinct(F.array_append(c["labels"], x["finding"])), c["urgent"] | x["urgent"])).otherwise(c))
         return F.when(at > 0, joined).otherwise(F.array_append(acc, region(x["box"], x["severity"], F.array(x["finding"]), x["urgent"])))
 
-    regions = lists.select(id_col, F.posexplode(F.aggregate("items", empty, step)).alias("at", "r"))
-    names = F.array(*map(F.lit, CATEGORIES))
-    return regions.select(id_col, (F.col("at") + 1).cast("long").alias("region"), "r.box", F.element_at(names, F.col("r.severity")).alias("category"), "r.labels", "r.urgent", combined_label(F.col("r.labels"), F.col("r.urgent")).alias("label"))
+    return F.aggregate(items, empty, step)
 
 
 def foci_counts(regions: DataFrame, id_col: str = "image_id") -> DataFrame:
@@ -131,21 +139,40 @@ PHRASES = {"supported": "Supported by image", "missing": "Missing from draft", "
 def findings_table(rows: DataFrame, ids: DataFrame, id_col: str = "image_id") -> DataFrame:
     """id, place, finding, source, status, audit_flag: image labels once each, then all draft rows.
 
-    An image with neither has one row that says there is no finding.
+    An image with neither has one row that says there is no finding.  Everything of an image
+    is told from its one group: rows without an id belong to none.
     """
-    items = evidence(rows, id_col)
-    foci = foci_counts(overlay_regions(items, id_col=id_col), id_col)
-    one = items.groupBy(id_col, "finding").agg(F.min("ord").alias("ord"), F.first("category").alias("category")).join(foci, [id_col, "finding"], "left")
-    name = F.concat(display_name(F.col("finding")), F.when(F.col("foci") > 1, F.concat(F.lit(" ("), F.col("foci").cast("string"), F.lit(" foci)"))).otherwise(""))
-    phrase = F.element_at(F.create_map(*[F.lit(x) for kv in PHRASES.items() for x in kv]), F.col("category"))
-    image = one.select(id_col, F.lit(0).alias("part"), "ord", name.alias("finding"), F.lit("Image").alias("source"), F.lit("Present").alias("status"), phrase.alias("audit_flag"))
-    seen = rows.groupBy(id_col, "finding").agg(F.max(_held("image").cast("int")).alias("seen"))
-    drafts = rows.filter((F.col("side") == "draft") & (F.col("finding") != NO_FINDING)).join(seen, [id_col, "finding"])
-    wrong = (F.col("status") == "present") & (F.col("seen") == 0)
-    draft = drafts.select(id_col, F.lit(1).alias("part"), "ord", display_name(F.col("finding")).alias("finding"), F.lit("Draft").alias("source"), F.initcap("status").alias("status"), F.when(wrong, PHRASES["unsupported"]).otherwise("").alias("audit_flag"))
-    listed = image.unionByName(draft)
-    none = ids.select(id_col).distinct().join(listed.select(id_col), id_col, "left_anti").select(id_col, F.lit(0).alias("part"), F.lit(0).alias("ord"), F.lit(DISPLAY_NAMES[NO_FINDING]).alias("finding"), F.lit("Image").alias("source"), F.lit("Present").alias("status"), F.lit("").alias("audit_flag"))
-    return listed.unionByName(none)
+    used = with_ids(rows.select(id_col, "side", "ord", "finding", "status", "box"), ids, id_col)
+    sets = [F.bit_or(F.when(_held(s), label_bit(F.col("finding")))).alias(s) for s in SIDES]
+    mine = F.array_sort(F.collect_list(F.when(_held("image"), F.struct("ord", "finding", "box")))).alias("mine")
+    claims = F.collect_list(F.when((F.col("side") == "draft") & (F.col("finding") != NO_FINDING), F.struct("ord", "finding", "status"))).alias("claims")
+    per = used.groupBy(id_col).agg(*sets, mine, claims, F.max("_asked").alias("_asked"))
+
+    held = lambda x, side: F.coalesce(F.col(side), F.lit(0)).bitwiseAND(label_bit(x)) != 0
+    urgent = lambda x: x.isin(*URGENT)
+    category = lambda x: F.when(urgent(x), "urgent").when(~held(x, "draft"), "missing").otherwise("supported")
+    boxed = F.transform(F.filter("mine", lambda x: x["box"].isNotNull()), lambda x: F.struct(x["finding"].alias("finding"), x["box"].alias("box"), severity_of(category(x["finding"])).alias("severity"), urgent(x["finding"]).alias("urgent")))
+    place = rows.schema["ord"].dataType
+    phrase = lambda x: F.element_at(F.create_map(*[F.lit(y) for kv in PHRASES.items() for y in kv]), category(x))
+
+    def row(part: int, ord_: Column, *texts: Column) -> Column:
+        named = zip(("finding", "source", "status", "audit_flag"), texts, strict=True)
+        return F.struct(F.lit(part).alias("part"), ord_.cast(place).alias("ord"), *[t.alias(n) for n, t in named])
+
+    def image(x: Column) -> Column:
+        foci = F.size(F.filter("regions", lambda r: F.array_contains(r["labels"], x)))
+        name = F.concat(display_name(x), F.when(foci > 1, F.concat(F.lit(" ("), foci.cast("string"), F.lit(" foci)"))).otherwise(""))
+        first = F.array_min(F.transform(F.filter("mine", lambda y: y["finding"] == x), lambda y: y["ord"]))
+        return row(0, first, name, F.lit("Image"), F.lit("Present"), phrase(x))
+
+    def draft(x: Column) -> Column:
+        wrong = (x["status"] == "present") & ~held(x["finding"], "image")
+        return row(1, x["ord"], display_name(x["finding"]), F.lit("Draft"), F.initcap(x["status"]), F.when(wrong, PHRASES["unsupported"]).otherwise(""))
+
+    none = F.array(row(0, F.lit(0), F.lit(DISPLAY_NAMES[NO_FINDING]), F.lit("Image"), F.lit("Present"), F.lit("")))
+    drawn = per.withColumn("regions", region_fold(boxed))
+    listed = F.concat(F.transform(F.array_distinct(F.transform("mine", lambda x: x["finding"])), image), F.transform("claims", draft))
+    return drawn.select(id_col, "_asked", listed.alias("_listed")).select(id_col, F.inline(F.when((F.size("_listed") > 0) | ~F.col("_asked"), F.col("_listed")).otherwise(none)))
 
 
 # The sentences of the panel.

@@ -83,7 +83,12 @@ def test_tasks_of_large_tables_get_a_bounded_number_of_findings(spark, dealt):
     assert re.findall(r"hashpartitioning\(image_id#\d+L?, (\d+)\)", text) == ["12", "12"] and "ENSURE_REQUIREMENTS" not in text.split("HashAggregate(keys=[image_id")[1]
 
 
-@pytest.mark.parametrize("name", ["audit_flag_metrics", "label_sets", "audit_by_image", "raw_text_audit"])
+def test_a_table_of_findings_is_made_within_images(spark, dealt):
+    text = physical(spark, "findings_table")
+    assert re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", text) == ["12", "12"] and "Exchange hashpartitioning" in text and "Join" not in text
+
+
+@pytest.mark.parametrize("name", ["audit_flag_metrics", "label_sets", "audit_by_image", "raw_text_audit", "findings_table", "draft_rows"])
 def test_dealt_rows_give_the_same_results(spark, dealt, name):
     assert rows(registry.QUERIES[name](spark, SF)) == rows(duck(SF).sql(registry.SQL[name]).df())
 
