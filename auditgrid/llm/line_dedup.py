@@ -77,6 +77,12 @@ def ordered_tokens(line: np.ndarray, rare: np.ndarray, token: np.ndarray) -> tup
     return line[fresh], token[fresh]
 
 
+def reached(edges: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """How many of the edges each place has reached, both ascending: a search for each edge, of which there are few."""
+    at = np.searchsorted(places, edges)
+    return np.repeat(np.arange(len(edges) + 1), np.diff(np.concatenate([[0], at, [len(places)]])))
+
+
 def line_sets(texts: pa.Array, rarity: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lines of each text, key of each line, size of each line, line of each token, token).
 
@@ -88,8 +94,8 @@ def line_sets(texts: pa.Array, rarity: np.ndarray | None = None) -> tuple[np.nda
     # `breaks` is the place after a line feed: at a text's end it opens an empty last line
     upto = np.searchsorted(breaks, offsets, "right")
     per_text = np.diff(upto) + 1
-    text_of = np.searchsorted(offsets, starts, "right") - 1
-    line = np.searchsorted(breaks, starts, "right") - upto[text_of] + (np.cumsum(per_text) - per_text)[text_of]
+    # every break and every text but the first opens a line
+    line = reached(breaks, starts) - upto[0] + reached(offsets, starts) - 1
     rare = rarity[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] if rarity is not None else np.zeros(len(tokens), np.uint8)
     n, limit = int(per_text.sum()), 1 << 18
     parts = []
@@ -291,15 +297,20 @@ def _pairs(lists: np.ndarray, n: np.ndarray, t: Fraction) -> Iterator[tuple[np.n
 
 def first_places(p: np.ndarray) -> np.ndarray:
     """Postings of lists with two classes or more, by token and size, each class at its first place."""
-    order = np.argsort(p["tok"])
-    tok = p["tok"][order]
+    tok = np.ascontiguousarray(p["tok"])
+    order = np.argsort(tok)
+    tok = tok[order]
     same = np.concatenate([[False], tok[1:] == tok[:-1], [False]])
     p = p[order[same[1:] | same[:-1]]] if len(p) else p
-    p = p[np.lexsort((p["line"], p["doc"], p["key"], p["n"], p["tok"]))]
+    lead = p["tok"].astype(np.uint64) << np.uint64(32) | p["n"]
+    p = p[np.lexsort((p["key"], lead))]
     if len(p):
-        first = np.ones(len(p), bool)
-        first[1:] = (p["tok"][1:] != p["tok"][:-1]) | (p["key"][1:] != p["key"][:-1])
-        p = p[first]
+        again = (p["tok"][1:] == p["tok"][:-1]) & (p["key"][1:] == p["key"][:-1])
+        copies = np.flatnonzero(np.concatenate([[False], again]) | np.concatenate([again, [False]]))
+        if len(copies):  # places count among a class's copies alone
+            c = p[copies]
+            p[copies] = c[np.lexsort((c["line"], c["doc"], c["key"], c["n"], c["tok"]))]
+        p = p[np.concatenate([[True], ~again])]
     return p
 
 
@@ -594,9 +605,10 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = texts.select("doc_id", "text_hash", F.posexplode("keys").alias("line", "key")).filter("key IS NOT NULL")
     zipped = F.posexplode(F.arrays_zip("keys", "sizes", "b0", "b1")).alias("line", "x")
     marked = found.filter("block IS NULL").select("doc_id", "text_hash", zipped).select("doc_id", "text_hash", "line", F.col("x.keys").alias("key"), F.col("x.sizes").alias("n"), "x.b0", "x.b1").filter("key IS NOT NULL")
-    classes = written(marked.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min(F.struct("text_hash", "line", "n", "b0", "b1")).alias("at")), "classes")
+    classes = written(marked.groupBy("key").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min(F.struct("text_hash", "line", "n", "b0", "b1")).alias("at"), F.count(F.lit(1)).alias("m")), "classes")
     late = late_classes(docs, found, classes, threshold)
-    gone = classes.join(late.select(F.col("a").alias("key"), F.lit(True).alias("late")), "key", "left").select("key", F.when(F.col("late").isNull(), F.col("first")).alias("kept"))
+    gone = classes.join(late.select(F.col("a").alias("key"), F.lit(True).alias("late")), "key", "left").filter("m > 1 OR late")  # the one line of any other class stays
+    gone = gone.select("key", F.when(F.col("late").isNull(), F.col("first")).alias("kept"))
     gone = written(gone, "kept")
     dropped(classes, late)
     off = lines.join(gone, "key").filter(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))

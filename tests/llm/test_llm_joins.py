@@ -274,3 +274,32 @@ def test_top_k_of_few_or_no_rows(spark):
     assert topk.top_k(rows.limit(0), lambda i: i >= 0).count() == 0
     assert topk.top_k(rows, lambda i: i > 5).count() == 0
     assert topk.top_k(rows.filter(F.col("vec_id") == 0), lambda i: i >= 0).count() == 0
+
+
+def test_lines_and_first_places_are_those_of_plain_searches():
+    import numpy as np
+    from auditgrid.llm import line_dedup
+
+    rng = np.random.default_rng(7)
+    for n in (0, 1, 400):
+        places, edges = np.sort(rng.integers(0, 90, n)), np.sort(rng.integers(0, 90, 12))
+        assert (line_dedup.reached(edges, places) == np.searchsorted(edges, places, "right")).all()
+        p = np.zeros(n, line_dedup.POSTING)
+        for name, high in (("tok", 9), ("key", 11), ("doc", 4), ("line", 3)):
+            p[name] = rng.integers(0, high, n)
+        p["n"] = p["key"] % 5 + 1
+        want = {}
+        for r in sorted(p.tolist(), key=lambda r: (r[0], r[1], r[5], r[4], r[3])):
+            want.setdefault((r[0], r[5]), r)
+        many = {t for t in p["tok"].tolist() if (p["tok"] == t).sum() > 1}
+        assert line_dedup.first_places(p).tolist() == [r for (t, _), r in want.items() if t in many]
+
+
+def test_only_classes_with_copies_or_near_lines_are_joined_to_lines(spark, monkeypatch):
+    from auditgrid.llm import line_dedup
+
+    kept, plain = [], line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda rows, tag: kept.append(plain(rows, tag)) or kept[-1] if tag == "kept" else plain(rows, tag))
+    docs = spark.createDataFrame([(1, "one two three\nalone here\nx y"), (2, "three two one\nonly this"), (3, "x y"), (3, "x y")], "doc_id long, text string")
+    got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(docs).collect()}
+    assert got == {1: "", 2: "0", 3: "0"} and kept[0].count() == 2
