@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import as_list
 from ..functions.json_lists import parsed_list
+from ..functions.scalars import let
 from ..functions.vocab import NO_FINDING, POSITIVE, URGENT, canonical_sorted, normalized_finding
 from .sampling import seeded
 
@@ -112,7 +113,11 @@ def target_text(ids: DataFrame, rows: DataFrame, id_col: str = "image_id") -> Da
     """id, target: the JSON list of an image's present positives, or of the sentinel alone."""
     mine = rows.filter((F.col("status") == "present") & F.col("finding").isin(*POSITIVE))
     one = F.struct("ord", target_element(F.col("finding"), F.col("box"), F.col("confidence"), F.col("evidence")).alias("x"))
-    lists = mine.groupBy(id_col).agg(F.array_sort(F.collect_list(one)).alias("xs"))
+    # one sort by id serves the lists and the choice of the row that keeps them
+    turn = Window.partitionBy(id_col).orderBy("ord")
+    whole = turn.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    gathered = mine.select(id_col, F.row_number().over(turn).alias("_turn"), F.array_sort(F.collect_list(one).over(whole)).alias("xs"))
+    lists = gathered.filter("_turn = 1").drop("_turn")
     text = F.concat(F.lit("["), F.array_join(F.transform("xs", lambda s: s["x"]), ", "), F.lit("]"))
     none = f'[{{"label": "{NO_FINDING}", "box_2d": null}}]'
     return ids.select(id_col).distinct().join(lists, id_col, "left").select(id_col, F.when(F.col("xs").isNull(), none).otherwise(text).alias("target"))
@@ -162,16 +167,24 @@ def record_error(record: Column) -> Column:
 
 
 def validated(records: DataFrame, record: str = "record") -> DataFrame:
-    """Add ``error``: the first thing wrong with a record's shape, target or labels, or null."""
+    """Add ``error``: the first thing wrong with a record's shape, target or labels, or null.
+
+    A target that is a JSON array of known labels as it stands is right; only others are
+    scanned for what can be read of them.
+    """
     shape = record_error(F.col(record))
     target = F.when(shape.isNull(), assistant_text(F.col(record)["messages"]))
-    rows = records.withColumn("_shape", shape).withColumn("_parse", parsed_list(F.coalesce(target, F.lit("[]"))))
-    label = lambda e: F.try_variant_get(F.try_parse_json(e), "$.label", "string")
-    wrong = F.exists(F.col("_parse.elements"), lambda e: normalized_finding(label(e)).isNull())
+    label = lambda v: F.try_variant_get(v, "$.label", "string")
+    known = lambda v: let(label(v), lambda c: normalized_finding(c)).isNotNull()
+    items = F.try_variant_get(F.try_parse_json("_target"), "$", "array<variant>")
+    right = F.startswith("_target", F.lit("[")) & let(items, lambda xs: (F.size(xs) > 0) & F.forall(xs, known))
+    rows = records.withColumn("_shape", shape).withColumn("_target", target).withColumn("_right", F.coalesce(right, F.lit(False)))
+    rows = rows.withColumn("_parse", parsed_list(F.when(~F.col("_right"), F.coalesce("_target", F.lit("[]")))))
+    wrong = F.exists(F.col("_parse.elements"), lambda e: ~known(F.try_parse_json(e)))
     error = F.coalesce(
         F.col("_shape"),
         F.when(~F.col("_parse.ok"), F.concat(F.lit("target: "), F.col("_parse.error"))),
         F.when(F.size("_parse.elements") == 0, "target: no finding"),
         F.when(wrong, "target: a label outside the vocabulary"),
     )
-    return rows.withColumn("error", error).drop("_shape", "_parse")
+    return rows.withColumn("error", F.when(~F.col("_right"), error)).drop("_shape", "_target", "_right", "_parse")

@@ -71,8 +71,12 @@ def written_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = training_targets(spark, sf_dir).select(corpus.chat_record(F.col("image_id").cast("string"), F.lit("Report."), F.col("target")).alias("record"))
     writers.write_records(made, path)
     rows = lines.checked_records(spark, path)
-    files = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("line").alias("d"), F.min("line").alias("a"), F.max("line").alias("b"))
+    # the different lines of a file as bits, 64 to a row, so that no line is dealt by itself
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("line", F.lit(64)).cast("int"))
+    words = rows.groupBy("file", F.floor(F.col("line") / 64).alias("word")).agg(F.bit_count(F.bit_or(bit)).alias("d"), F.count(F.lit(1)).alias("n"), F.min("line").alias("a"), F.max("line").alias("b"))
+    files = words.groupBy("file").agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.min("a").alias("a"), F.max("b").alias("b"))
     whole = files.select("file", ((F.col("d") == F.col("n")) & (F.col("a") == 1) & (F.col("b") == F.col("n"))).alias("numbered"))
+    whole = scratch.settled(whole, "files")  # a row for each file: Spark sees that it is small
     return rows.join(whole, "file").select(F.col("record.image_path").cast("long").alias("image_id"), corpus.assistant_text(F.col("record.messages")).alias("target"), "numbered")
 
 

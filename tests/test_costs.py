@@ -88,7 +88,7 @@ def test_a_table_of_findings_is_made_within_images(spark, dealt):
     assert re.findall(r"hashpartitioning\(\w+#\d+L?, (\d+)\)", text) == ["12", "12"] and "Exchange hashpartitioning" in text and "Join" not in text
 
 
-@pytest.mark.parametrize("name", ["audit_flag_metrics", "label_sets", "audit_by_image", "raw_text_audit", "findings_table", "draft_rows"])
+@pytest.mark.parametrize("name", ["audit_flag_metrics", "label_sets", "audit_by_image", "raw_text_audit", "findings_table", "draft_rows", "training_targets", "written_records"])
 def test_dealt_rows_give_the_same_results(spark, dealt, name):
     assert rows(registry.QUERIES[name](spark, SF)) == rows(duck(SF).sql(registry.SQL[name]).df())
 
@@ -103,3 +103,20 @@ def test_flags_of_cases_count_as_their_rows_do(spark):
     by_rows = metrics.flag_metrics(*[cases.select("image_id", flat(s)).select("image_id", "flag", F.explode("xs").alias("finding")) for s in ("predicted", "expected")])
     got = metrics.flag_metrics_of_cases(cases, ("f", "g"))
     assert rows(got) == rows(by_rows) and got.columns == by_rows.columns and got.count() == 2
+
+
+def test_written_lines_are_not_dealt_one_by_one(spark):
+    text = physical(spark, "written_records")
+    assert "distinct" not in text and "line#" not in "".join(re.findall(r"hashpartitioning\\([^)]*\\)", text)) and "SortMergeJoin" not in text
+
+
+def test_right_targets_are_not_scanned_and_others_keep_their_errors(spark):
+    from auditgrid.operators import corpus
+
+    one, odd = '{"label": "cardiomegaly", "box_2d": null}', "target: a label outside the vocabulary"
+    targets = {f"[{one}]": None, f"[{one}] and more": None, f"```json\n[{one}]\n```": None, one: None, f" [{one}]": None, '[{"label": "x", "label": "Nodule-Mass"}]': None, f"[{one}, {{": None, f"[{one}, 5]": "target: JSON array element is not an object", "[]": "target: no finding", '[{"label": "x"}]': odd, "[{}]": odd, '[{"label": 5}]': odd, "[nothing": "target: no balanced JSON array", "prose": "target: no JSON object"}
+    rows_ = spark.createDataFrame([(t,) for t in targets], "t string").select("t", corpus.chat_record(F.lit("a.png"), F.lit("List."), F.col("t")).alias("record"))
+    assert {r["t"]: r["error"] for r in corpus.validated(rows_).collect()} == targets
+    assert corpus.validated(rows_).columns == ["t", "record", "error"]
+    right = corpus.validated(rows_)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN NOT _right" in right
