@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -77,11 +78,28 @@ def release() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: What empties the tables that an operator keeps in a worker from task to task, and the operator that ran last.
+_KEPT: list[Callable[[], None]] = []
+_LATEST: list[str] = []
+
+
+def begun(operator: str) -> None:
+    """Drop what earlier operators kept in this worker, which Spark uses again for others."""
+    if _LATEST != [operator]:
+        for empty in _KEPT:
+            empty()
+        _LATEST[:] = [operator]
+        gc.collect()
+        release()
+
+
 def worker(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """A function for ``mapInArrow`` that gets slices of bounded size and leaves a small worker."""
+    operator = run.__module__
 
     @functools.wraps(run)
     def bounded(batches: Batches) -> Batches:
+        begun(operator)
         try:
             yield from run(part for batch in batches for part in _sliced(batch, SLICE_BYTES))
         finally:
@@ -197,7 +215,7 @@ def bloom(keys: DataFrame, most: int = Bloom.MOST):
 # ---------------------------------------------------------------- words of text batches
 
 #: Bytes of a text that are looked at together; keeps the arrays below in the CPU's caches.
-SEGMENT = 1 << 19
+SEGMENT = 1 << 17
 _MIX = np.random.Generator(np.random.PCG64(0x5EED))
 _BYTE = _MIX.integers(1, 1 << 63, 256, dtype=np.uint64)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -229,6 +247,7 @@ class _Powers:
 
 
 _POWERS = _Powers()
+_KEPT.append(_POWERS.__init__)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, worker, written
+from .common import _KEPT, small_batches, worker, written
 
 WINDOW = 10
 MAX_PATTERN_BYTES = 16 << 20
@@ -62,6 +62,7 @@ def automaton(windows: dict[bytes, set[str]]):
 
 
 _BUILT: dict[str, object] = {}
+_KEPT.append(_BUILT.clear)
 
 
 def _automaton_of(windows, key: str):

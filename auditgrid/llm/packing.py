@@ -170,17 +170,18 @@ def tail(waiting: Waiting, capacity: int, crc: Callable[[np.ndarray], int]) -> I
                 yield out
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, waiting_tokens: int = WAITING_TOKENS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, waiting_tokens: int = WAITING_TOKENS, id_col: str = "doc_id", text_col: str = "text", cache_entries: int | None = None) -> DataFrame:
     """One row for each piece of a document; see the module's text for the method.
 
     ``sequence_id`` joins the partition's number and a running number, so that it needs
-    no pass over all sequences.
+    no pass over all sequences.  ``cache_entries``: chunks in a generation of the token
+    cache, for workers with less room; it changes speed only.
     """
     small_batches(docs.sparkSession)
 
     @worker
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = encoder(tokenizer, True).ids
+        ids_of = encoder(tokenizer, True, cache_entries).ids
         base = TaskContext.get().partitionId() << 40
 
         def read() -> Iterator[tuple[list, list[np.ndarray]]]:

@@ -9,8 +9,8 @@ crosses the cut points used below, so ``ids(text) == concat(ids(chunk))`` holds
 Texts of natural language repeat their words, so each distinct chunk is encoded once by
 the library and looked up afterwards.  A chunk that is one word, perhaps with ASCII marks
 after it, goes straight to the library's merge model; any other chunk goes through the
-library's whole pipeline.  The cache holds two generations of ``CACHE_ENTRIES`` chunks at
-most; dropping the older one changes speed only, never ids.
+library's whole pipeline.  The cache holds two generations of ``CACHE_ENTRIES`` chunks (or
+as many as the caller allows) at most; dropping the older one changes speed only, never ids.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from array import array
 
 import numpy as np
 
+from .common import _KEPT
+
 CACHE_ENTRIES = 300_000
 LONGEST_CACHED = 64
 _RUN = re.compile(r"\s\s")
@@ -43,13 +45,13 @@ class ChunkEncoder(dict):
     As a dict it maps chunk keys to packed ids, computing those that are missing.
     """
 
-    def __init__(self, path: str, keep_space: bool):
+    def __init__(self, path: str, keep_space: bool, entries: int | None = None):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.merge = self.tok.model.tokenize
-        self.keep_space = keep_space
+        self.keep_space, self.entries = keep_space, entries
         self.folds = not keep_space and self.tok.normalizer is not None and self.tok.normalizer.normalize_str("AbZ") == "abz"
         self.dtype = np.dtype("u2" if self.tok.get_vocab_size(True) <= 1 << 16 else "u4")
         self.older: dict[str, bytes] = {}
@@ -70,7 +72,7 @@ class ChunkEncoder(dict):
         return found
 
     def _keep(self, key: str, found: bytes) -> None:
-        if len(self) >= CACHE_ENTRIES:
+        if len(self) >= (self.entries or CACHE_ENTRIES):
             self.older = dict(self)
             self.clear()
         self[key] = found
@@ -132,11 +134,12 @@ class ChunkEncoder(dict):
         return np.frombuffer(self._whole(text) if keys is None else b"".join(map(self.__getitem__, keys)), self.dtype)
 
 
-_OPEN: dict[tuple[str, bool], ChunkEncoder] = {}
+_OPEN: dict[tuple[str, bool, int | None], ChunkEncoder] = {}
+_KEPT.append(_OPEN.clear)
 
 
-def encoder(path: str, keep_space: bool) -> ChunkEncoder:
-    """One encoder for each file and Python worker."""
-    if (path, keep_space) not in _OPEN:
-        _OPEN[path, keep_space] = ChunkEncoder(path, keep_space)
-    return _OPEN[path, keep_space]
+def encoder(path: str, keep_space: bool, entries: int | None = None) -> ChunkEncoder:
+    """One encoder for each file, size of cache and Python worker."""
+    if (path, keep_space, entries) not in _OPEN:
+        _OPEN[path, keep_space, entries] = ChunkEncoder(path, keep_space, entries)
+    return _OPEN[path, keep_space, entries]

@@ -24,6 +24,9 @@ from auditgrid.llm import contamination, langid, line_dedup, ngram_join, packing
 from auditgrid.llm.common import table, written
 from auditgrid.llm.queries import tokenizer_path
 
+#: Chunks in a generation of the token cache: executors hold other stages' memory, so less than packing alone takes.
+CACHE_ENTRIES = 75_000
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names, protos, bounds = langid.learnt(docs, ~langid.held_out(F.col("doc_id")))
@@ -43,7 +46,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.json"), cache_entries=CACHE_ENTRIES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

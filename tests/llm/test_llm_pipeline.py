@@ -80,3 +80,35 @@ def test_languages_and_bounds_are_learnt_from_all_rows(spark):
     few = spark.range(40).selectExpr("100000 + id AS doc_id", "concat('qxz', char(97 + id div 2), 'vkj', char(97 + id % 2)) AS text", "concat('rare', id div 2) AS lang")
     names, _, bounds = langid.learnt(many.unionByName(few), F.lit(True))
     assert len(names) == 21 and (bounds.short < float("inf")).sum() == (bounds.least > -float("inf")).sum() >= 1
+
+
+def test_workers_drop_what_other_stages_kept():
+    from auditgrid.llm import common, contamination, tokens
+
+    common.begun("one")
+    contamination._BUILT["key"] = object()
+    mine = tokens.encoder(p.tokenizer_path("byte_bpe_50k.json"), True, 3)
+    common._POWERS.get(10)
+    common.begun("one")
+    assert contamination._BUILT and tokens.encoder(p.tokenizer_path("byte_bpe_50k.json"), True, 3) is mine
+    common.begun("two")
+    assert not contamination._BUILT and not tokens._OPEN and len(common._POWERS.up) == 1
+
+
+def test_a_small_token_cache_changes_no_ids():
+    from auditgrid.llm.tokens import ChunkEncoder
+
+    path = p.tokenizer_path("byte_bpe_50k.json")
+    small, usual = ChunkEncoder(path, True, 3), ChunkEncoder(path, True)
+    for text in ["one two three four, five", "one two  six\n seven", "é four, five 12 one"]:
+        assert (small.ids(text) == usual.ids(text)).all()
+        assert len(small) <= 3 and len(small.older) <= 3
+
+
+def test_packing_in_the_pipeline_holds_a_smaller_cache(monkeypatch):
+    from auditgrid.llm import packing, tokens
+
+    got = {}
+    monkeypatch.setattr(packing, "pack", lambda docs, path, **more: got.update(more))
+    p.pack(None, None, "")
+    assert got["cache_entries"] < tokens.CACHE_ENTRIES
