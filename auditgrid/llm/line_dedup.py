@@ -367,7 +367,17 @@ def _candidates(found: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1]), pa.array(more), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names=["a", "b", "more", "grp", "packed"])
 
 
-def _passed_on(part: int, p: np.ndarray) -> pa.RecordBatch:
+def _passed_on(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Empties a list of (part, postings): a row for each part and group of it by token."""
+    parts: dict[int, list[np.ndarray]] = {}
+    while held:
+        part, p = held.pop()
+        parts.setdefault(part, []).append(p)
+    for part in list(parts):
+        yield _grouped(part, np.concatenate(parts.pop(part)))
+
+
+def _grouped(part: int, p: np.ndarray) -> pa.RecordBatch:
     """Postings of a part in groups by token, one row for each group."""
     group = (mixed(p["tok"].astype(np.uint64)) % np.uint64(GROUPS)).astype(np.int64)
     order = np.argsort(group, kind="stable")
@@ -392,16 +402,14 @@ def candidate_pairs(blocks: DataFrame, threshold: float, parts: int, only=None)
         for batch in batches:
             for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 p = np.frombuffer(raw.as_buffer(), POSTING)
-                if hot:
-                    yield _passed_on(part, p)
-                    continue
                 held.append((part, p.copy()))
                 size += p.nbytes
                 if size > HELD_BYTES:
-                    hot = True
-                    while held:
-                        yield _passed_on(*held.pop())
-        if held:
+                    yield from _passed_on(held)
+                    hot, size = True, 0
+        if hot:
+            yield from _passed_on(held)
+        elif held:
             p = np.concatenate([p for _, p in held])
             held.clear()
             yield from likely(first_places(p), t, few, only)
@@ -612,7 +620,7 @@ def duplicate_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     gone = written(gone, "kept")
     dropped(classes, late)
     off = lines.join(gone, "key").filter(~F.struct("doc_id", "line").eqNullSafe(F.col("kept")))
-    removed = off.select("doc_id", "text_hash", "line").distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("line")).alias("removed"))
+    removed = off.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     sizes = texts.select("doc_id", "text_hash", F.size("keys").alias("n_lines"))
     same = (F.col("s.text_hash") == F.col("r.text_hash")) & F.col("s.doc_id").eqNullSafe(F.col("r.doc_id"))
     return sizes.alias("s").join(removed.alias("r"), same, "left").select("s.doc_id", "s.text_hash", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

@@ -303,3 +303,16 @@ def test_only_classes_with_copies_or_near_lines_are_joined_to_lines(spark, monke
     docs = spark.createDataFrame([(1, "one two three\nalone here\nx y"), (2, "three two one\nonly this"), (3, "x y"), (3, "x y")], "doc_id long, text string")
     got = {r["doc_id"]: r["removed_lines"] for r in line_dedup.line_dedup(docs).collect()}
     assert got == {1: "", 2: "0", 3: "0"} and kept[0].count() == 2
+
+
+def test_hot_postings_are_passed_on_in_few_rows():
+    p = np.zeros(6400, line_dedup.POSTING)
+    p["tok"], p["key"] = np.arange(6400) % 640, np.arange(6400)
+    held = [(part, p[k : k + 64]) for k in range(0, 6400, 64) for part in (3, 5)]
+    rows = list(line_dedup._passed_on(held))
+    assert not held and sum(b.num_rows for b in rows) <= 2 * line_dedup.GROUPS
+    got = {}
+    for b in rows:
+        for grp, raw in zip(b.column("grp").to_pylist(), b.column("packed").to_pylist(), strict=True):
+            got.setdefault(grp // line_dedup.GROUPS, []).append(np.frombuffer(raw, line_dedup.POSTING))
+    assert {part: np.sort(np.concatenate(x)["key"]).tolist() for part, x in got.items()} == {3: list(range(6400)), 5: list(range(6400))}
